@@ -5,9 +5,10 @@ position of their smallest ``GRAM``-byte string (the *anchor*), so a run of neig
 moves through the passes as one item.
 
 * pass 1, digit = anchor hash, then hash of the run's whole content: equal items are repeated windows throughout;
-  an anchor with a single content is settled.
-* pass 2, digit = each window's own hash, only for the first copies of anchors with several contents (the edges of
-  repeats): equal groups are exactly the repeated windows.
+  an anchor with a single content is settled.  Where an anchor has several contents, a third of a run whose windows'
+  common bytes (the *core*) no other content of the anchor has is settled too.
+* pass 2, digit = each window's own hash, only for the thirds that are left (the edges of repeats): equal groups are
+  exactly the repeated windows.
 
 Each pass keeps one representative of equal items per task before the shuffle, so a string that a third of all
 documents share sends one row per task.  Hash keys of 128 bits stand for content.
@@ -32,7 +33,7 @@ _SEED = np.random.default_rng(20240607)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: list[np.ndarray] = []
 
-_ITEM = pa.schema([("anchor", pa.int64()), ("full", pa.int64()), ("dk", pa.int64()), ("pos", pa.int64()), ("geo", pa.int32()), ("kind", pa.int8())])
+_ITEM = pa.schema([("anchor", pa.int64()), ("full", pa.int64()), ("dk", pa.int64()), ("pos", pa.int64()), ("cores", pa.int64()), ("geo", pa.int32()), ("kind", pa.int8())])
 ITEM, SETTLED, OPEN = 0, 1, 2
 
 
@@ -100,7 +101,19 @@ def _runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int
     lo, hi, mark = index[first], index[last], anchor[first]
     geo = ((mark - lo) << 12) | (hi - lo)
     full = _mix(hashes.of(lo, hi + threshold) + geo.astype(np.uint64))
-    return grams[mark].view(np.int64), full.view(np.int64), lo, geo.astype(np.int32)
+    cores = np.zeros(len(lo), dtype=np.int64)
+    for k, (near, far) in enumerate(_thirds(threshold)):
+        present = (mark - hi <= far) & (mark - lo >= near)
+        p = mark[present]
+        cores[present] |= (hashes.of(p - near, p - far + threshold) >> np.uint64(43)).astype(np.int64) << (21 * k)
+    return grams[mark].view(np.int64), full.view(np.int64), lo, cores, geo.astype(np.int32)
+
+
+def _thirds(threshold: int) -> list[tuple[int, int]]:
+    """Distances of window starts before their anchor, in three ranges."""
+    width = threshold - min(GRAM, threshold) + 1
+    step = -(-width // 3)
+    return [(k, min(k + step, width) - 1) for k in range(0, width, step)]
 
 
 def _slices(batch: pa.RecordBatch, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -150,26 +163,26 @@ def _first_pass(threshold: int):
             dks, ths = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("dk", "th"))
             for data, starts, ends, rows, offs in _slices(batch, threshold):
                 if (x := _runs(data, starts, ends, threshold)) is not None:
-                    anchor, full, lo, geo = x
+                    anchor, full, lo, cores, geo = x
                     doc = np.searchsorted(starts, lo, "right") - 1
                     place = (ths[rows[doc]] << 32) | (lo - starts[doc] + offs[doc])
-                    found.append((anchor, full, dks[rows[doc]], place, geo))
+                    found.append((anchor, full, dks[rows[doc]], place, cores, geo))
         if not found:
             return
-        anchor, full, dk, pos, geo = (np.concatenate(x) for x in zip(*found))
+        anchor, full, dk, pos, cores, geo = (np.concatenate(x) for x in zip(*found))
         del found
         order, _, later = _order_and_firsts([anchor, full], dk, pos)
         keep, gone = order[~later], order[later]
-        yield from _emit(anchor[keep], full[keep], dk[keep], pos[keep], geo[keep], ITEM)
+        yield from _emit(anchor[keep], full[keep], dk[keep], pos[keep], cores[keep], geo[keep], ITEM)
         yield from _emit_settled(dk[gone], pos[gone], (geo[gone] & 0xFFF) + threshold)
 
     return run
 
 
-def _emit(anchor, full, dk, pos, geo, kind: int) -> Iterator[pa.RecordBatch]:
+def _emit(anchor, full, dk, pos, cores, geo, kind: int) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(dk), 1 << 16):
         s = slice(at, at + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (anchor, full, dk, pos, geo)] + [pa.array(np.full(len(dk[s]), kind, dtype=np.int8))], schema=_ITEM)
+        yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (anchor, full, dk, pos, cores, geo)] + [pa.array(np.full(len(dk[s]), kind, dtype=np.int8))], schema=_ITEM)
 
 
 def _emit_settled(dk: np.ndarray, pos: np.ndarray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -187,7 +200,7 @@ def _emit_settled(dk: np.ndarray, pos: np.ndarray, length: np.ndarray) -> Iterat
     last = np.append(first[1:], len(dk)) - 1
     dk, lo, hi = dk[first], lo[first], reach[last]
     spread = _mix(dk.view(np.uint64) + lo.view(np.uint64)).view(np.int64)
-    yield from _emit(spread, np.zeros_like(dk), dk, lo, (hi - lo).astype(np.int32), SETTLED)
+    yield from _emit(spread, np.zeros_like(dk), dk, lo, np.zeros_like(dk), (hi - lo).astype(np.int32), SETTLED)
 
 
 def _load(batches: Iterable[pa.RecordBatch]):
@@ -199,24 +212,37 @@ def _second_digit(threshold: int):
     """All items of some anchors: copies of a content are settled; contents of anchors with several go on."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, full, dk, pos, geo, kind = _load(batches)
+        anchor, full, dk, pos, cores, geo, kind = _load(batches)
         done = kind == SETTLED
-        yield from _emit(anchor[done], full[done], dk[done], pos[done], geo[done], SETTLED)
-        anchor, full, dk, pos, geo = (x[~done] for x in (anchor, full, dk, pos, geo))
+        yield from _emit(anchor[done], full[done], dk[done], pos[done], cores[done], geo[done], SETTLED)
+        anchor, full, dk, pos, cores, geo = (x[~done] for x in (anchor, full, dk, pos, cores, geo))
         if not len(dk):
             return
         order, new, later = _order_and_firsts([anchor, full], dk, pos)
         gone = order[later]
         yield from _emit_settled(dk[gone], pos[gone], (geo[gone] & 0xFFF) + threshold)
         heads = order[new]
-        marks = anchor[heads]
-        _, group, size = np.unique(marks, return_inverse=True, return_counts=True)
-        still = heads[size[group] > 1]
-        yield from _emit(anchor[still], full[still], dk[still], pos[still], geo[still], OPEN)
+        heads = heads[_shared(anchor[heads])]
+        for k, (near, far) in enumerate(_thirds(threshold)):
+            own = cores[heads] >> (21 * k) & 0x1FFFFF
+            most = (geo[heads] >> 12).astype(np.int64)
+            least = most - (geo[heads] & 0xFFF)
+            here = heads[(least <= far) & (most >= near)]
+            still = here[_shared(_mix(anchor[here].view(np.uint64) + own[(least <= far) & (most >= near)].astype(np.uint64)))]
+            most = (geo[still] >> 12).astype(np.int64)
+            least = np.maximum(most - (geo[still] & 0xFFF), near)
+            first = np.minimum(most, far)
+            yield from _emit(anchor[still], full[still], dk[still], pos[still] + most - first, cores[still], (first - least).astype(np.int32), OPEN)
 
     return run
 
 
+def _shared(x: np.ndarray) -> np.ndarray:
+    """Whether each value occurs more than once."""
+    _, group, size = np.unique(x, return_inverse=True, return_counts=True)
+    return size[group] > 1
+
+
 def _windows(threshold: int):
     """Windows of the open items of each document, one representative per task."""
 
@@ -243,7 +269,7 @@ def _windows(threshold: int):
         del found
         order, _, later = _order_and_firsts([mark, key], dk, pos)
         keep, gone = order[~later], order[later]
-        yield from _emit(key[keep], mark[keep], dk[keep], pos[keep], np.zeros(len(keep), dtype=np.int32), ITEM)
+        yield from _emit(key[keep], mark[keep], dk[keep], pos[keep], np.zeros_like(pos[keep]), np.zeros(len(keep), dtype=np.int32), ITEM)
         yield from _emit_settled(dk[gone], pos[gone], np.full(len(gone), threshold))
 
     return run
@@ -251,9 +277,9 @@ def _windows(threshold: int):
 
 def _last_digit(threshold: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, mark, dk, pos, geo, kind = _load(batches)
+        key, mark, dk, pos, cores, geo, kind = _load(batches)
         done = kind == SETTLED
-        yield from _emit(key[done], mark[done], dk[done], pos[done], geo[done], SETTLED)
+        yield from _emit(key[done], mark[done], dk[done], pos[done], cores[done], geo[done], SETTLED)
         key, mark, dk, pos = (x[~done] for x in (key, mark, dk, pos))
         if len(dk):
             order, _, later = _order_and_firsts([key, mark], dk, pos)
@@ -295,9 +321,11 @@ def remove_repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
     if threshold > 2000 or threshold < 2:
         raise ValueError("threshold must be between 2 and 2000 bytes")
     base = docs.select("doc_id", "text", c.doc_key().alias("dk"), F.pmod(F.xxhash64("text"), F.lit(2**31 - 1)).cast("long").alias("th"))
-    item = "anchor long, full long, dk long, pos long, geo int, kind byte"
+    item = "anchor long, full long, dk long, pos long, cores long, geo int, kind byte"
     first = base.select("dk", "th", "text").mapInArrow(_first_pass(threshold), item)
     judged = c.materialise(first.repartition("anchor").mapInArrow(_second_digit(threshold), item), "repeats")
+    del first
+    c.free_shuffles(docs.sparkSession)
     place = [F.col("dk"), F.shiftright("pos", 32).alias("th"), F.col("pos").bitwiseAND(F.lit(2**32 - 1)).alias("lo")]
     opens = judged.filter(F.col("kind") == OPEN).select(*place, "geo", "anchor").groupBy("dk", "th").agg(F.collect_list(F.struct("lo", "geo", "anchor")).alias("opens"))
     dealt = base.repartition("dk", "th")
