@@ -23,7 +23,7 @@ from . import common as c
 
 #: Bounds of the worker's memory: transitions (some 250 bytes each) and whole pieces (some 150 bytes each).
 MAX_TRANSITIONS = 250_000
-MAX_PIECES = 400_000
+MAX_PIECES = 600_000
 _NO_RANK = 1 << 60
 
 
@@ -43,8 +43,11 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_transitions: int = MAX_TRANSITIONS):
         self.ranks, self.max_transitions = ranks, max_transitions
         self.tokens = {i: b for b, i in ranks.items()}
-        self.longest = max(map(len, ranks))
-        self.begins = {b[:k] for b in ranks for k in range(1, len(b))}
+        #: For every string that begins a token: its own rank or -1, and whether it begins a longer one.
+        self.table = {b: (i, False) for b, i in ranks.items()}
+        for b in ranks:
+            for k in range(1, len(b)):
+                self.table[b[:k]] = (ranks.get(b[:k], -1), True)
         self._pairs: dict[int, bool] = {}
         self._split: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._reset()
@@ -124,21 +127,28 @@ class Transducer:
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, pending, alive = self._states[state]
         pending += bytes([byte])
-        ranks, begins, rest = self.ranks, self.begins, []
-        path = None
-        for q, tokens in alive:  # the longest token first
-            tail = pending[q:]
-            if path is None and (token := ranks.get(tail)) is not None and self.fits(tokens[-1] if tokens else before, token):
-                path = (*tokens, token)
-            if tail in begins:
-                rest.append((q, tokens))
+        table, rest, path = self.table, [], None
+        for at in alive:  # the longest token first
+            known = table.get(pending[at[0] :])
+            if known is None:
+                continue
+            token, longer = known
+            if path is None and token >= 0 and self.fits(at[1][-1] if at[1] else before, token):
+                path = (*at[1], token)
+            if longer:
+                rest.append(at)
         if path is None:
             raise ValueError("a byte has no token of its own")
-        rest.append((len(pending), path))
         shared = 0
-        least = min(len(tokens) for _, tokens in rest)
-        while shared < least and all(tokens[shared] == path[shared] for _, tokens in rest):
-            shared += 1
+        if rest and rest[0][0]:
+            paths = [tokens for _, tokens in rest]
+            low, high = min(path, *paths), max(path, *paths)
+            least = min(len(low), len(high))
+            while shared < least and low[shared] == high[shared]:
+                shared += 1
+        elif not rest:
+            shared = len(path)
+        rest.append((len(pending), path))
         if not shared:
             return self._state(before, pending, rest), ()
         out = path[:shared]

@@ -6,6 +6,7 @@ import atexit
 import gc
 import hashlib
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -45,8 +46,10 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let the driver collect its garbage now, so that shuffle files of finished, written steps leave the disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def release(spark: SparkSession | None = None) -> None:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import hashlib
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, fm_index, language_id, line_dedup, media, simhash, suffix_dedup, toxicity
 from . import common as c
-from . import suffix_dedup
+
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def _digest_repeats(batches):
@@ -32,5 +36,102 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text").mapInArrow(_digest_repeats, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.read_table(spark, sf_dir, "documents")
+    found = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (c.read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    found = fm_index.find_contamination(docs.select("doc_id", "text"), items)
+    return found.select("doc_id", "n_words", "hits", "items").mapInArrow(_digest_hits, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def _digest_hits(batches):
+    for batch in batches:
+        items = batch.column("items").to_pylist()
+        hit = []
+        for hits in batch.column("hits").to_pylist():
+            lo, hi = fm_index.merged_hits(hits)
+            hit.append(int((hi - lo).sum()))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                batch.column("n_words"),
+                pa.array(hit, pa.int64()),
+                pa.array([len(x) for x in items], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items], pa.string()),
+                pa.array([n > 0 for n in hit], pa.bool_()),
+            ],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+        )
+
+
+def tokenizer() -> tuple[bytes, str]:
+    return bpe.load_ranks(public_tokenizers.path(TOKENIZER)), public_tokenizers.PATTERN
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    vocabulary, pattern = tokenizer()
+    encoded = bpe.encode_texts(docs, vocabulary, pattern)
+    data = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return encoded.mapInArrow(_digest_tokens(data, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _digest_tokens(data, pattern):
+    def run(batches):
+        codec = bpe.worker_codec(data, pattern)
+        for batch in batches:
+            ids = batch.column("ids")
+            flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
+            own = [flat[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
+            decoded = []
+            for x in own:
+                whole = hashlib.sha256()
+                for piece in codec.decode_stream(x.tolist()):
+                    whole.update(piece.encode("utf-8"))
+                decoded.append(whole.hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    pa.array([len(x) for x in own], pa.int64()),
+                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own], pa.string()),
+                    pa.array(decoded, pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return run
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(c.read_table(spark, sf_dir, "documents"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.store_text(c.read_table(spark, sf_dir, "documents")))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = c.read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return line_dedup.drop_common_lines(docs, min_docs=10).select("doc_id", "n_lines", "n_dropped", kept)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(c.read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (c.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_suffix_dedup, op4_language_id, op5_decontamination, op6_byte_bpe, op7_media_columns, op8_line_dedup, op9_simhash, op10_toxicity)
+}
 ORACLES: dict[str, str] = {}

@@ -320,9 +320,11 @@ def remove_repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
     """
     if threshold > 2000 or threshold < 2:
         raise ValueError("threshold must be between 2 and 2000 bytes")
-    base = docs.select("doc_id", "text", c.doc_key().alias("dk"), F.pmod(F.xxhash64("text"), F.lit(2**31 - 1)).cast("long").alias("th"))
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").head(1)
+    tie = F.pmod(F.xxhash64("text"), F.lit(2**31 - 1)).cast("long") if repeated else F.lit(0).cast("long")
+    base = docs.select(c.doc_key().alias("dk"), tie.alias("th"), "text")
     item = "anchor long, full long, dk long, pos long, cores long, geo int, kind byte"
-    first = base.select("dk", "th", "text").mapInArrow(_first_pass(threshold), item)
+    first = base.mapInArrow(_first_pass(threshold), item)
     judged = c.materialise(first.repartition("anchor").mapInArrow(_second_digit(threshold), item), "repeats")
     del first
     c.free_shuffles(docs.sparkSession)
@@ -332,5 +334,5 @@ def remove_repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
     windows = dealt.join(opens, ["dk", "th"], "left").select("dk", "th", "text", "opens").mapInArrow(_windows(threshold), item)
     edges = windows.repartition("anchor").mapInArrow(_last_digit(threshold), item)
     spans = judged.filter(F.col("kind") == SETTLED).unionByName(edges).select(*place, "geo").groupBy("dk", "th").agg(F.collect_list(F.struct("lo", "geo")).alias("spans"))
-    cut = dealt.join(spans, ["dk", "th"], "left").select("doc_id", "text", "spans")
+    cut = dealt.join(spans, ["dk", "th"], "left").select(c.original_id().alias("doc_id"), "text", "spans")
     return cut.mapInArrow(_cut, "doc_id long, text string, kept binary, span_start array<long>, span_end array<long>")
