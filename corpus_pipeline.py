@@ -1,8 +1,63 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
-STAGES = []
+Order: language identification (documents it rejects go), line dedup, SimHash near-dedup (the smallest doc_id of each
+group stays), benchmark decontamination (hit words are cut out), byte-level BPE.  All but the last return the columns
+of documents, with n_chars following the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindrift.llm import common, fm_index, language_id, line_dedup, queries, simhash
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language cannot be determined; ``lang`` stays as given."""
+    model = language_id.train(docs)
+    found = language_id.predict(docs.select(*docs.columns), model)
+    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _recounted(line_dedup.drop_common_lines(docs, min_docs=10).select(*docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document whose id names its component.  Rows without an id keep their place; of rows that share an
+    id that stays, all stay."""
+    found = simhash.near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    items = common.read_table(spark, sf_dir, "benchmark")
+    return _recounted(fm_index.remove_contamination(fm_index.find_contamination(docs, items)).select(*docs.columns))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return queries.token_digests(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("byte_bpe", tokenise),
+]
+
+#: Language identification, XXH64 and byte-level BPE have no SQL form here; tests compare run() with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

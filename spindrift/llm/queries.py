@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fm_index, language_id, line_dedup, media, simhash, suffix_dedup, toxicity
+from . import bpe, fm_index, html_text, language_id, line_dedup, media, quality, simhash, suffix_dedup, toxicity
 from . import common as c
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -31,11 +31,21 @@ def _digest_repeats(batches):
         )
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_main_text(c.read_table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeats(c.read_table(spark, sf_dir, "documents"), 100)
     return found.drop("text").mapInArrow(_digest_repeats, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (c.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    found = quality.assess(docs, quality.train(docs, labels), F.col("source"), F.concat_ws("/", "source", "lang"))
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "evidence", "host_share", "path_share", "score", F.col("keep").cast("int").alias("predicted"), "keep")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = c.read_table(spark, sf_dir, "documents")
     found = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs))
@@ -132,6 +142,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_suffix_dedup, op4_language_id, op5_decontamination, op6_byte_bpe, op7_media_columns, op8_line_dedup, op9_simhash, op10_toxicity)
+    for f in (op1_html_text, op2_suffix_dedup, op3_quality, op4_language_id, op5_decontamination, op6_byte_bpe, op7_media_columns, op8_line_dedup, op9_simhash, op10_toxicity)
 }
 ORACLES: dict[str, str] = {}
