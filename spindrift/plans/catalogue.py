@@ -5,6 +5,783 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import exprs as E
+from ..functions import patterns as P
+from ..operators import clean, health, privacy, profile, redact, schema, split, synth, validate
+from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to a few places: sums of floating-point numbers depend on their order."""
+    return df.withColumns({c: F.round(c, places) for c, t in df.dtypes if t == "double"})
+
+
+# ---- the derived healthcare table: one SELECT in the syntax that both engines share
+
+HEALTH = """
+SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'BAD' ELSE 'IQV' END || CAST(o_orderkey AS VARCHAR(20)) AS CLAIM_ID,
+  CASE WHEN o_orderkey % 31 = 0 THEN 'X' ELSE 'M' END || CAST(o_custkey AS VARCHAR(20)) AS MEMBER_ID,
+  CASE o_orderkey % 3 WHEN 0 THEN 'Inpatient' WHEN 1 THEN 'Outpatient' ELSE 'Pharmacy' END AS CLAIM_TYPE,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'Emergny' WHEN o_orderkey % 7 = 1 THEN 'N/A' WHEN o_orderkey % 7 < 4 THEN 'Elective' ELSE 'Urgent' END AS ADMISSION_TYPE,
+  CAST(NULL AS VARCHAR(10)) AS PROVIDER_ZIP,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Oncology' WHEN 1 THEN 'Cardiology' WHEN 2 THEN '' ELSE 'Pediatrics' END AS PROVIDER_SPECIALTY,
+  CASE o_orderkey % 5 WHEN 0 THEN 'C50.9' WHEN 1 THEN 'M16.0' WHEN 2 THEN 'J45.909' WHEN 3 THEN 'bad' ELSE 'N/A' END AS DIAGNOSIS_CODE,
+  CAST(99200 + o_orderkey % 300 AS VARCHAR(10)) AS PROCEDURE_CODE,
+  CASE WHEN o_orderkey % 11 = 0 THEN -o_totalprice ELSE o_totalprice END AS TOTAL_CHARGE,
+  CAST(o_orderkey % 50 - 2 AS DOUBLE) AS COPAY,
+  CAST(o_orderkey % 13 AS DOUBLE) / 10 AS COINSURANCE,
+  CASE o_orderkey % 3 WHEN 0 THEN 'Paid' WHEN 1 THEN 'Pending' ELSE 'Denied' END AS ADJUDICATION_STATUS,
+  CAST(NULL AS VARCHAR(20)) AS ID, CAST(NULL AS VARCHAR(20)) AS LAST_NAME, CAST(NULL AS VARCHAR(10)) AS AGE, CAST(NULL AS VARCHAR(10)) AS GENDER,
+  CAST(NULL AS VARCHAR(10)) AS DRG_CODE, CAST(NULL AS VARCHAR(10)) AS ICD9_PROCEDURE, CAST(NULL AS DOUBLE) AS CLAIM_COST, CAST(NULL AS VARCHAR(10)) AS STATUS
+FROM {orders}
+UNION ALL
+SELECT CASE WHEN c_custkey % 2 = 0 THEN 'IQV' ELSE 'CMS' END || CAST(c_custkey AS VARCHAR(20)), CAST(NULL AS VARCHAR(20)), CAST(NULL AS VARCHAR(20)), CAST(NULL AS VARCHAR(20)),
+  CASE WHEN c_custkey % 17 = 0 THEN '12' WHEN c_custkey % 17 = 1 THEN '' ELSE CAST(10000 + c_custkey AS VARCHAR(10)) END, CAST(NULL AS VARCHAR(20)), CAST(NULL AS VARCHAR(20)),
+  CAST(NULL AS VARCHAR(20)), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR(20)),
+  'PT' || CAST(c_custkey AS VARCHAR(20)),
+  CASE c_custkey % 5 WHEN 0 THEN 'Smith' WHEN 1 THEN 'Garcia' WHEN 2 THEN 'Zyxel' WHEN 3 THEN 'James' ELSE '' END,
+  CASE WHEN c_custkey % 19 = 0 THEN 'N/A' WHEN c_custkey % 19 = 1 THEN '45.0' ELSE CAST(c_custkey % 131 AS VARCHAR(10)) END,
+  CASE c_custkey % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'F' WHEN 2 THEN 'Female' ELSE 'X' END,
+  CAST(100 + c_custkey % 300 AS VARCHAR(10)), CAST(10 + c_custkey % 80 AS VARCHAR(10)) || '.5',
+  CASE WHEN c_custkey % 9 = 0 THEN -c_acctbal ELSE c_acctbal END, 'Active'
+FROM {customer}
+"""
+REPEATED = HEALTH + " UNION ALL SELECT * FROM (" + HEALTH + ") again WHERE ID LIKE 'PT%7'"
+_SQL_HEALTH = "WITH health AS (" + HEALTH.format(orders="orders", customer="customer") + ") "
+_FIELDS = (
+    "CLAIM_ID MEMBER_ID CLAIM_TYPE ADMISSION_TYPE PROVIDER_ZIP PROVIDER_SPECIALTY DIAGNOSIS_CODE PROCEDURE_CODE TOTAL_CHARGE COPAY COINSURANCE ADJUDICATION_STATUS"
+    " ID LAST_NAME AGE GENDER DRG_CODE ICD9_PROCEDURE CLAIM_COST STATUS"
+).split()
+_DOUBLES = ("TOTAL_CHARGE", "COPAY", "COINSURANCE", "CLAIM_COST")
+
+
+def health_table(spark: SparkSession, sf_dir: str, sql: str = HEALTH) -> DataFrame:
+    return spark.sql(sql, orders=table(spark, sf_dir, "orders"), customer=table(spark, sf_dir, "customer"))
+
+
+def _sql_clean() -> str:
+    """The cleaned health table as SQL."""
+    cells = []
+    for c in _FIELDS:
+        x = c if c in _DOUBLES else f"CASE WHEN {c} NOT IN ('N/A', '', 'NULL', 'null') THEN {c} END"
+        if c == "ADMISSION_TYPE":
+            x = f"CASE WHEN {c} = 'Emergny' THEN 'Emergency' ELSE {x} END"
+        if c in P.NUMERIC_FIELDS and c not in _DOUBLES:
+            x = f"CASE WHEN regexp_matches(replace({c}, ',', ''), '{P.NUMBER}') THEN TRY_CAST(replace({c}, ',', '') AS DOUBLE) END"
+        cells.append(f"{x} AS {c}")
+    rules = {
+        "CLAIM_ID": "CASE WHEN CLAIM_ID LIKE 'IQV%' OR CLAIM_ID LIKE 'CMS%' THEN CLAIM_ID END",
+        "MEMBER_ID": "CASE WHEN MEMBER_ID LIKE 'M%' OR MEMBER_ID LIKE 'PT%' THEN MEMBER_ID END",
+        "AGE": "CASE WHEN AGE BETWEEN 0 AND 120 THEN AGE END",
+        "GENDER": "CASE WHEN GENDER IN ('M', 'F', 'Male', 'Female') THEN GENDER END",
+        "COINSURANCE": "CASE WHEN COINSURANCE BETWEEN 0 AND 1 THEN COINSURANCE END",
+    } | {c: f"CASE WHEN {c} >= 0 THEN {c} END" for c in ("TOTAL_CHARGE", "COPAY", "CLAIM_COST")}
+    ruled = ", ".join(f"{rules.get(c, c)} AS {c}" for c in _FIELDS)
+    flag = f"coalesce(regexp_matches(DIAGNOSIS_CODE, '{P.ICD_STRICT}'), false) AS DIAGNOSIS_CODE_VALID"
+    return f"{_SQL_HEALTH[:-1]}, typed AS (SELECT {', '.join(cells)} FROM health), cleaned AS (SELECT {ruled}, {flag} FROM typed) "
+
+
+_SQL_CLEAN = _sql_clean()
+
+
+def _sql_long(tables: dict[str, list[str]], doubles: tuple[str, ...] = ()) -> str:
+    """(column_name, value) of columns as text, as :func:`profile.frequencies` sees them."""
+    text = lambda c: f"regexp_replace(printf('%.6f', CAST({c} AS DOUBLE)), '\\.?0+$', '')" if c in doubles else f"CAST({c} AS VARCHAR)"
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {text(c)} AS value FROM {t}" for t, some in tables.items() for c in some)
+
+
+_SQL_NUMBER = f"CASE WHEN regexp_matches(replace(value, ',', ''), '{P.NUMBER}') THEN TRY_CAST(trim(replace(value, ',', '')) AS DOUBLE) END"
+
+
+def _sql_any(column: str, some) -> str:
+    return "(" + " OR ".join(f"regexp_matches({column}, '{p}')" for p in some) + ")"
+
+
+def _sql_profile(tables: dict[str, list[str]], doubles: tuple[str, ...] = ()) -> str:
+    """CTEs long, classed, base (counts and hint), scored (with quality_score)."""
+    dates = _sql_any("value", [f"^(?:{p})" for p in P.DATE_PREFIXES])
+    patterns = ", ".join(f"count(*) FILTER (WHERE regexp_matches(value, '{p}')) AS {k}" for k, p in P.VALUE_PATTERNS.items())
+    return f"""WITH long AS ({_sql_long(tables, doubles)}),
+classed AS (SELECT column_name, value, {_SQL_NUMBER} AS x, {dates} AS is_date, {_sql_any("value", P.CURRENCY)} AS is_currency,
+  lower(value) IN ({", ".join(f"'{b}'" for b in P.BOOLEANS)}) AS is_boolean FROM long),
+counted AS (SELECT column_name, count(*) AS total_count, count(*) - count(value) AS null_count, count(value) AS non_null_count, count(DISTINCT value) AS unique_count,
+  count(x) AS numbers, count(*) FILTER (WHERE x = floor(x)) AS integral, count(*) FILTER (WHERE x IS NULL AND is_currency) AS currency, count(*) FILTER (WHERE is_date) AS dates,
+  count(*) FILTER (WHERE is_boolean) AS booleans, min(x) AS low, max(x) AS high, max(length(value)) AS longest, {patterns} FROM classed GROUP BY column_name),
+base AS (SELECT *, null_count / total_count AS null_rate, unique_count / total_count AS cardinality_rate,
+  CASE WHEN non_null_count = 0 THEN 'empty' WHEN numbers / non_null_count >= 0.8 THEN CASE WHEN integral > numbers - integral THEN 'integer' ELSE 'float' END
+    WHEN currency / non_null_count >= 0.7 THEN 'currency' WHEN dates / non_null_count >= 0.7 THEN 'date' WHEN booleans / non_null_count >= 0.8 THEN 'boolean'
+    WHEN unique_count / non_null_count <= 0.1 AND unique_count <= 50 THEN 'categorical' ELSE 'text' END AS data_type_hint FROM counted),
+scored AS (SELECT *, greatest(0.0, least(1.0, 1.0::DOUBLE - null_rate * 0.3::DOUBLE - CASE WHEN cardinality_rate < 0.01 OR cardinality_rate > 0.95 THEN 0.2::DOUBLE ELSE 0::DOUBLE END
+  + CASE WHEN data_type_hint IN ('integer', 'float', 'date', 'boolean') THEN 0.1::DOUBLE ELSE 0::DOUBLE END)) AS quality_score FROM base) """
+
+
+# ---- profiles
+
+
+def _sql_numeric(name: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count({c}) AS count, round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max, round(avg({c}), 4) AS mean,
+        round(stddev_samp({c}), 4) AS std, round(quantile_cont({c}::DOUBLE, 0.25), 4) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS median,
+        round(quantile_cont({c}::DOUBLE, 0.75), 4) AS q75, round((max({c}) - min({c}))::DOUBLE, 4) AS range, count(*) FILTER (WHERE {c} = 0) AS zeros,
+        count(*) FILTER (WHERE {c} < 0) AS negatives, count(*) FILTER (WHERE {c} > 0) AS positives FROM {name}"""
+        for c in columns
+    )
+
+
+_LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query(_sql_numeric("lineitem", _LINE))
+def profile_lineitem_numeric(spark, d):
+    return rounded(profile.numeric_statistics(table(spark, d, "lineitem"), _LINE), 4)
+
+
+@query(_sql_numeric("orders", ["o_totalprice", "o_custkey"]))
+def profile_orders_numeric(spark, d):
+    return rounded(profile.numeric_statistics(table(spark, d, "orders"), ["o_totalprice", "o_custkey"]), 4)
+
+
+_CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+_PART = ["p_name", "p_brand", "p_type", "p_size"]
+_LONG_CUSTOMER = _sql_profile({"customer": _CUSTOMER}, ("c_acctbal",))
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+_LONG_ORDERS = _sql_profile({"orders": _ORDERS}, ("o_totalprice",))
+
+
+@query(_LONG_CUSTOMER + "SELECT column_name, total_count, null_count, non_null_count, unique_count, round(null_rate, 6) AS null_rate, round(cardinality_rate, 6) AS cardinality_rate FROM base")
+def column_counts(spark, d):
+    return rounded(profile.counts(profile.frequencies(table(spark, d, "customer"))))
+
+
+@query()
+def column_counts_approximate(spark, d):
+    return profile.approximate_counts(table(spark, d, "lineitem"))
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, min(length({c})) AS min_length, max(length({c})) AS max_length, round(avg(length({c})), 6) AS avg_length, quantile_cont(length({c}), 0.5)::DOUBLE AS median_length,
+        count(*) FILTER (WHERE {c} = '') AS empty_strings, count(*) FILTER (WHERE regexp_matches({c}, '\\d')) AS contains_digits,
+        count(*) FILTER (WHERE regexp_matches({c}, '[^a-zA-Z0-9\\s]')) AS contains_special, count(*) FILTER (WHERE {c} = upper({c}) AND {c} <> lower({c})) AS all_uppercase,
+        count(*) FILTER (WHERE {c} = lower({c}) AND {c} <> upper({c})) AS all_lowercase FROM part"""
+        for c in ("p_name", "p_brand", "p_type")
+    )
+)
+def profile_text_part(spark, d):
+    return rounded(profile.text_statistics(table(spark, d, "part"), ["p_name", "p_brand", "p_type"]))
+
+
+@query("SELECT 'text' AS column_name, min(length(text)) AS min_length, max(length(text)) AS max_length, round(avg(length(text)), 6) AS avg_length, quantile_cont(length(text), 0.5)::DOUBLE AS median_length FROM documents")
+def profile_text_documents(spark, d):
+    found = profile.text_statistics(table(spark, d, "documents"), ["text"])
+    return rounded(found.select("column_name", "min_length", "max_length", "avg_length", "median_length"))
+
+
+@query(
+    """WITH y AS (SELECT year(o_orderdate) AS v, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT month(o_orderdate) AS v, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'o_orderdate' AS column_name, strftime(min(o_orderdate), '%Y-%m-%d') AS min_date, strftime(max(o_orderdate), '%Y-%m-%d') AS max_date,
+  CAST(floor((epoch(max(o_orderdate)) - epoch(min(o_orderdate))) / 86400) AS BIGINT) AS range_days, count(DISTINCT o_orderdate) AS unique_dates,
+  (SELECT v FROM y ORDER BY n DESC, v LIMIT 1) AS most_common_year, (SELECT v FROM m ORDER BY n DESC, v LIMIT 1) AS most_common_month FROM orders"""
+)
+def profile_date_orders(spark, d):
+    return profile.date_statistics(table(spark, d, "orders"), "o_orderdate")
+
+
+@query(
+    f"""WITH long AS ({_sql_long({"part": ["p_brand", "p_type"]})} UNION ALL {_sql_long({"events": ["event_type"]})}), f AS (SELECT column_name, value, count(*) AS n FROM long GROUP BY ALL),
+t AS (SELECT *, sum(n) OVER (PARTITION BY column_name) AS total, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS a,
+  row_number() OVER (PARTITION BY column_name ORDER BY n, value) AS z FROM f)
+SELECT column_name, count(*) AS unique_categories, max(value) FILTER (WHERE a = 1) AS most_frequent, max(n) FILTER (WHERE a = 1) AS most_frequent_count,
+  max(value) FILTER (WHERE z = 1) AS least_frequent, max(n) FILTER (WHERE z = 1) AS least_frequent_count, round(sum(-(n / total) * log2(n / total + 1e-10)), 6) AS entropy FROM t GROUP BY column_name"""
+)
+def profile_categorical_entropy(spark, d):
+    freq = profile.frequencies(table(spark, d, "part"), ["p_brand", "p_type"]).unionByName(profile.frequencies(table(spark, d, "events"), ["event_type"]))
+    return rounded(profile.entropy(freq))
+
+
+@query(
+    f"""WITH f AS (SELECT column_name, value, count(*) AS n FROM ({_sql_long({"part": _PART})}) GROUP BY ALL)
+SELECT * FROM (SELECT column_name, value, n, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rank FROM f) WHERE rank <= 10"""
+)
+def top_values(spark, d):
+    return profile.top_values(profile.frequencies(table(spark, d, "part"), _PART))
+
+
+@query(_LONG_ORDERS + "SELECT column_name, data_type_hint FROM base")
+def type_hints(spark, d):
+    return profile.type_hints(profile.frequencies(table(spark, d, "orders"), _ORDERS))
+
+
+@query("SELECT 'text' AS column_name, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(text, '{p}')) AS {k}" for k, p in P.VALUE_PATTERNS.items()) + " FROM documents")
+def pattern_counts(spark, d):
+    return profile.pattern_counts(profile.frequencies(table(spark, d, "documents"), ["text"]))
+
+
+@query(
+    _LONG_CUSTOMER
+    + f"""SELECT column_name, round(quality_score, 6) AS quality_score,
+  (CASE WHEN null_rate > 0.5 THEN 1 ELSE 0 END) + (CASE WHEN cardinality_rate < 0.01 AND unique_count > 1 THEN 1 ELSE 0 END) + (CASE WHEN cardinality_rate > 0.95 AND total_count > 100 THEN 1 ELSE 0 END)
+  + (CASE WHEN data_type_hint = 'text' AND ({" + ".join(P.VALUE_PATTERNS)}) BETWEEN 1 AND 0.8 * total_count - 0.0001 THEN 1 ELSE 0 END) AS n_issues FROM scored"""
+)
+def quality_scores(spark, d):
+    return rounded(profile.profile_columns(table(spark, d, "customer")).select("column_name", "quality_score", F.size("issues").alias("n_issues")))
+
+
+@query()
+def column_issues(spark, d):
+    return profile.profile_columns(table(spark, d, "lineitem")).select("column_name", F.explode("issues").alias("issue"))
+
+
+@query()
+def profile_recommendations(spark, d):
+    return profile.recommendations(profile.profile_columns(table(spark, d, "orders"), _ORDERS))
+
+
+@query(
+    _LONG_CUSTOMER
+    + """SELECT max(total_count) AS total_rows, count(*) AS total_columns, max(total_count) * count(*) AS total_cells, round(avg(null_rate), 6) AS avg_null_rate,
+  round(avg(quality_score), 6) AS avg_quality_score, count(*) FILTER (WHERE quality_score > 0.8) AS high_quality_columns FROM scored"""
+)
+def dataset_quality(spark, d):
+    return rounded(profile.dataset_summary(profile.profile_columns(table(spark, d, "customer"))).drop("columns_with_issues"))
+
+
+# ---- privacy
+
+_TEXTS = {"documents": ["text"], "conversations": ["role"], "customer": ["c_name"]}
+
+
+def _sql_families(tables: dict[str, list[str]]) -> str:
+    sums = ", ".join(f"sum({' + '.join(f'''CAST(coalesce(regexp_matches(value, '{p}'), false) AS INT)''' for p in some)})::BIGINT AS {k}" for k, (_, _, some) in P.PII_FAMILIES.items())
+    rows = " UNION ALL ".join(f"SELECT column_name, total, '{k}' AS family, {k} AS match_count, {t}::DOUBLE AS threshold, {w}::DOUBLE AS weight FROM wide" for k, (t, w, _) in P.PII_FAMILIES.items())
+    return f"""WITH long AS ({_sql_long(tables)}), wide AS (SELECT column_name, count(*) AS total, {sums} FROM long GROUP BY column_name), rows AS ({rows}),
+found AS (SELECT column_name, family, match_count, match_count / total AS match_rate, least(match_count / total / threshold, 1.0::DOUBLE) AS confidence, weight FROM rows WHERE match_count > 0),
+families AS (SELECT *, CASE WHEN confidence >= 0.8 AND match_rate >= 0.7 THEN 'HIGH' WHEN confidence >= 0.6 AND match_rate >= 0.5 THEN 'MEDIUM'
+  WHEN confidence >= 0.3 AND match_rate >= 0.2 THEN 'LOW' ELSE 'MINIMAL' END AS risk_level FROM found) """
+
+
+@query(_sql_families({"documents": ["text"], "customer": ["c_name"]}) + "SELECT column_name, family, match_count, round(match_rate, 6) AS match_rate, round(confidence, 6) AS confidence, risk_level, weight FROM families")
+def pii_column_scan(spark, d):
+    found = privacy.scan_in_place(table(spark, d, "documents"), ["text"]).unionByName(privacy.scan_in_place(table(spark, d, "customer"), ["c_name"]))
+    return rounded(found)
+
+
+_PEOPLE = ["ID", "LAST_NAME", "AGE", "PROVIDER_ZIP", "DRG_CODE", "CLAIM_ID"]
+_SQL_PEOPLE = _sql_families({"health": _PEOPLE}).replace("WITH ", _SQL_HEALTH[:-1] + ", ", 1)
+_SQL_NAMES = f"""name_hits AS (SELECT column_name, count(*) AS total, count(*) FILTER (WHERE lower(value) IN ({", ".join(f"'{x}'" for x in P.FIRST_NAMES)})) AS first_name_matches,
+  count(*) FILTER (WHERE lower(value) IN ({", ".join(f"'{x}'" for x in P.LAST_NAMES)})) AS last_name_matches FROM long GROUP BY column_name),
+names AS (SELECT column_name, first_name_matches, last_name_matches, first_name_matches / total AS first_name_rate, last_name_matches / total AS last_name_rate,
+  round(least(1.0::DOUBLE, CASE WHEN {" OR ".join(f"lower(column_name) LIKE '%{w}%'" for w in P.NAME_COLUMN_HINTS)} THEN 0.3::DOUBLE ELSE 0::DOUBLE END
+  + CASE WHEN first_name_matches / total > 0.3 THEN 0.4::DOUBLE ELSE 0::DOUBLE END + CASE WHEN last_name_matches / total > 0.3 THEN 0.4::DOUBLE ELSE 0::DOUBLE END), 6) AS confidence FROM name_hits)"""
+
+
+@query(
+    f"""{_SQL_HEALTH[:-1]}, long AS (SELECT 'LAST_NAME' AS column_name, LAST_NAME AS value FROM health WHERE ID IS NOT NULL), {_SQL_NAMES}
+SELECT column_name, first_name_matches, last_name_matches, round(first_name_rate, 6) AS first_name_rate, round(last_name_rate, 6) AS last_name_rate, confidence FROM names WHERE confidence > 0.5"""
+)
+def pii_names(spark, d):
+    people = health_table(spark, d).filter("ID IS NOT NULL")
+    found = privacy.scan_names(profile.frequencies(people, ["LAST_NAME"]))
+    return rounded(found.select("column_name", "first_name_matches", "last_name_matches", "first_name_rate", "last_name_rate", "confidence"))
+
+
+_SQL_SCORES = f"""{_SQL_PEOPLE[:-1]}, {_SQL_NAMES}, every AS (SELECT column_name, family, confidence, weight FROM families UNION ALL SELECT column_name, 'names', confidence, {P.NAMES_WEIGHT}::DOUBLE FROM names WHERE confidence > 0.5),
+scores AS (SELECT c.column_name, count(family) AS n_families, coalesce(least(sum(weight * confidence) / sum(weight), 1.0::DOUBLE), 0::DOUBLE) AS overall_risk_score
+  FROM (SELECT DISTINCT column_name FROM long) c LEFT JOIN every USING (column_name) GROUP BY c.column_name) """
+
+
+def _people_scores(spark, d):
+    freq = profile.frequencies(health_table(spark, d), _PEOPLE)
+    found = privacy.detect(freq)
+    return privacy.column_scores(found, freq.select("column_name").distinct()), found
+
+
+@query(_SQL_SCORES + "SELECT column_name, n_families, round(overall_risk_score, 6) AS overall_risk_score FROM scores")
+def pii_risk_scores(spark, d):
+    return rounded(_people_scores(spark, d)[0].drop("recommendations"))
+
+
+@query(
+    _SQL_SCORES
+    + """SELECT *, CASE WHEN high_risk_columns > 0 THEN 'HIGH' WHEN medium_risk_columns > 0 THEN 'MEDIUM' WHEN columns_with_pii > 0 THEN 'LOW' ELSE 'MINIMAL' END AS overall_risk FROM (
+SELECT count(*) AS total_columns, count(*) FILTER (WHERE n_families > 0) AS columns_with_pii, count(*) FILTER (WHERE overall_risk_score >= 0.8) AS high_risk_columns,
+  count(*) FILTER (WHERE overall_risk_score >= 0.6 AND overall_risk_score < 0.8) AS medium_risk_columns, count(*) FILTER (WHERE overall_risk_score >= 0.3 AND overall_risk_score < 0.6) AS low_risk_columns FROM scores)"""
+)
+def pii_dataset_summary(spark, d):
+    return privacy.dataset_summary(_people_scores(spark, d)[0])
+
+
+@query()
+def pii_dataset_notes(spark, d):
+    return privacy.dataset_notes(*_people_scores(spark, d))
+
+
+@query()
+def pii_samples(spark, d):
+    return privacy.samples(profile.frequencies(table(spark, d, "documents"), ["source", "lang"]).unionByName(profile.frequencies(health_table(spark, d), ["CLAIM_ID"])), "mrn")
+
+
+_PHI_WORDS = [w for some in P.PHI_KEYWORDS.values() for w in some]
+
+
+def _sql_confidence() -> str:
+    cells = []
+    for c in _FIELDS:
+        low, text = c.lower(), c not in _DOUBLES
+        share = lambda cond, c=c: f"coalesce(count(*) FILTER (WHERE {cond}) / nullif(count({c}), 0), 0)"
+        pii = [f"CASE WHEN {x} > 0.1 THEN {x} ELSE 0 END" for x in ([f"greatest({', '.join(share(_sql_any(c, some)) for some in P.PIPELINE_PII.values())})"] if text else [])]
+        pii += [share(_sql_any(c, P.PIPELINE_NAMES))] if "name" in low else []
+        pii += ["0.9"] if E.name_has(c, P.PII_KEYWORDS) else []
+        phi = ["0.85"] if E.name_has(c, _PHI_WORDS) else []
+        phi += ["0.8"] if "date" in low and E.name_has(c, P.PHI_DATE_TERMS) else []
+        phi += [f"CASE WHEN {share(_sql_any(c, [P.PIPELINE_MRN]))} > 0.3 THEN 0.9 ELSE 0 END", f"CASE WHEN {share(_sql_any(c, [P.PIPELINE_ICD]))} > 0.2 THEN 0.85 ELSE 0 END"] if text else []
+        cells.append(f"SELECT '{c}' AS column_name, round(greatest(0::DOUBLE, {', '.join(pii) or '0'})::DOUBLE, 3) AS pii_confidence, round(greatest(0::DOUBLE, {', '.join(phi) or '0'})::DOUBLE, 3) AS phi_confidence FROM health HAVING count(*) >= 0")
+    return f"{_SQL_HEALTH[:-1]}, confidence AS ({' UNION ALL '.join(cells)}) "
+
+
+_SQL_CONFIDENCE = _sql_confidence()
+
+
+@query(_SQL_CONFIDENCE + "SELECT *, pii_confidence >= 0.8 AS is_pii, phi_confidence >= 0.9 AS is_phi FROM confidence")
+def pipeline_flags(spark, d):
+    return privacy.flagged(privacy.pipeline_confidence(health_table(spark, d)))
+
+
+@query(
+    _SQL_CONFIDENCE
+    + """SELECT *, CASE WHEN pii_fields + phi_fields = 0 THEN 'NONE' WHEN pii_fields + phi_fields <= 2 THEN 'LOW' WHEN pii_fields + phi_fields <= 5 THEN 'MEDIUM' WHEN pii_fields + phi_fields <= 10 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_level
+FROM (SELECT count(*) AS total_fields, count(*) FILTER (WHERE pii_confidence >= 0.8) AS pii_fields, count(*) FILTER (WHERE phi_confidence >= 0.9) AS phi_fields FROM confidence)"""
+)
+def risk_band(spark, d):
+    return privacy.pipeline_summary(privacy.flagged(privacy.pipeline_confidence(health_table(spark, d))))
+
+
+@query()
+def declared_fields(spark, d):
+    return privacy.declared_fields(health_table(spark, d))
+
+
+# ---- masking and cleaning
+
+
+@query(_SQL_HEALTH + "SELECT CLAIM_ID, ID, CASE WHEN LAST_NAME IS NOT NULL THEN 'MASKED_NAME' END AS LAST_NAME, CASE WHEN PROVIDER_ZIP IS NOT NULL THEN 'MASKED_PII' END AS PROVIDER_ZIP FROM health")
+def mask_pii(spark, d):
+    return redact.mask(health_table(spark, d), pii=["LAST_NAME", "PROVIDER_ZIP"]).select("CLAIM_ID", "ID", "LAST_NAME", "PROVIDER_ZIP")
+
+
+@query(
+    _SQL_HEALTH
+    + """SELECT CLAIM_ID, CASE WHEN DIAGNOSIS_CODE IS NOT NULL THEN 'MASKED_DIAGNOSIS' END AS DIAGNOSIS_CODE, CASE WHEN PROVIDER_SPECIALTY IS NOT NULL THEN 'MASKED_PROVIDER' END AS PROVIDER_SPECIALTY,
+  CASE WHEN DRG_CODE IS NOT NULL THEN 'MASKED_PHI' END AS DRG_CODE FROM health"""
+)
+def mask_phi(spark, d):
+    return redact.mask(health_table(spark, d), pii=["DIAGNOSIS_CODE"], phi=["DIAGNOSIS_CODE", "PROVIDER_SPECIALTY", "DRG_CODE"]).select("CLAIM_ID", "DIAGNOSIS_CODE", "PROVIDER_SPECIALTY", "DRG_CODE")
+
+
+_SQL_REDACTED = (
+    _SQL_HEALTH[:-1]
+    + """, aged AS (SELECT *, CASE WHEN regexp_matches(AGE, '^\\s*[+-]?\\d+\\s*$') THEN TRY_CAST(AGE AS BIGINT) END AS years FROM health),
+redacted AS (SELECT CLAIM_ID, MEMBER_ID, ID, CASE WHEN LAST_NAME IS NOT NULL THEN '[REDACTED_NAME]' END AS LAST_NAME,
+  CASE WHEN AGE IS NOT NULL THEN CASE WHEN years < 18 THEN 'Under_18' WHEN years < 30 THEN '18-29' WHEN years < 50 THEN '30-49' WHEN years < 70 THEN '50-69' WHEN years >= 70 THEN '70_Plus' ELSE '[REDACTED_AGE]' END END AS AGE,
+  CASE WHEN PROVIDER_ZIP IS NOT NULL THEN CASE WHEN length(PROVIDER_ZIP) >= 3 THEN substr(PROVIDER_ZIP, 1, 3) || 'XX' ELSE '[REDACTED_ZIP]' END END AS PROVIDER_ZIP, DIAGNOSIS_CODE FROM aged) """
+)
+
+
+@query(_SQL_REDACTED + "SELECT * FROM redacted")
+def redact_rows(spark, d):
+    return redact.redact(health_table(spark, d)).select("CLAIM_ID", "MEMBER_ID", "ID", "LAST_NAME", "AGE", "PROVIDER_ZIP", "DIAGNOSIS_CODE")
+
+
+@query(_SQL_REDACTED + "SELECT AGE AS bucket, count(*) AS n FROM redacted GROUP BY AGE")
+def age_buckets(spark, d):
+    return redact.redact(health_table(spark, d)).groupBy(F.col("AGE").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(_SQL_REDACTED + "SELECT PROVIDER_ZIP AS zip, count(*) AS n FROM redacted GROUP BY PROVIDER_ZIP")
+def zip_truncate(spark, d):
+    return redact.redact(health_table(spark, d)).groupBy(F.col("PROVIDER_ZIP").alias("zip")).agg(F.count("*").alias("n"))
+
+
+@query(_SQL_CLEAN + f"SELECT {', '.join(_FIELDS)}, DIAGNOSIS_CODE_VALID FROM cleaned")
+def clean_health_rows(spark, d):
+    return clean.clean_health(health_table(spark, d))
+
+
+@query(_SQL_CLEAN + "SELECT DIAGNOSIS_CODE AS code, DIAGNOSIS_CODE_VALID AS valid, count(*) AS n FROM cleaned GROUP BY ALL")
+def dx_valid_flags(spark, d):
+    cleaned = clean.clean_health(health_table(spark, d))
+    return cleaned.groupBy(F.col("DIAGNOSIS_CODE").alias("code"), F.col("DIAGNOSIS_CODE_VALID").alias("valid")).agg(F.count("*").alias("n"))
+
+
+@query(_SQL_HEALTH + "SELECT CLAIM_ID, CASE WHEN upper(ADMISSION_TYPE) NOT IN ('N/A', 'NA', 'NULL', 'NONE', '') THEN ADMISSION_TYPE END AS ADMISSION_TYPE, CASE WHEN upper(LAST_NAME) NOT IN ('N/A', 'NA', 'NULL', 'NONE', '') THEN LAST_NAME END AS LAST_NAME FROM health")
+def json_safe(spark, d):
+    return clean.json_safe(health_table(spark, d)).select("CLAIM_ID", "ADMISSION_TYPE", "LAST_NAME")
+
+
+# ---- splits and links
+
+_SQL_CLAIM = "MEMBER_ID IS NOT NULL AND MEMBER_ID <> ''"
+
+
+@query(_SQL_HEALTH + f"SELECT {', '.join(P.CLAIM_PROJECTION)} FROM health WHERE {_SQL_CLAIM}")
+def split_claims(spark, d):
+    return split.split_by_identifier(health_table(spark, d))[0]
+
+
+@query(_SQL_HEALTH + f"SELECT {', '.join(P.PATIENT_PROJECTION)} FROM health WHERE NOT coalesce({_SQL_CLAIM}, false) AND ID IS NOT NULL AND ID <> ''")
+def split_demographics(spark, d):
+    return split.split_by_identifier(health_table(spark, d))[1]
+
+
+def _sql_filled(columns) -> str:
+    return "(" + " OR ".join(f"{c} IS NOT NULL" for c in columns) + ")"
+
+
+@query(_SQL_CLEAN + f"SELECT 'claims' AS side, count(*) AS n FROM cleaned WHERE {_sql_filled(P.CLAIM_FIELDS)} UNION ALL SELECT 'patients', count(*) FROM cleaned WHERE {_sql_filled(P.PATIENT_FIELDS)} UNION ALL SELECT 'union', count(*) FROM cleaned WHERE {_sql_filled(P.CLAIM_FIELDS + P.PATIENT_FIELDS)}")
+def split_mixed(spark, d):
+    cleaned = clean.clean_health(health_table(spark, d))
+    claims, people = split.split_mixed(cleaned)
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("side"), "n") for k, df in (("claims", claims), ("patients", people), ("union", split.union_once(cleaned)))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(_SQL_HEALTH + "SELECT count(*) FILTER (WHERE NOT coalesce(LAST_NAME <> '', false)) AS claims_records, count(*) FILTER (WHERE LAST_NAME <> '') AS patient_records FROM health")
+def split_by_name(spark, d):
+    return split.count_by_name(health_table(spark, d))
+
+
+def _linked(spark, d, how):
+    claims, people = split.split_by_identifier(health_table(spark, d))
+    left = people.select("CLAIM_ID", "ID", "AGE")
+    right = claims.select("CLAIM_ID", "MEMBER_ID", "TOTAL_CHARGE")
+    return left.join(right, "CLAIM_ID", how)
+
+
+_SQL_SIDES = _SQL_HEALTH[:-1] + f", claims AS (SELECT CLAIM_ID, MEMBER_ID, TOTAL_CHARGE FROM health WHERE {_SQL_CLAIM}), people AS (SELECT CLAIM_ID, ID, AGE FROM health WHERE MEMBER_ID IS NULL AND ID <> '') "
+
+
+@query(_SQL_SIDES + "SELECT CLAIM_ID, ID, AGE, MEMBER_ID, TOTAL_CHARGE FROM people JOIN claims USING (CLAIM_ID)")
+def claims_by_link_key(spark, d):
+    return _linked(spark, d, "inner")
+
+
+@query(_SQL_SIDES + "SELECT CLAIM_ID, ID, AGE, MEMBER_ID, TOTAL_CHARGE FROM people LEFT JOIN claims USING (CLAIM_ID)")
+def claims_by_link_key_left(spark, d):
+    return _linked(spark, d, "left")
+
+
+@query(_SQL_SIDES + "SELECT * FROM people WHERE CLAIM_ID IN (SELECT CLAIM_ID FROM claims)")
+def claims_by_link_key_semi(spark, d):
+    return _linked(spark, d, "left_semi")
+
+
+@query(_SQL_SIDES + "SELECT * FROM people p WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.CLAIM_ID = p.CLAIM_ID)")
+def claims_by_link_key_anti(spark, d):
+    return _linked(spark, d, "left_anti")
+
+
+@query()
+def sample_rows(spark, d):
+    return split.sample_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat_ws("/", "l_orderkey", "l_linenumber").alias("k")), "k", 1000)
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5")
+def preview(spark, d):
+    return split.preview(table(spark, d, "customer"), "c_custkey").select("c_custkey", "c_name")
+
+
+# ---- health summaries
+
+
+@query(_SQL_CLEAN + " UNION ALL ".join(f"SELECT '{c}' AS field, round(count({c}) / count(*), 3) AS completeness FROM cleaned" for c in _FIELDS))
+def field_completeness(spark, d):
+    return health.field_completeness(clean.clean_health(health_table(spark, d)))
+
+
+@query(
+    "WITH health AS (" + REPEATED.format(orders="orders", customer="customer") + f") SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicate_records FROM (SELECT count(*) AS n FROM health GROUP BY {', '.join(_FIELDS)})"
+)
+def duplicate_rows(spark, d):
+    return health.duplicate_rows(health_table(spark, d, REPEATED))
+
+
+@query(
+    _SQL_CLEAN
+    + f"""SELECT (SELECT count(*) FROM health) AS total_records, (SELECT count(*) FROM cleaned WHERE {_sql_filled(P.CLAIM_FIELDS)}) AS claims_records,
+  (SELECT count(*) FROM cleaned WHERE {_sql_filled(P.PATIENT_FIELDS)}) AS patient_records, 0::BIGINT AS duplicate_records,
+  (SELECT round(0.4 * ({" + ".join(f"count({c})" for c in _FIELDS)} + count(*)) / (count(*) * {len(_FIELDS) + 1}) + 0.4 * avg(DIAGNOSIS_CODE_VALID::INT) + 0.2 * 0.9, 3) FROM cleaned) AS data_quality_score"""
+)
+def health_summary(spark, d):
+    df = health_table(spark, d)
+    return health.summary(df, clean.clean_health(df)).drop("issues_found")
+
+
+@query()
+def health_issues(spark, d):
+    df = health_table(spark, d)
+    return health.summary(df, clean.clean_health(df)).select(F.explode("issues_found").alias("issue"))
+
+
+# ---- schema inference
+
+_SQL_TYPE = """CASE WHEN data_type_hint = 'empty' THEN 'TEXT'
+  WHEN data_type_hint = 'integer' THEN CASE WHEN low >= -128 AND high <= 127 THEN 'TINYINT' WHEN low >= -32768 AND high <= 32767 THEN 'SMALLINT' WHEN low >= -2147483648 AND high <= 2147483647 THEN 'INTEGER' ELSE 'BIGINT' END
+  WHEN data_type_hint IN ('float', 'currency') THEN 'DECIMAL(10,2)' WHEN data_type_hint = 'date' THEN 'DATE' WHEN data_type_hint = 'boolean' THEN 'BOOLEAN'
+  WHEN data_type_hint = 'categorical' THEN CASE WHEN unique_count <= 10 AND longest <= 50 THEN 'ENUM' ELSE 'VARCHAR(' || greatest(longest, 50) || ')' END
+  WHEN longest <= 50 THEN 'VARCHAR(50)' WHEN longest <= 255 THEN 'VARCHAR(' || longest || ')' WHEN longest <= 65535 THEN 'TEXT' ELSE 'LONGTEXT' END"""
+_SQL_KEYS = """round(CASE WHEN cardinality_rate >= 0.95 THEN 0.4 ELSE 0 END + CASE WHEN null_rate = 0 THEN 0.3 ELSE 0 END + CASE WHEN data_type_hint IN ('integer', 'text') THEN 0.2 ELSE 0 END + CASE WHEN quality_score > 0.8 THEN 0.1 ELSE 0 END, 6)::DOUBLE AS pk_score,
+  round(CASE WHEN regexp_matches(lower(column_name), '_id|id|_key|ref') THEN 0.3 ELSE 0 END + CASE WHEN cardinality_rate BETWEEN 0.1 AND 0.8 THEN 0.2 ELSE 0 END + CASE WHEN data_type_hint IN ('integer', 'text') THEN 0.2 ELSE 0 END
+  + CASE WHEN null_rate < 0.1 THEN 0.2 ELSE 0 END + CASE WHEN quality_score > 0.7 THEN 0.1 ELSE 0 END, 6)::DOUBLE AS fk_score"""
+
+
+@query(_LONG_ORDERS + f"SELECT column_name, {_SQL_TYPE} AS sql_type FROM scored")
+def sql_type_map(spark, d):
+    return schema.infer(table(spark, d, "orders"), _ORDERS).select("column_name", "sql_type")
+
+
+@query(_LONG_CUSTOMER + f"SELECT column_name, {_SQL_TYPE} AS sql_type FROM scored")
+def sql_type_map_customer(spark, d):
+    return schema.infer(table(spark, d, "customer")).select("column_name", "sql_type")
+
+
+@query(_LONG_CUSTOMER + f"SELECT *, pk_score >= 0.7 AS pk_candidate, fk_score >= 0.6 AS fk_candidate FROM (SELECT column_name, {_SQL_KEYS} FROM scored)")
+def key_candidates(spark, d):
+    return schema.key_scores(profile.profile_columns(table(spark, d, "customer")))
+
+
+@query(
+    _LONG_CUSTOMER
+    + """SELECT column_name, 'not_null' AS kind FROM scored WHERE null_rate = 0 AND total_count > 10
+UNION ALL SELECT column_name, 'unique' FROM scored WHERE cardinality_rate = 1 AND total_count <= 10000 AND (SELECT count(*) FROM scored) <= 10"""
+)
+def constraint_table(spark, d):
+    return schema.constraint_table(profile.profile_columns(table(spark, d, "customer")))
+
+
+@query()
+def schema_relationships(spark, d):
+    return schema.relationships(schema.infer(table(spark, d, "orders"), _ORDERS))
+
+
+@query(
+    _SQL_HEALTH[:-1]
+    + f""", long AS ({_sql_long({"health": ["DIAGNOSIS_CODE", "PROCEDURE_CODE", "CLAIM_ID"]})}) SELECT column_name, {", ".join(f"count(*) FILTER (WHERE regexp_matches(value, '{p}')) / count(value) > 0.7 AS {k}" for k, p in P.MEDICAL.items())},
+  regexp_matches(lower(column_name), 'id|key|identifier') AS likely_identifier, regexp_matches(lower(column_name), 'name|title|description') AS likely_name_field,
+  regexp_matches(lower(column_name), 'date|time|created|updated') AS likely_temporal FROM long GROUP BY column_name"""
+)
+def special_patterns(spark, d):
+    return schema.special_patterns(profile.frequencies(health_table(spark, d), ["DIAGNOSIS_CODE", "PROCEDURE_CODE", "CLAIM_ID"]))
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value, min({c}) >= 0 AS non_negative, count(*) FILTER (WHERE {c} = 0) = 0 AS non_zero,
+    min({c}) >= 0 AND max({c}) <= 150 AS likely_age, min({c}) >= 0 AND max({c}) <= 100 AS likely_percentage, min({c}) >= 1900 AND max({c}) <= 2030 AS likely_year FROM lineitem"""
+        for c in _LINE
+    )
+)
+def numeric_constraints(spark, d):
+    return schema.numeric_constraints(profile.numeric_statistics(table(spark, d, "lineitem"), _LINE))
+
+
+@query("SELECT 'l_returnflag' AS column_name, 0::BIGINT AS true_count, count(*) FILTER (WHERE lower(l_returnflag) IN ('false', '0', 'no', 'n')) AS false_count, 'mixed' AS representation FROM lineitem")
+def boolean_columns(spark, d):
+    return schema.boolean_columns(profile.frequencies(table(spark, d, "lineitem"), ["l_returnflag"]))
+
+
+@query()
+def ordinal_columns(spark, d):
+    return schema.ordinal_columns(profile.frequencies(table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"]))
+
+
+@query(
+    f"""WITH f AS (SELECT column_name, value, count(*) AS n FROM ({_sql_long({"orders": ["o_orderstatus", "o_orderpriority"]})}) GROUP BY ALL)
+SELECT column_name, value, n, round(n / sum(n) OVER (PARTITION BY column_name), 4) AS frequency FROM f"""
+)
+def category_frequencies(spark, d):
+    return schema.category_frequencies(profile.frequencies(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"]))
+
+
+@query()
+def field_schema(spark, d):
+    fields = schema.field_schema(health_table(spark, d), hints=True)
+    return fields.select("column_name", "type", "nullable", "null_percentage", "unique_percentage", "min", "max", "pattern", "healthcare_category")
+
+
+@query(_LONG_CUSTOMER + "SELECT column_name, 'range' AS kind, low AS min, high AS max FROM base WHERE numbers / non_null_count > 0.8")
+def value_ranges(spark, d):
+    return schema.constraints(schema.field_schema(table(spark, d, "customer"))).filter("kind = 'range'")
+
+
+@query()
+def field_type_histogram(spark, d):
+    return schema.type_histogram(schema.field_schema(health_table(spark, d)))
+
+
+@query()
+def identifier_patterns(spark, d):
+    return schema.identifier_patterns(profile.frequencies(health_table(spark, d), ["CLAIM_ID", "ID", "DIAGNOSIS_CODE"]))
+
+
+@query(f"SELECT column_name, coalesce(max(length(split_part(value, '.', 2))), 0) AS decimal_places FROM ({_sql_long({'lineitem': ['l_discount', 'l_quantity']}, ('l_discount', 'l_quantity'))}) GROUP BY column_name")
+def decimal_places(spark, d):
+    return schema.decimal_places(profile.frequencies(table(spark, d, "lineitem"), ["l_discount", "l_quantity"]))
+
+
+def _sql_distribution(columns: dict[str, str]) -> str:
+    rows = " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*)::DOUBLE AS n, avg(pow({c} - m, 3)) / pow(avg(pow({c} - m, 2)), 1.5) AS g1, avg(pow({c} - m, 4)) / pow(avg(pow({c} - m, 2)), 2) AS b2
+        FROM {t}, (SELECT avg({c}) AS m FROM {t})"""
+        for c, t in columns.items()
+    )
+    return f"""WITH moments AS ({rows}),
+a AS (SELECT *, g1 * sqrt((n+1)*(n+3)/(6*(n-2))) AS y, 3*(n*n+27*n-70)*(n+1)*(n+3)/((n-2)*(n+5)*(n+7)*(n+9)) AS beta, 3*(n-1)/(n+1) AS e, 24*n*(n-2)*(n-3)/((n+1)*(n+1)*(n+3)*(n+5)) AS v,
+  6*(n*n-5*n+2)/((n+7)*(n+9))*sqrt(6*(n+3)*(n+5)/(n*(n-2)*(n-3))) AS s FROM moments),
+b AS (SELECT *, -1 + sqrt(2*(beta-1)) AS w2, 6 + 8/s*(2/s + sqrt(1 + 4/(s*s))) AS k, (b2 - e)/sqrt(v) AS x FROM a),
+c AS (SELECT *, y / sqrt(2/(w2-1)) AS r, 1 + x*sqrt(2/(k-4)) AS q FROM b),
+z AS (SELECT *, 1/sqrt(0.5*ln(w2)) * ln(r + sqrt(r*r+1)) AS z1, (1 - 2/(9*k) - sign(q)*cbrt((1-2/k)/abs(q)))/sqrt(2/(9*k)) AS z2 FROM c)
+SELECT column_name, round(g1, 4) AS skewness, CASE WHEN exp(-(z1*z1 + z2*z2)/2) > 0.05 THEN 'normal' WHEN abs(g1) < 0.5 THEN 'symmetric' WHEN g1 > 0.5 THEN 'right_skewed' ELSE 'left_skewed' END AS distribution FROM z"""
+
+
+@query(_sql_distribution({"l_quantity": "lineitem", "l_extendedprice": "lineitem", "o_totalprice": "orders"}))
+def distribution_label(spark, d):
+    found = schema.distributions(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"]).unionByName(schema.distributions(table(spark, d, "orders"), ["o_totalprice"]))
+    return rounded(found.select("column_name", "skewness", "distribution"), 4)
+
+
+# ---- comparison of two tables
+
+
+@query(
+    """WITH v AS (SELECT l_extendedprice AS v, count(*) FILTER (WHERE l_returnflag = 'A') AS a, count(*) FILTER (WHERE l_returnflag = 'R') AS b FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1),
+r AS (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () - sum(b) OVER (ORDER BY v) / sum(b) OVER () AS gap FROM v)
+SELECT (SELECT round(max(abs(gap)), 6) FROM r) AS statistic, (SELECT sum(a)::BIGINT FROM v) AS n_left, (SELECT sum(b)::BIGINT FROM v) AS n_right"""
+)
+def ks_statistic(spark, d):
+    lines = table(spark, d, "lineitem")
+    return rounded(validate.ks_statistic(lines.filter("l_returnflag = 'A'"), lines.filter("l_returnflag = 'R'"), "l_extendedprice"))
+
+
+@query(
+    """WITH c AS (SELECT o_orderpriority, count(*) FILTER (WHERE o_orderkey % 2 = 1) AS a, count(*) FILTER (WHERE o_orderkey % 2 = 0) AS b FROM orders GROUP BY 1),
+t AS (SELECT *, a / sum(a) OVER () * sum(b) OVER () AS e FROM c) SELECT round(sum((b - e) * (b - e) / e), 6) AS statistic, count(*) - 1 AS freedom FROM t"""
+)
+def chi_square_statistic(spark, d):
+    orders = table(spark, d, "orders")
+    return rounded(validate.chi_square(orders.filter("o_orderkey % 2 = 1"), orders.filter("o_orderkey % 2 = 0"), "o_orderpriority"))
+
+
+_SQL_OVERLAP = """WITH a AS (SELECT DISTINCT CAST(p_size AS VARCHAR) || p_brand AS v FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT CAST(p_size AS VARCHAR) || p_brand AS v FROM part WHERE p_partkey % 2 = 1),
+n AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS shared, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS every) """
+
+
+def _halves(spark, d):
+    parts = table(spark, d, "part").withColumn("v", F.concat(F.col("p_size").cast("string"), "p_brand"))
+    return parts.filter("p_partkey % 2 = 0"), parts.filter("p_partkey % 2 = 1")
+
+
+@query(_SQL_OVERLAP + "SELECT round(shared / every, 4) AS jaccard FROM n")
+def jaccard(spark, d):
+    return validate.jaccard(*_halves(spark, d), "v")
+
+
+@query(_SQL_OVERLAP + "SELECT *, CASE WHEN exact_match_percent < 5 THEN 'LOW' WHEN exact_match_percent < 15 THEN 'MEDIUM' WHEN exact_match_percent < 30 THEN 'HIGH' ELSE 'CRITICAL' END AS risk, exact_match_percent < 10 AS preserved FROM (SELECT round(shared * 100 / na, 2) AS exact_match_percent FROM n)")
+def privacy_overlap(spark, d):
+    return validate.privacy_overlap(*_halves(spark, d), "v")
+
+
+_PAIRS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+def _sql_corr() -> str:
+    side = lambda odd: " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM lineitem WHERE l_orderkey % 2 = {odd}" for i, a in enumerate(_PAIRS) for b in _PAIRS[i + 1 :])
+    return f"""SELECT a, b, round(l.r, 6) AS r_left, round(r.r, 6) AS r_right, round(abs(l.r - r.r), 6) AS delta, abs(l.r - r.r) <= 0.1 AS passed
+FROM ({side(0)}) l JOIN ({side(1)}) r USING (a, b)"""
+
+
+@query(_sql_corr())
+def correlation_delta(spark, d):
+    lines = table(spark, d, "lineitem")
+    return rounded(validate.correlation_deltas(lines.filter("l_orderkey % 2 = 0"), lines.filter("l_orderkey % 2 = 1"), _PAIRS))
+
+
+@query(
+    _SQL_HEALTH
+    + """SELECT 'COINSURANCE' AS field, 'below_range' AS kind, count(*) FILTER (WHERE COINSURANCE < 0) AS violations FROM health UNION ALL
+SELECT 'COINSURANCE', 'above_range', count(*) FILTER (WHERE COINSURANCE > 1) FROM health UNION ALL SELECT 'TOTAL_CHARGE', 'below_range', count(*) FILTER (WHERE TOTAL_CHARGE < 0) FROM health UNION ALL
+SELECT 'LAST_NAME', 'not_null', count(*) FILTER (WHERE LAST_NAME IS NULL) FROM health UNION ALL
+SELECT 'CLAIM_ID', 'unique', CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM health GROUP BY CLAIM_ID) UNION ALL SELECT 'ABSENT', 'missing', 1"""
+)
+def constraint_violations(spark, d):
+    return validate.constraint_violations(health_table(spark, d), {"COINSURANCE": (0.0, 1.0), "TOTAL_CHARGE": (0.0, None)}, ["LAST_NAME", "ABSENT"], ["CLAIM_ID"])
+
+
+def _comparison(spark, d):
+    parts = table(spark, d, "part").select("p_size", "p_retailprice", "p_brand", "p_name")
+    halves = [parts.filter(f"p_size % 2 = {k}") for k in (0, 1)]
+    return validate.validate(halves[0], halves[1], {"p_size": "integer", "p_retailprice": "float", "p_brand": "categorical", "p_name": "string"})
+
+
+@query()
+def validation_tests(spark, d):
+    return _comparison(spark, d)[0]
+
+
+@query()
+def validation_overall(spark, d):
+    return _comparison(spark, d)[1]
+
+
+# ---- synthesis and lifecycles
+
+
+@query()
+def synth_claims(spark, d):
+    claims, _ = split.split_by_identifier(health_table(spark, d))
+    return synth.claims(spark, claims.count(), claims)
+
+
+@query()
+def synth_demographics(spark, d):
+    _, people = split.split_by_identifier(health_table(spark, d))
+    return synth.demographics(spark, people.count(), people)
+
+
+@query()
+def synth_numeric(spark, d):
+    parts = table(spark, d, "part").select("p_size", "p_retailprice", "p_brand", "p_name")
+    return synth.from_schema(parts, schema.field_schema(parts), multiplier=2)
+
+
+@query()
+def pipeline_synthetic(spark, d):
+    return pipeline.run(health_table(spark, d)).synthetic
+
+
+@query()
+def upload_demographics(spark, d):
+    return pipeline.upload(health_table(spark, d))["synthetic_demographics"]
+
+
+@query()
+def privacy_report(spark, d):
+    return privacy.report(table(spark, d, "customer"))
