@@ -330,9 +330,9 @@ def remove_repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
     c.free_shuffles(docs.sparkSession)
     place = [F.col("dk"), F.shiftright("pos", 32).alias("th"), F.col("pos").bitwiseAND(F.lit(2**32 - 1)).alias("lo")]
     opens = judged.filter(F.col("kind") == OPEN).select(*place, "geo", "anchor").groupBy("dk", "th").agg(F.collect_list(F.struct("lo", "geo", "anchor")).alias("opens"))
-    dealt = base.repartition("dk", "th")
-    windows = dealt.join(opens, ["dk", "th"], "left").select("dk", "th", "text", "opens").mapInArrow(_windows(threshold), item)
+    # both joins ask for the same exchange of the texts, which is made once
+    windows = base.join(opens, ["dk", "th"], "left").select("dk", "th", "text", "opens").mapInArrow(_windows(threshold), item)
     edges = windows.repartition("anchor").mapInArrow(_last_digit(threshold), item)
     spans = judged.filter(F.col("kind") == SETTLED).unionByName(edges).select(*place, "geo").groupBy("dk", "th").agg(F.collect_list(F.struct("lo", "geo")).alias("spans"))
-    cut = dealt.join(spans, ["dk", "th"], "left").select(c.original_id().alias("doc_id"), "text", "spans")
+    cut = base.join(spans, ["dk", "th"], "left").select(c.original_id().alias("doc_id"), "text", "spans")
     return cut.mapInArrow(_cut, "doc_id long, text string, kept binary, span_start array<long>, span_end array<long>")
