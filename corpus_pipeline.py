@@ -13,31 +13,37 @@ from pyspark.sql import functions as F
 from spindrift.llm import common, fm_index, language_id, line_dedup, queries, simhash
 
 
-def _recounted(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long"))
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and lang, with all of a row's columns as one struct, so that no column meets an operator's own."""
+    return docs.select("doc_id", "text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def _unpacked(packed: DataFrame, docs: DataFrame, changed: bool = False) -> DataFrame:
+    """The columns of ``docs`` again; ``changed``: with the new text and its length."""
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")} if changed else {}
+    return packed.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language cannot be determined; ``lang`` stays as given."""
-    model = language_id.train(docs)
-    found = language_id.predict(docs.select(*docs.columns), model)
-    return found.filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    found = language_id.predict(_packed(docs), language_id.train(docs))
+    return _unpacked(found.filter(F.col("lang_pred") != language_id.UNDETERMINED), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _recounted(line_dedup.drop_common_lines(docs, min_docs=10).select(*docs.columns))
+    return _unpacked(line_dedup.drop_common_lines(_packed(docs), min_docs=10), docs, changed=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document whose id names its component.  Rows without an id keep their place; of rows that share an
     id that stays, all stay."""
     found = simhash.near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = common.read_table(spark, sf_dir, "benchmark")
-    return _recounted(fm_index.remove_contamination(fm_index.find_contamination(docs, items)).select(*docs.columns))
+    return _unpacked(fm_index.remove_contamination(fm_index.find_contamination(_packed(docs), items)), docs, changed=True)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A page is cut into blocks, each in a zone: the article, chrome by its element or class names (menus, footers,
 adverts, forms, comments), or neither.  The word streams of a host's pages are sorted in one suffix array, through
-``DEPTH`` words; strings of that many words that occur on distinct pages are boilerplate.  Article blocks are the
-text; where a page marks no article, its other blocks are, less those that repeated strings mostly cover.
+``DEPTH`` words; strings of that many words that occur on distinct pages (pages of different words) are boilerplate.
+Article blocks are the text; where a page marks no article, its other blocks are, less those that repeated strings
+mostly cover.
 
 Hosts are dealt in shards of bounded size, so that one host with a third of all pages fills many tasks.
 """
@@ -42,7 +43,7 @@ CHROME_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("articlebody".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/][^<>]*>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/][^<>]*(?:>|(?=<)|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[A-Za-z]+")
 _CLOSE = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
@@ -198,12 +199,12 @@ def _judged(min_cover: float):
         vocabulary: dict[str, int] = {}
         codes: list[int] = []
         page: list[int] = []
-        for k, own in enumerate(pages):
-            for block in own:
-                words = block["text"].split()
-                codes.extend(vocabulary.setdefault(w, len(vocabulary)) for w in words)
-            codes.append(-1)
-            page.extend([k] * (len(codes) - len(page)))
+        known: dict[tuple[int, ...], int] = {}
+        for own in pages:
+            stream = [vocabulary.setdefault(w, len(vocabulary)) for block in own for w in block["text"].split()]
+            number = known.setdefault(tuple(stream), len(known))  # copies of a page are one page
+            codes += [*stream, -1]
+            page += [number] * (len(stream) + 1)
         begins = repeated_windows(np.array(codes, dtype=np.int64), np.array(page, dtype=np.int64))
         reach = np.maximum.accumulate(np.where(begins, np.arange(len(begins)) + DEPTH, 0))
         covered = np.append(0, np.cumsum(np.arange(len(begins)) < reach))
