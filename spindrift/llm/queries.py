@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, fm_index, html_text, language_id, line_dedup, media, quality, simhash, suffix_dedup, toxicity
 from . import common as c
+from .oracles import ORACLES
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
@@ -140,8 +141,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     f.__name__: f
     for f in (op1_html_text, op2_suffix_dedup, op3_quality, op4_language_id, op5_decontamination, op6_byte_bpe, op7_media_columns, op8_line_dedup, op9_simhash, op10_toxicity)
 }
-ORACLES: dict[str, str] = {}
