@@ -25,10 +25,12 @@ WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 PREFIXES = (4, 5, 6)
 #: Bounds of the labelled sample: documents of each label, and bytes of one text.
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS = 2000
 SAMPLE_BYTES = 1 << 16
-#: A feature marks toxic documents at this log-odds and this many of them.
-MARKED, MARKED_DOCS = 2.5, 4
+#: A feature marks toxic documents at this log-odds, in this many of them and in this share of them.
+MARKED, MARKED_DOCS, MARKED_SHARE = 2.5, 4, 0.005
+#: A training document is a near copy if so much of its word runs of COPY_WORDS was seen in others.
+COPY_WORDS, COPY_SHARE = 5, 0.3
 MAX_WORDS = 300_000
 THRESHOLD = 0.3
 
@@ -98,20 +100,38 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> tu
     return marginal, moves
 
 
-def fit(texts: list[bytes], toxic: list[int], rounds: int = 40) -> Crf:
-    """Fits the field and the calibration to labelled documents."""
+def without_copies(words: list[list[bytes]]) -> list[tuple[int, set[bytes]]]:
+    """Documents that are no near copies of earlier ones, by number, each with its words outside passages that earlier
+    ones have: copies would make any rare word of theirs look like a mark of their label."""
+    seen: set[tuple[bytes, ...]] = set()
+    kept = []
+    for k, own in enumerate(words):
+        runs = [tuple(own[i : i + COPY_WORDS]) for i in range(max(1, len(own) - COPY_WORDS + 1))]
+        new = [r not in seen for r in runs]
+        if sum(new) >= (1 - COPY_SHARE) * len(runs):
+            fresh = {r[len(r) // 2] for r, n in zip(runs, new) if n}
+            kept.append((k, fresh | set(runs[0] if new[0] else ()) | set(runs[-1] if new[-1] else ())))
+        seen.update(runs)
+    return kept
+
+
+def fit(texts: list[bytes], toxic: list[int], share: float | None = None, rounds: int = 40) -> Crf:
+    """Fits the field and the calibration to labelled documents, near copies left out.  ``share``: the toxic share of
+    all labelled documents, where the sample has another."""
     words = [tokens(t) for t in texts]
+    own = without_copies(words)
+    words, toxic = [words[k] for k, _ in own], [toxic[k] for k, _ in own]
     y = np.array(toxic, dtype=float)
     seen = [Counter(), Counter()]
-    for own, label in zip(words, toxic):
-        seen[label].update({f for w in set(own) for f in features(w)})
+    for (_, fresh), label in zip(own, toxic):
+        seen[label].update({f for w in fresh for f in features(w)})
     n0, n1 = max(1, len(y) - y.sum()), max(1, y.sum())
-    odds = {f: np.log((k / n1) / ((seen[0][f] + 0.5) / n0)) for f, k in seen[1].items() if k >= MARKED_DOCS}
+    least = max(MARKED_DOCS, MARKED_SHARE * n1)
+    odds = {f: np.log((k / n1) / ((seen[0][f] + 0.5) / n0)) for f, k in seen[1].items() if k >= least}
     marks = {f: s for f, s in odds.items() if s >= MARKED}
     crf = Crf()
     if marks:
-        # only features that some marked word has can win weight; the others stay at zero
-        names = {f: i for i, f in enumerate(sorted({f for own in words for w in set(own) for f in features(w) if f in odds}))}
+        names = {f: i for i, f in enumerate(sorted(marks))}
         number: dict[bytes, int] = {}
         rows: list[list[int]] = []
         flag: list[bool] = []
@@ -151,6 +171,8 @@ def fit(texts: list[bytes], toxic: list[int], rounds: int = 40) -> Crf:
         crf = Crf({f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}, float(bias), step)
     x = np.array([summary(m) for m in _per_document(crf, words)]).reshape(-1, 2)
     crf.calibration = _logistic(x, y)
+    if share and 0 < share < 1 and len(y) and 0 < y.mean() < 1:
+        crf.calibration[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return crf
 
 
@@ -212,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     texts = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES)
     rows = texts.join(F.broadcast(chosen), "doc_id").select("draw", "toxic", "text").toArrow()  # chosen is bounded by the sample
     rows = sorted(zip(rows.column("draw").to_pylist(), rows.column("toxic").to_pylist(), c.text_bytes(rows.column("text").combine_chunks())))
-    return fit([t for _, _, t in rows], [k for _, k, _ in rows])
+    return fit([t for _, _, t in rows], [k for _, k, _ in rows], sizes.get(1, 0) / sum(sizes.values()))
 
 
 def _scored(shared, with_spans: bool):
