@@ -9,7 +9,6 @@ labels, of its tokens' marginals; spans of tokens with high marginals are the of
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -25,10 +24,10 @@ WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 PREFIXES = (4, 5, 6)
 #: Bounds of the labelled sample: documents of each label, and bytes of one text.
-SAMPLE_DOCS = 2000
-SAMPLE_BYTES = 1 << 16
+SAMPLE_DOCS = 1500
+SAMPLE_BYTES = 1 << 15
 #: A feature marks toxic documents at this log-odds, in this many of them and in this share of them.
-MARKED, MARKED_DOCS, MARKED_SHARE = 2.5, 4, 0.005
+MARKED, MARKED_DOCS, MARKED_SHARE = 2.5, 4, 0.012
 #: A training document is a near copy if so much of its word runs of COPY_WORDS was seen in others.
 COPY_WORDS, COPY_SHARE = 5, 0.3
 MAX_WORDS = 300_000
@@ -100,82 +99,107 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> tu
     return marginal, moves
 
 
-def without_copies(words: list[list[bytes]]) -> list[tuple[int, set[bytes]]]:
-    """Documents that are no near copies of earlier ones, by number, each with its words outside passages that earlier
-    ones have: copies would make any rare word of theirs look like a mark of their label."""
-    seen: set[tuple[bytes, ...]] = set()
-    kept = []
-    for k, own in enumerate(words):
-        runs = [tuple(own[i : i + COPY_WORDS]) for i in range(max(1, len(own) - COPY_WORDS + 1))]
-        new = [r not in seen for r in runs]
-        if sum(new) >= (1 - COPY_SHARE) * len(runs):
-            fresh = {r[len(r) // 2] for r, n in zip(runs, new) if n}
-            kept.append((k, fresh | set(runs[0] if new[0] else ()) | set(runs[-1] if new[-1] else ())))
-        seen.update(runs)
-    return kept
+def _coded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words, the word numbers of all texts one after another, and the texts' lengths in words."""
+    number: dict[bytes, int] = {}
+    own = [np.array([number.setdefault(w, len(number)) for w in tokens(t)], dtype=np.int64) for t in texts]
+    return list(number), np.concatenate([np.zeros(0, dtype=np.int64), *own]), np.array([len(x) for x in own], dtype=np.int64)
+
+
+def _fresh(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents are no near copies of earlier ones, and which tokens lie outside passages that earlier ones
+    have: copies would make any rare word of theirs look like a mark of their label."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    left = np.repeat(lengths, lengths) - at
+    run = np.zeros(len(ids), dtype=np.uint64)
+    for k in range(COPY_WORDS):  # shorter at a document's end
+        word = np.where(left > k, np.roll(ids, -k) + 1, 0).astype(np.uint64)
+        run = (run ^ word) * np.uint64(0x9E3779B97F4A7C15)
+        run ^= run >> np.uint64(29)
+    _, first, group = np.unique(run, return_index=True, return_inverse=True)
+    new = doc[first][group] == doc  # the first index is the earliest document's
+    whole = (left >= COPY_WORDS) | (at == 0)
+    n_new = np.bincount(doc[whole & new], minlength=len(lengths))
+    n_runs = np.bincount(doc[whole], minlength=len(lengths))
+    return n_new >= (1 - COPY_SHARE) * n_runs, new
 
 
 def fit(texts: list[bytes], toxic: list[int], share: float | None = None, rounds: int = 40) -> Crf:
     """Fits the field and the calibration to labelled documents, near copies left out.  ``share``: the toxic share of
     all labelled documents, where the sample has another."""
-    words = [tokens(t) for t in texts]
-    own = without_copies(words)
-    words, toxic = [words[k] for k, _ in own], [toxic[k] for k, _ in own]
+    vocabulary, ids, lengths = _coded(texts)
     y = np.array(toxic, dtype=float)
-    seen = [Counter(), Counter()]
-    for (_, fresh), label in zip(own, toxic):
-        seen[label].update({f for w in fresh for f in features(w)})
-    n0, n1 = max(1, len(y) - y.sum()), max(1, y.sum())
-    least = max(MARKED_DOCS, MARKED_SHARE * n1)
-    odds = {f: np.log((k / n1) / ((seen[0][f] + 0.5) / n0)) for f, k in seen[1].items() if k >= least}
-    marks = {f: s for f, s in odds.items() if s >= MARKED}
+    kept, new = _fresh(ids, lengths)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    pair = np.unique((doc * (len(vocabulary) + 1) + ids)[new & kept[doc]])
+    pair_doc, pair_word = pair // (len(vocabulary) + 1), pair % (len(vocabulary) + 1)
+    names: dict[bytes, int] = {}
+    owned = [[names.setdefault(f, len(names)) for f in features(w)] for w in vocabulary]
+    flat = np.array([f for some in owned for f in some], dtype=np.int64)
+    size = np.array([len(some) for some in owned], dtype=np.int64)
+    start = np.cumsum(size) - size
+    wide = np.repeat(start[pair_word] - (np.cumsum(size[pair_word]) - size[pair_word]), size[pair_word])
+    feature = flat[np.arange(len(wide)) + wide]
+    once = np.unique(np.repeat(pair_doc, size[pair_word]) * (len(names) + 1) + feature)
+    hit_doc, hit = once // (len(names) + 1), once % (len(names) + 1)
+    in_toxic = np.bincount(hit[y[hit_doc] > 0], minlength=len(names))
+    in_clean = np.bincount(hit[y[hit_doc] == 0], minlength=len(names))
+    n1, n0 = max(1.0, (kept & (y > 0)).sum()), max(1.0, (kept & (y == 0)).sum())
+    with np.errstate(divide="ignore"):
+        odds = np.log((in_toxic / n1) / ((in_clean + 0.5) / n0))
+    marks = (odds >= MARKED) & (in_toxic >= max(MARKED_DOCS, MARKED_SHARE * n1))
+
+    stay = kept[doc]
+    ids, lengths, y = ids[stay], lengths[kept], y[kept]
     crf = Crf()
-    if marks:
-        names = {f: i for i, f in enumerate(sorted(marks))}
-        number: dict[bytes, int] = {}
-        rows: list[list[int]] = []
-        flag: list[bool] = []
-        for own in words:
-            for w in own:
-                if w not in number:
-                    number[w] = len(number)
-                    rows.append([names[f] for f in features(w) if f in names])
-                    flag.append(any(f in marks for f in features(w)))
-        ids = np.array([number[w] for own in words for w in own], dtype=np.int64)
-        lengths = np.array([len(own) for own in words])
-        is_marked = np.array(flag)
-        target = is_marked[ids] & np.repeat(y > 0, lengths)
-        flat = np.array([i for r in rows for i in r], dtype=np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        first = np.zeros(len(ids), dtype=bool)
-        first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        seen_moves = np.zeros((2, 2))
-        to = np.flatnonzero(~first)
-        np.add.at(seen_moves, (target[to - 1].astype(int), target[to].astype(int)), 1)
-        weights, bias, step = np.zeros(len(names)), crf.bias, crf.step.copy()
-        squares, bias_square, step_square = np.full(len(names), 1e-6), 1e-6, np.full((2, 2), 1e-6)
-        per_word = np.bincount(ids, weights=target, minlength=len(rows))
-        for _ in range(rounds):
-            emission = bias + np.bincount(owner, weights=weights[flat], minlength=len(rows))
-            marginal, moves = forward_backward(emission[ids], lengths, step)
-            gap = per_word - np.bincount(ids, weights=marginal, minlength=len(rows))
-            grad = np.bincount(flat, weights=gap[owner], minlength=len(names)) - 0.5 * weights
-            squares += grad**2
-            weights += 0.7 * grad / np.sqrt(squares)
-            grad = gap.sum()
-            bias_square += grad**2
-            bias += 0.7 * grad / np.sqrt(bias_square)
-            grad = seen_moves - moves - 0.5 * step
-            step_square += grad**2
-            step += 0.3 * grad / np.sqrt(step_square)
-        crf = Crf({f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}, float(bias), step)
-    x = np.array([summary(m) for m in _per_document(crf, words)]).reshape(-1, 2)
+    if marks.any():
+        dense = np.cumsum(marks) - 1
+        owner = np.repeat(np.arange(len(vocabulary)), size)[marks[flat]]
+        flat = dense[flat[marks[flat]]]
+        labels = [f for f, m in zip(names, marks) if m]
+        crf = _ascend(ids, lengths, y, flat, owner, labels, len(vocabulary), rounds)
+    emission = np.array([crf.emission(w) for w in vocabulary])
+    marginal = crf.marginals(emission[ids], lengths) if len(ids) else np.zeros(0)
+    parts = np.split(marginal, np.cumsum(lengths)[:-1]) if len(lengths) else []
+    x = np.array([summary(m) for m in parts]).reshape(-1, 2)
     crf.calibration = _logistic(x, y)
     if share and 0 < share < 1 and len(y) and 0 < y.mean() < 1:
         crf.calibration[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     return crf
 
 
+def _ascend(ids: np.ndarray, lengths: np.ndarray, y: np.ndarray, flat: np.ndarray, owner: np.ndarray, names: list[bytes], n_words: int, rounds: int) -> Crf:
+    """Gradient ascent on the field's likelihood.  Word ``owner[i]`` has feature ``flat[i]``; a token of a toxic
+    document is labelled toxic if its word has any."""
+    crf = Crf()
+    is_marked = np.zeros(n_words, dtype=bool)
+    is_marked[owner] = True
+    target = is_marked[ids] & np.repeat(y > 0, lengths)
+    first = np.zeros(len(ids), dtype=bool)
+    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    seen_moves = np.zeros((2, 2))
+    to = np.flatnonzero(~first)
+    np.add.at(seen_moves, (target[to - 1].astype(int), target[to].astype(int)), 1)
+    weights, bias, step = np.zeros(len(names)), crf.bias, crf.step.copy()
+    squares, bias_square, step_square = np.full(len(names), 1e-6), 1e-6, np.full((2, 2), 1e-6)
+    per_word = np.bincount(ids, weights=target, minlength=n_words)
+    for _ in range(rounds):
+        emission = bias + np.bincount(owner, weights=weights[flat], minlength=n_words)
+        marginal, moves = forward_backward(emission[ids], lengths, step)
+        gap = per_word - np.bincount(ids, weights=marginal, minlength=n_words)
+        grad = np.bincount(flat, weights=gap[owner], minlength=len(names)) - 0.5 * weights
+        squares += grad**2
+        weights += 0.7 * grad / np.sqrt(squares)
+        grad = gap.sum()
+        bias_square += grad**2
+        bias += 0.7 * grad / np.sqrt(bias_square)
+        grad = seen_moves - moves - 0.5 * step
+        step_square += grad**2
+        step += 0.3 * grad / np.sqrt(step_square)
+    return Crf({f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-3}, float(bias), step)
+
+
 def _per_document(crf: Crf, words: list[list[bytes]], cache: dict | None = None) -> list[np.ndarray]:
     cache = _Emissions(crf) if cache is None else cache
     lengths = np.array([len(w) for w in words], dtype=np.int64)
