@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from . import common as c
 
-#: Bounds of the worker's memory: transitions (some 250 bytes each) and whole pieces (some 150 bytes each).
-MAX_TRANSITIONS = 250_000
+#: Bounds of the worker's memory: transitions (some 700 bytes each, with their states) and whole pieces (some 160 bytes each).
+MAX_TRANSITIONS = 150_000
 MAX_PIECES = 600_000
 _NO_RANK = 1 << 60
 
@@ -95,7 +96,7 @@ class Transducer:
         key = left << 20 | right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= 4 * self.max_transitions:
+            if len(self._pairs) >= 2 * self.max_transitions:
                 self._pairs.clear()
             known = self._pairs[key] = self._stable(left, right)
         return known
@@ -243,13 +244,9 @@ class Codec:
 
     def decode_stream(self, ids: Iterable[int], size: int = 4096) -> Iterator[str]:
         """Text pieces as ids arrive, ``size`` ids at a time; characters split over tokens wait for their end."""
-        machine, held = Utf8Machine(), []
-        for i in ids:
-            held.append(i)
-            if len(held) >= size:
-                yield machine.feed(self.decode_bytes(held))
-                held.clear()
-        yield machine.feed(self.decode_bytes(held))
+        machine, ids = Utf8Machine(), iter(ids)
+        while held := list(islice(ids, size)):
+            yield machine.feed(self.decode_bytes(held))
         yield machine.close()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -84,34 +85,26 @@ def tokenizer() -> tuple[bytes, str]:
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
+    """Encodes and decodes in one pass over the texts, so that a task has one worker and one set of learned states."""
     vocabulary, pattern = tokenizer()
-    encoded = bpe.encode_texts(docs, vocabulary, pattern)
     data = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return encoded.mapInArrow(_digest_tokens(data, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_digest_tokens(data, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _digest_tokens(data, pattern):
     def run(batches):
         codec = bpe.worker_codec(data, pattern)
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
-            own = [flat[a:b] for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
-            decoded = []
-            for x in own:
+        for batch in c.chunks(batches, "text", 4 << 20):
+            n, encoded, decoded = [], [], []
+            for text in batch.column("text").to_pylist():
+                ids = codec.encode(text or "")
+                n.append(len(ids) // 4)
+                encoded.append(hashlib.sha256(ids).hexdigest())
                 whole = hashlib.sha256()
-                for piece in codec.decode_stream(x.tolist()):
+                for piece in codec.decode_stream(np.frombuffer(ids, dtype="<u4").tolist()):
                     whole.update(piece.encode("utf-8"))
                 decoded.append(whole.hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) for x in own], pa.int64()),
-                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own], pa.string()),
-                    pa.array(decoded, pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
