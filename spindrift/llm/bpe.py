@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 from . import common as c
 
 #: Bounds of the worker's memory: transitions (some 700 bytes each, with their states) and whole pieces (some 160 bytes each).
-MAX_TRANSITIONS = 150_000
-MAX_PIECES = 600_000
+MAX_TRANSITIONS = 100_000
+MAX_PIECES = 300_000
+_DOOR = (1 << 21) - 1
 _NO_RANK = 1 << 60
 
 
@@ -44,6 +45,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_transitions: int = MAX_TRANSITIONS):
         self.ranks, self.max_transitions = ranks, max_transitions
         self.tokens = {i: b for b, i in ranks.items()}
+        self.sizes = {i: len(b) for b, i in ranks.items()}
         #: For every string that begins a token: its own rank or -1, and whether it begins a longer one.
         self.table = {b: (i, False) for b, i in ranks.items()}
         for b in ranks:
@@ -55,6 +57,7 @@ class Transducer:
 
     def _reset(self) -> None:
         self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._door = bytearray(_DOOR + 1)
         self._numbers: dict[tuple[int, bytes], int] = {}
         self._states: list[tuple[int, bytes, list[tuple[int, tuple[int, ...]]]]] = []
         self.start = self._state(-1, b"", [(0, ())])
@@ -156,17 +159,55 @@ class Transducer:
         cut = sum(len(self.tokens[t]) for t in out)
         return self._state(out[-1], pending[cut:], [(q - cut, tokens[shared:]) for q, tokens in rest]), out
 
+    def _simulate(self, state: int, rest: bytes) -> list[int]:
+        """The tokens of a state's held bytes and ``rest``, without making states: the same steps as :meth:`_move`."""
+        before, held, alive = self._states[state]
+        data, table, pairs = held + rest, self.table, self._pairs
+        paths = dict(alive)
+        last = {q: path[-1] if path else before for q, path in alive}
+        open_at = list(last)
+        for n in range(len(held) + 1, len(data) + 1):
+            still, found = [], False
+            for q in open_at:  # the longest token first
+                known = table.get(data[q:n])
+                if known is None:
+                    continue
+                token, longer = known
+                if not found and token >= 0:
+                    left = last[q]
+                    fit = pairs.get(left << 20 | token)
+                    if fit if fit is not None else self.fits(left, token):
+                        last[n] = token
+                        found = True
+                if longer:
+                    still.append(q)
+            if not found:
+                raise ValueError("a byte has no token of its own")
+            still.append(n)
+            open_at = still
+        out, q = [], len(data)
+        while q not in paths:
+            out.append(last[q])
+            q -= self.sizes[last[q]]
+        return [*paths[q], *out[::-1]]
+
     def encode(self, piece: bytes) -> list[int]:
+        """A piece follows the known transitions.  A missing one is made at its second sight; until then, the rest of
+        a short piece is simulated."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
         if len(self._moves) >= self.max_transitions:
             self._reset()
         moves, state, out = self._moves, self.start, []
-        for byte in piece:
+        for k, byte in enumerate(piece):
             key = state << 8 | byte
             step = moves.get(key)
             if step is None:
+                slot = key & _DOOR
+                if not self._door[slot] and len(piece) <= 64:
+                    self._door[slot] = 1
+                    return out + self._simulate(state, piece[k:])
                 step = moves[key] = self._move(state, byte)
             state, emitted = step
             if emitted:
@@ -176,18 +217,24 @@ class Transducer:
 
 
 class _Pieces(dict):
-    """piece -> its ids as little-endian 32-bit integers."""
+    """piece -> its ids as little-endian 32-bit integers; a piece is kept from its second sight on, since about half
+    of the distinct ones come only once."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.door = bytearray(_DOOR + 1)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.transducer.encode(piece.encode("utf-8"))
         out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= 64:
+        slot = hash(piece) & _DOOR
+        if not self.door[slot]:
+            self.door[slot] = 1
+        elif len(piece) <= 64:
             if len(self) >= MAX_PIECES:
                 self.clear()
+                self.door = bytearray(_DOOR + 1)
             self[piece] = out
         return out
 
@@ -259,13 +306,14 @@ def worker_codec(data, pattern: str) -> Codec:
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(parse_ranks(data.value), pattern)
+    c.resident["bpe"] = _codecs.clear
     return _codecs[key]
 
 
 def _encoded(data, pattern: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(data, pattern)
-        for batch in c.chunks(batches, "text", 4 << 20):
+        for batch in c.chunks(batches, "text", 4 << 20, keep="bpe"):
             ids = [np.frombuffer(codec.encode(text or ""), dtype="<u4") for text in batch.column("text").to_pylist()]
             flat = np.concatenate(ids).astype(np.int32)
             offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)

@@ -8,7 +8,7 @@ import hashlib
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,8 +84,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds about ``limit`` bytes of ``column``, one row at least."""
+#: What a worker keeps between tasks, by operator, and how to let go of it.
+resident: dict[str, Callable[[], None]] = {}
+
+
+def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut batches so that each holds about ``limit`` bytes of ``column``, one row at least.  Lets go of what other
+    operators than ``keep`` left in this worker."""
+    for name in [n for n in resident if n != keep]:
+        resident.pop(name)()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -94,7 +94,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
 def _digest_tokens(data, pattern):
     def run(batches):
         codec = bpe.worker_codec(data, pattern)
-        for batch in c.chunks(batches, "text", 4 << 20):
+        for batch in c.chunks(batches, "text", 4 << 20, keep="bpe"):
             n, encoded, decoded = [], [], []
             for text in batch.column("text").to_pylist():
                 ids = codec.encode(text or "")
