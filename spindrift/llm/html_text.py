@@ -12,6 +12,7 @@ Hosts are dealt in shards of bounded size, so that one host with a third of all
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections.abc import Iterable, Iterator
 
@@ -20,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as c
+
 DEPTH = 8
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
+#: Hosts of more than one shard are broadcast up to this many (some 50 bytes each), joined beyond.
+BROADCAST_HOSTS = 100_000
 CHROME, OTHER, ARTICLE = 0, 1, 2
 
 #: Fixed values of HTML: elements whose content is not text, void elements, and those that begin or end a block.
@@ -149,16 +154,27 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("zone", pa.int8())]))
-_PARSED = "page_id long, url string, host string, shards int, blocks array<struct<text: string, zone: tinyint>>"
+_PACKED = "host string, shard long, pages binary, size long"
+
+
+def _pack(rows: list) -> tuple[bytes, int]:
+    raw = json.dumps(rows, ensure_ascii=False).encode("utf-8", "surrogatepass")
+    return pa.Codec("zstd").compress(raw, asbytes=True), len(raw)
+
+
+def _unpack(data: bytes, size: int) -> list:
+    return json.loads(pa.Codec("zstd").decompress(data, size, asbytes=True).decode("utf-8", "surrogatepass"))
 
 
 def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            found = [[{"text": t, "zone": z} for t, z in blocks(h or "")] for h in batch.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("page_id", "url", "host", "shards")), pa.array(found, _BLOCKS)], ["page_id", "url", "host", "shards", "blocks"])
+    """The blocks of the pages of each shard, packed: what is shuffled is compressed text without markup."""
+    for batch in c.chunks(batches, "html", 16 << 20):
+        shards: dict[tuple[str, int], list] = {}
+        for page_id, url, host, shard, html in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "host", "shard", "html"))):
+            shards.setdefault((host, shard), []).append([page_id, url, blocks(html or "")])
+        packed = [(*key, *_pack(rows)) for key, rows in shards.items()]
+        columns = list(zip(*packed))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int64())], ["host", "shard", "pages", "size"])
 
 
 def repeated_windows(codes: np.ndarray, page: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -195,13 +211,14 @@ def repeated_windows(codes: np.ndarray, page: np.ndarray, depth: int = DEPTH) ->
 
 def _judged(min_cover: float):
     def run(table: pa.Table) -> pa.Table:
-        pages = table.column("blocks").to_pylist()
+        rows = [row for data, size in zip(table.column("pages").to_pylist(), table.column("size").to_pylist()) for row in _unpack(data, size)]
+        pages = [own for _, _, own in rows]
         vocabulary: dict[str, int] = {}
         codes: list[int] = []
         page: list[int] = []
         known: dict[tuple[int, ...], int] = {}
         for own in pages:
-            stream = [vocabulary.setdefault(w, len(vocabulary)) for block in own for w in block["text"].split()]
+            stream = [vocabulary.setdefault(w, len(vocabulary)) for text, _ in own for w in text.split()]
             number = known.setdefault(tuple(stream), len(known))  # copies of a page are one page
             codes += [*stream, -1]
             page += [number] * (len(stream) + 1)
@@ -210,20 +227,20 @@ def _judged(min_cover: float):
         covered = np.append(0, np.cumsum(np.arange(len(begins)) < reach))
         texts, boiler, at = [], [], 0
         for own in pages:
-            marked = any(b["zone"] == ARTICLE for b in own)
+            marked = any(zone == ARTICLE for _, zone in own)
             kept, gone = [], 0
-            for b in own:
-                n = b["text"].count(" ") + 1
+            for text, zone in own:
+                n = text.count(" ") + 1
                 cover = int(covered[at + n] - covered[at])
                 at += n
-                if b["zone"] == ARTICLE or (not marked and b["zone"] == OTHER and cover < min_cover * n):
-                    kept.append(b["text"])
+                if zone == ARTICLE or (not marked and zone == OTHER and cover < min_cover * n):
+                    kept.append(text)
                 else:
                     gone += cover
             at += 1
             texts.append("\n".join(kept))
             boiler.append(gone)
-        return pa.table([table.column("page_id"), table.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(boiler, pa.int64())], ["page_id", "url", "text", "n_chars", "n_boilerplate"])
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(boiler, pa.int64())], ["page_id", "url", "text", "n_chars", "n_boilerplate"])
 
     return run
 
@@ -237,9 +254,10 @@ def extract_main_text(pages: DataFrame, min_cover: float = 0.5, shard_bytes: int
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.trim("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    sizes = own.groupBy("host").agg(F.ceil(F.sum(F.octet_length(F.coalesce("html", F.lit("")))) / shard_bytes).cast("int").alias("shards")).filter("shards > 1")
-    dealt = own.join(sizes, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    parsed = dealt.select("page_id", "url", "host", "shards", "html").mapInArrow(_parsed, _PARSED)
-    shard = F.pmod(F.xxhash64("page_id", "url", F.size("blocks")), F.col("shards").cast("long")).alias("shard")
-    grouped = parsed.select("page_id", "url", "blocks", "host", shard).groupBy("host", "shard")
-    return grouped.applyInArrow(_judged(min_cover), "page_id long, url string, text string, n_chars long, n_boilerplate long")
+    sizes = own.groupBy("host").agg(F.ceil(F.sum(F.octet_length(F.coalesce("html", F.lit("")))) / shard_bytes).cast("int").alias("shards"))
+    sizes = c.materialise(sizes.filter("shards > 1"), "large-hosts")
+    small = sizes.count() <= BROADCAST_HOSTS
+    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)).cast("long"))
+    dealt = own.join(F.broadcast(sizes) if small else sizes, "host", "left").withColumn("shard", shard)
+    packed = dealt.select("page_id", "url", "host", "shard", "html").mapInArrow(_parsed, _PACKED)
+    return packed.groupBy("host", "shard").applyInArrow(_judged(min_cover), "page_id long, url string, text string, n_chars long, n_boilerplate long")
