@@ -1,10 +1,10 @@
 """Main text of web pages with a suffix array over each host's pages.
 
 A page is cut into blocks, each in a zone: the article, chrome by its element or class names (menus, footers,
-adverts, forms, comments), or neither.  The word streams of a host's pages are sorted in one suffix array, through
-``DEPTH`` words; strings of that many words that occur on distinct pages (pages of different words) are boilerplate.
-Article blocks are the text; where a page marks no article, its other blocks are, less those that repeated strings
-mostly cover.
+adverts, forms, comments), a content box (``main`` or by class name), or none of these.  The word streams of a host's
+pages are sorted in one suffix array, through ``DEPTH`` words; strings of that many words that occur on distinct pages
+(pages of different words) are boilerplate.  Article blocks are the text; where a page marks no article, those of its
+content box are; where it marks neither, its other blocks are, less those that repeated strings mostly cover.
 
 Hosts are dealt in shards of bounded size, so that one host with a third of all pages fills many tasks.
 """
@@ -27,7 +27,7 @@ DEPTH = 8
 SHARD_BYTES = 1 << 20
 #: Hosts of more than one shard are broadcast up to this many (some 50 bytes each), joined beyond.
 BROADCAST_HOSTS = 100_000
-CHROME, OTHER, ARTICLE = 0, 1, 2
+CHROME, OTHER, BODY, ARTICLE = 0, 1, 2, 3
 
 #: Fixed values of HTML: elements whose content is not text, void elements, and those that begin or end a block.
 RAW = frozenset("script style noscript template textarea svg iframe math canvas object audio video head title xmp".split())
@@ -47,6 +47,9 @@ CHROME_WORDS = frozenset(
     " share sharing social related recommended footer topbar masthead widget widgets pager pagination toolbar skip".split()
 )
 ARTICLE_WORDS = frozenset("articlebody".split())
+#: Whole class and id names of content boxes, and of page headers outside one.
+BODY_NAMES = frozenset("article article-body article-content article-text content main-content page-content post post-body post-content entry entry-content story story-body text-body".split())
+HEADER_NAMES = frozenset("header site-header page-header top-header topheader".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/][^<>]*(?:>|(?=<)|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -56,20 +59,31 @@ _CLOSE = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 
 def _zone(name: str, attributes: str, zone: int) -> int:
     """The zone of an element's content, from its parent's."""
-    if zone == CHROME or name in CHROME_ELEMENTS or (name == "header" and zone != ARTICLE):
+    if zone == CHROME or name in CHROME_ELEMENTS or (name == "header" and zone < BODY):
         return CHROME
+    if name == "article":
+        zone = ARTICLE
+    elif name == "main":
+        zone = max(zone, BODY)
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower().strip()
             if key == "role" and value in CHROME_ROLES or key == "hidden" or (key == "aria-hidden" and value == "true"):
                 return CHROME
-            if (key == "role" and value == "main") or (key == "itemprop" and value in ARTICLE_WORDS):
-                return ARTICLE
-            if key in ("class", "id") and name not in ("html", "body", "article", "main") and not CHROME_WORDS.isdisjoint(_WORDS.findall(value)):
-                return CHROME
-            if key in ("class", "id") and name == "article" and not {"comment", "comments", "ad", "related", "sponsored"}.isdisjoint(_WORDS.findall(value)):
-                return CHROME
-    return ARTICLE if name in ("article", "main") else zone
+            if key == "itemprop" and value in ARTICLE_WORDS:
+                zone = ARTICLE
+            elif key == "role" and value in ("main", "article"):
+                zone = max(zone, BODY if value == "main" else ARTICLE)
+            elif key in ("class", "id") and name not in ("html", "body"):
+                words, names = set(_WORDS.findall(value)), set(value.split())
+                if name in ("article", "main"):
+                    if not words.isdisjoint(("comment", "comments", "ad", "related", "sponsored")):
+                        return CHROME
+                elif not words.isdisjoint(CHROME_WORDS) or (zone < BODY and not names.isdisjoint(HEADER_NAMES)):
+                    return CHROME
+                elif not names.isdisjoint(BODY_NAMES):
+                    zone = max(zone, BODY)
+    return zone
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
@@ -227,13 +241,13 @@ def _judged(min_cover: float):
         covered = np.append(0, np.cumsum(np.arange(len(begins)) < reach))
         texts, boiler, at = [], [], 0
         for own in pages:
-            marked = any(zone == ARTICLE for _, zone in own)
+            top = max((zone for _, zone in own), default=OTHER)
             kept, gone = [], 0
             for text, zone in own:
                 n = text.count(" ") + 1
                 cover = int(covered[at + n] - covered[at])
                 at += n
-                if zone == ARTICLE or (not marked and zone == OTHER and cover < min_cover * n):
+                if zone == top and (zone > OTHER or (zone == OTHER and cover < min_cover * n)):
                     kept.append(text)
                 else:
                     gone += cover
