@@ -24,8 +24,9 @@ from . import common as c
 
 #: Bounds of the worker's memory: transitions (some 700 bytes each, with their states) and whole pieces (some 160 bytes each).
 MAX_TRANSITIONS = 100_000
-MAX_PIECES = 300_000
+MAX_PIECES = 500_000
 _DOOR = (1 << 21) - 1
+SIGHTS = 12
 _NO_RANK = 1 << 60
 
 
@@ -192,8 +193,8 @@ class Transducer:
         return [*paths[q], *out[::-1]]
 
     def encode(self, piece: bytes) -> list[int]:
-        """A piece follows the known transitions.  A missing one is made at its second sight; until then, the rest of
-        a short piece is simulated."""
+        """A piece follows the known transitions.  A missing one is made once SIGHTS pieces have asked for it; until
+        then, the rest of a short piece is simulated."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
@@ -205,8 +206,8 @@ class Transducer:
             step = moves.get(key)
             if step is None:
                 slot = key & _DOOR
-                if not self._door[slot] and len(piece) <= 64:
-                    self._door[slot] = 1
+                if self._door[slot] < SIGHTS and len(piece) <= 64:
+                    self._door[slot] += 1
                     return out + self._simulate(state, piece[k:])
                 step = moves[key] = self._move(state, byte)
             state, emitted = step
