@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = common.read_table(spark, sf_dir, "benchmark")
-    return _unpacked(fm_index.remove_contamination(fm_index.find_contamination(_packed(docs), items)), docs, changed=True)
+    return _unpacked(fm_index.find_contamination(_packed(docs), items, remove=True), docs, changed=True)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

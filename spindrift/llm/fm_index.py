@@ -159,8 +159,9 @@ def occurrences(codes: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.nda
     return np.repeat(np.arange(len(number)), number), place[index.locate(rows)]
 
 
-def _marked(shared):
-    """Adds to each document the word spans hit by one block's phrases and the items they come from."""
+def _marked(shared, cut: bool = False):
+    """Adds to each document the word spans hit by one block's phrases and the items they come from; ``cut``: removes
+    all spans found so far from the text instead, and drops the added columns."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value
@@ -187,7 +188,8 @@ def _marked(shared):
             fields = batch.schema.names
             columns = {f: batch.column(f) for f in fields}
             columns |= {"n_words": pa.array(n, pa.int64()), "hits": pa.array(hits, batch.schema.field("hits").type), "items": pa.array(items, pa.list_(pa.string()))}
-            yield pa.RecordBatch.from_arrays([columns[f] for f in fields], fields)
+            marked = pa.RecordBatch.from_arrays([columns[f] for f in fields], fields)
+            yield _without_hits(marked) if cut else marked
 
     return run
 
@@ -207,40 +209,47 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str,
         yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = BLOCK_CHARS, remove: bool = False) -> DataFrame:
     """The columns of ``docs`` and n_words, hits (merged word spans [lo, hi)) and items (sorted ids of items with an
     occurring window), which replace columns of those names.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one.  Benchmark texts are read in
     blocks of ``block_chars`` characters, each broadcast on its own, so the size of a broadcast is bounded.  Null and
     empty texts have no words; items with a null id or no words are left out; an empty benchmark hits nothing.
+
+    With ``remove``, the pass over the last block cuts the spans out and the result is as that of
+    :func:`remove_contamination`.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_words", "hits", "items")
     found = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<lo: bigint, hi: bigint>>)"), "items": F.expr("cast(array() as array<string>)")})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    blocks = 0
-    for block in _blocks(benchmark, block_chars):
-        found = found.mapInArrow(_marked(spark.sparkContext.broadcast(Phrases(block, window))), schema)
-        blocks += 1
-    if not blocks:
-        found = found.mapInArrow(_marked(spark.sparkContext.broadcast(Phrases([], window))), schema)
-    return found
+    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    last: list[tuple[str, list[bytes]]] = []
+    for k, block in enumerate(_blocks(benchmark, block_chars)):
+        if k:
+            found = found.mapInArrow(_marked(spark.sparkContext.broadcast(Phrases(last, window))), schema)
+        last = block
+    return found.mapInArrow(_marked(spark.sparkContext.broadcast(Phrases(last, window)), remove), plain if remove else schema)
 
 
 def merged_hits(hits: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return c.merge_spans(np.array([h["lo"] for h in hits], dtype=np.int64), np.array([h["hi"] for h in hits], dtype=np.int64))
 
 
+def _without_hits(batch: pa.RecordBatch) -> pa.RecordBatch:
+    texts = batch.column("text").cast(pa.binary()).to_pylist()
+    for row, hits in enumerate(batch.column("hits").to_pylist()):
+        if hits:
+            texts[row] = without_words(texts[row], *merged_hits(hits))
+    names = [n for n in batch.schema.names if n not in ("n_words", "hits", "items")]
+    columns = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in names]
+    return pa.RecordBatch.from_arrays(columns, names)
+
+
 def _removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in c.chunks(batches, "text", 8 << 20):
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        for row, hits in enumerate(batch.column("hits").to_pylist()):
-            if hits:
-                texts[row] = without_words(texts[row], *merged_hits(hits))
-        names = [n for n in batch.schema.names if n not in ("n_words", "hits", "items")]
-        columns = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else batch.column(n) for n in names]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        yield _without_hits(batch)
 
 
 def without_words(text: bytes, lo: np.ndarray, hi: np.ndarray) -> bytes:

@@ -68,6 +68,9 @@ def test_removal_and_odd_rows(spark, odd, nothing):
     cleaned = M.remove_contamination(found)
     assert cleaned.columns == [c for c in odd.columns if c not in ("hits", "items", "n_words")] and cleaned.count() == odd.count()
     assert all("lazy dog" not in (r.text or "") for r in cleaned.collect())
+    assert sorted(map(str, M.find_contamination(odd, bench, remove=True).collect())) == sorted(map(str, cleaned.collect()))
+    two = bench.union(spark.createDataFrame([(2, "no id at all plain words")], "item_id long, text string"))
+    assert M.find_contamination(odd, two, block_chars=10, remove=True).filter("text = 'no id at all, plain words'").count() == 0
     assert cleaned.filter("doc_id = 7").first().text == "12345 678 !!"
     empty = bench.limit(0)
     assert found.filter("doc_id = 1").first().n_words == 0 and M.find_contamination(odd, empty).count() == odd.count()
