@@ -6,11 +6,16 @@ pages are sorted in one suffix array, through ``DEPTH`` words; strings of that m
 (pages of different words) are boilerplate.  Article blocks are the text; where a page marks no article, those of its
 content box are; where it marks neither, its other blocks are, less those that repeated strings mostly cover.
 
-Hosts are dealt in shards of bounded size, so that one host with a third of all pages fills many tasks.
+Hosts are dealt in shards of bounded size, so that one host with a third of all pages fills many tasks.  A shard's
+array finds what repeats inside the shard; what repeats only between shards of a host is found in two rounds.  Every
+string of ``DEPTH`` words has an anchor, the smallest hash of its strings of ``ANCHOR`` words: equal strings have equal
+anchors, so only strings whose anchor is in several shards can repeat between them.  These are then compared by 64-bit
+hashes of string and page over the whole host, and each shard is told which of its strings repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -24,7 +29,12 @@ from pyspark.sql import functions as F
 from . import common as c
 
 DEPTH = 8
+ANCHOR = 4
+#: Bits of an anchor that are compared; chance matches only let more strings into the second round.
+ANCHOR_BITS = 40
 SHARD_BYTES = 1 << 20
+#: A host's hashes are compared in one group for each so many of its shards.
+GROUP_SHARDS = 32
 #: Hosts of more than one shard are broadcast up to this many (some 50 bytes each), joined beyond.
 BROADCAST_HOSTS = 100_000
 CHROME, OTHER, BODY, ARTICLE = 0, 1, 2, 3
@@ -168,7 +178,9 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
-_PACKED = "host string, shard long, pages binary, size long"
+_PACKED = "host string, shard long, shards long, pages binary, size long"
+#: Numbers of one shard for one group of the host's hashes, and the other way.
+_SENT = "host string, part long, shard long, n long, numbers binary, size long"
 
 
 def _pack(rows: list) -> tuple[bytes, int]:
@@ -183,12 +195,13 @@ def _unpack(data: bytes, size: int) -> list:
 def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The blocks of the pages of each shard, packed: what is shuffled is compressed text without markup."""
     for batch in c.chunks(batches, "html", 16 << 20):
-        shards: dict[tuple[str, int], list] = {}
-        for page_id, url, host, shard, html in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "host", "shard", "html"))):
-            shards.setdefault((host, shard), []).append([page_id, url, blocks(html or "")])
-        packed = [(*key, *_pack(rows)) for key, rows in shards.items()]
+        dealt: dict[tuple[str, int, int], list] = {}
+        for page_id, url, host, shard, shards, html in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "host", "shard", "shards", "html"))):
+            dealt.setdefault((host, shard, shards), []).append([page_id, url, blocks(html or "")])
+        packed = [(*key, *_pack(rows)) for key, rows in dealt.items()]
         columns = list(zip(*packed))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.int64())], ["host", "shard", "pages", "size"])
+        types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["host", "shard", "shards", "pages", "size"])
 
 
 def repeated_windows(codes: np.ndarray, page: np.ndarray, depth: int = DEPTH) -> np.ndarray:
@@ -223,20 +236,158 @@ def repeated_windows(codes: np.ndarray, page: np.ndarray, depth: int = DEPTH) ->
     return out
 
 
-def _judged(min_cover: float):
-    def run(table: pa.Table) -> pa.Table:
-        rows = [row for data, size in zip(table.column("pages").to_pylist(), table.column("size").to_pylist()) for row in _unpack(data, size)]
-        pages = [own for _, _, own in rows]
+class Streams:
+    """The joined word streams of a shard's pages: ``codes`` and ``page`` as :func:`repeated_windows` takes them."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.rows = [row for data, size in zip(table.column("pages").to_pylist(), table.column("size").to_pylist()) for row in _unpack(data, size)]
         vocabulary: dict[str, int] = {}
         codes: list[int] = []
         page: list[int] = []
         known: dict[tuple[int, ...], int] = {}
-        for own in pages:
+        for _, _, own in self.rows:
             stream = [vocabulary.setdefault(w, len(vocabulary)) for text, _ in own for w in text.split()]
             number = known.setdefault(tuple(stream), len(known))  # copies of a page are one page
             codes += [*stream, -1]
             page += [number] * (len(stream) + 1)
-        begins = repeated_windows(np.array(codes, dtype=np.int64), np.array(page, dtype=np.int64))
+        self.codes, self.page = np.array(codes, dtype=np.int64), np.array(page, dtype=np.int64)
+        self.words, self.known = list(vocabulary), list(known)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places where a string of DEPTH words begins, and the strings' hashes and anchors."""
+        value = np.array([_hash(w) for w in self.words] + [0], dtype=np.uint64)[self.codes]
+        breaks = np.append(0, np.cumsum(self.codes < 0))
+        at = np.flatnonzero(breaks[DEPTH:] == breaks[:-DEPTH])
+        if not len(at):
+            return at, at.astype(np.uint64), at.astype(np.uint64)
+        short = _mixed(_rolled(value, ANCHOR)) >> np.uint64(64 - ANCHOR_BITS)
+        n = len(value) - DEPTH + 1
+        anchors = np.minimum.reduce([short[k : k + n] for k in range(DEPTH - ANCHOR + 1)])
+        return at, _mixed(_rolled(value, DEPTH))[at], anchors[at]
+
+    def page_hashes(self) -> np.ndarray:
+        """By page number."""
+        return np.array([_hash(" ".join([self.words[k] for k in stream])) for stream in self.known], dtype=np.uint64)
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _rolled(value: np.ndarray, length: int) -> np.ndarray:
+    out = np.zeros(len(value) - length + 1, dtype=np.uint64)
+    for k in range(length):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + value[k : k + len(out)]
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _squeeze(*numbers: np.ndarray) -> tuple[bytes, int]:
+    """Compressed bytes of numbers below 2**64; the first array ascends and is kept as steps."""
+    first, *others = numbers
+    raw = b"".join(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(first, prepend=np.uint64(0)), *others))
+    return pa.Codec("zstd").compress(raw, asbytes=True), len(raw)
+
+
+def _expand(data: bytes, size: int, n: int) -> list[np.ndarray]:
+    """What :func:`_squeeze` took: arrays of ``n`` numbers each, the last one of any length."""
+    raw = np.frombuffer(pa.Codec("zstd").decompress(data, size, asbytes=True), dtype=np.uint8)
+    ends = [*range(8 * n, min(16 * n, len(raw)) + 1, 8 * n)] if n else []
+    parts = [x.reshape(8, -1).T.copy().view(np.uint64).ravel() for x in np.split(raw, ends) if len(x)]
+    return [np.cumsum(parts[0], dtype=np.uint64), *parts[1:]]
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [()] * 6
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    return pa.table([pa.array(x, t) for x, t in zip(columns, types)], ["host", "part", "shard", "n", "numbers", "size"])
+
+
+def _received(table: pa.Table) -> Iterator[tuple[int, list[np.ndarray]]]:
+    for shard, n, data, size in zip(*(table.column(x).to_pylist() for x in ("shard", "n", "numbers", "size"))):
+        yield shard, _expand(data, size, n)
+
+
+def _key(table: pa.Table) -> tuple[str, int, int]:
+    """Host, shard, and how many groups the host's hashes are dealt to; 0 for a host of one shard."""
+    host, shard, shards = (table.column(x)[0].as_py() for x in ("host", "shard", "shards"))
+    return host, shard, -(-shards // GROUP_SHARDS) if shards > 1 else 0
+
+
+def _told(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.empty(0, dtype=np.uint64), *(numbers[0] for _, numbers in _received(table))])
+
+
+def _anchors(table: pa.Table) -> pa.Table:
+    """The anchors of a shard of a large host."""
+    host, shard, parts = _key(table)
+    if not parts:
+        return _sent([])
+    anchors = np.unique(Streams(table).hashes()[2])
+    part = anchors % np.uint64(parts)
+    own = [(k, anchors[part == k]) for k in np.unique(part).tolist()]
+    return _sent([(host, k, shard, len(x), *_squeeze(x)) for k, x in own])
+
+
+def _shared_anchors(table: pa.Table) -> pa.Table:
+    """To each shard its anchors that other shards have too."""
+    host, part = table.column("host")[0].as_py(), table.column("part")[0].as_py()
+    sent = [(shard, numbers[0]) for shard, numbers in _received(table)]
+    values, shards = np.unique(np.concatenate([x for _, x in sent]), return_counts=True)
+    several = values[shards > 1]
+    found = [(shard, x[np.isin(x, several)]) for shard, x in sent]
+    return _sent([(host, part, shard, len(x), *_squeeze(x)) for shard, x in found if len(x)])
+
+
+def _windows(table: pa.Table, told: pa.Table) -> pa.Table:
+    """The strings of a shard that other shards may have: hash, and page number + 1 or 0 for several pages; then the pages' hashes."""
+    if not table.num_rows or not told.num_rows:
+        return _sent([])
+    host, shard, parts = _key(table)
+    streams = Streams(table)
+    at, window, anchor = streams.hashes()
+    some = np.isin(anchor, _told(told))
+    page = streams.page[at[some]]
+    values, first, place = np.unique(window[some], return_index=True, return_inverse=True)
+    several = np.zeros(len(values), dtype=bool)
+    several[place[page != page[first][place]]] = True
+    page, names = page[first], streams.page_hashes()
+    part, rows = values % np.uint64(parts), []
+    for k in np.unique(part).tolist():
+        own = part == k
+        used, number = np.unique(page[own], return_inverse=True)
+        rows.append((host, k, shard, int(own.sum()), *_squeeze(values[own], np.where(several[own], 0, number + 1), names[used])))
+    return _sent(rows)
+
+
+def _shared_windows(table: pa.Table) -> pa.Table:
+    """To each shard its strings of one page that are also on another page of the host."""
+    host, part = table.column("host")[0].as_py(), table.column("part")[0].as_py()
+    sent = [(shard, values, number, names[np.maximum(number, 1) - np.uint64(1)]) for shard, (values, number, names) in _received(table)]
+    values, place = np.unique(np.concatenate([x[1] for x in sent]), return_inverse=True)
+    number, page = np.concatenate([x[2] for x in sent]), np.concatenate([x[3] for x in sent])
+    some = np.zeros(len(values), dtype=np.uint64)
+    some[place] = page
+    several = np.zeros(len(values), dtype=bool)
+    several[place[(number == 0) | (page != some[place])]] = True
+    found = [(shard, x[(number > 0) & np.isin(x, values[several])]) for shard, x, number, _ in sent]
+    return _sent([(host, part, shard, len(x), *_squeeze(x)) for shard, x in found if len(x)])
+
+
+def _judged(min_cover: float):
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        streams = Streams(table)
+        rows = streams.rows
+        pages = [own for _, _, own in rows]
+        begins = repeated_windows(streams.codes, streams.page)
+        if told.num_rows:
+            at, window, _ = streams.hashes()
+            begins[at[np.isin(window, _told(told))]] = True
         reach = np.maximum.accumulate(np.where(begins, np.arange(len(begins)) + DEPTH, 0))
         covered = np.append(0, np.cumsum(np.arange(len(begins)) < reach))
         texts, boiler, at = [], [], 0
@@ -263,15 +414,18 @@ def extract_main_text(pages: DataFrame, min_cover: float = 0.5, shard_bytes: int
     """(page_id, url, text, n_chars, n_boilerplate) of every page.
 
     A null or empty html gives an empty text; a null url counts to a nameless host; repeated rows and null ids stay.
-    n_boilerplate: removed words that also occur, in a string of DEPTH words, on another page of the host's shard.
-    A host's pages are dealt by a hash over ceil(bytes / shard_bytes) shards.
+    n_boilerplate: removed words that also occur, in a string of DEPTH words, on another page of the host.
+    A host's pages are dealt by a hash over ceil(bytes / shard_bytes) shards; the result does not depend on their size.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.trim("url"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     sizes = own.groupBy("host").agg(F.ceil(F.sum(F.octet_length(F.coalesce("html", F.lit("")))) / shard_bytes).cast("int").alias("shards"))
     sizes = c.materialise(sizes.filter("shards > 1"), "large-hosts")
     small = sizes.count() <= BROADCAST_HOSTS
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1)).cast("long"))
-    dealt = own.join(F.broadcast(sizes) if small else sizes, "host", "left").withColumn("shard", shard)
-    packed = dealt.select("page_id", "url", "host", "shard", "html").mapInArrow(_parsed, _PACKED)
-    return packed.groupBy("host", "shard").applyInArrow(_judged(min_cover), "page_id long, url string, text string, n_chars long, n_boilerplate long")
+    shards = F.coalesce("shards", F.lit(1)).cast("long")
+    dealt = own.join(F.broadcast(sizes) if small else sizes, "host", "left").withColumns({"shard": F.pmod(F.xxhash64("page_id", "url"), shards), "shards": shards})
+    packed = dealt.select("page_id", "url", "host", "shard", "shards", "html").mapInArrow(_parsed, _PACKED)
+    shard = packed.groupBy("host", "shard")  # one exchange serves the three passes over it
+    anchors = shard.applyInArrow(_anchors, _SENT).groupBy("host", "part").applyInArrow(_shared_anchors, _SENT)
+    windows = shard.cogroup(anchors.groupBy("host", "shard")).applyInArrow(_windows, _SENT).groupBy("host", "part").applyInArrow(_shared_windows, _SENT)
+    return shard.cogroup(windows.groupBy("host", "shard")).applyInArrow(_judged(min_cover), "page_id long, url string, text string, n_chars long, n_boilerplate long")

@@ -66,3 +66,22 @@ def test_article_survives_copies(spark):
     page = "<body><nav>menu of many words that repeat on each page here</nav><article><p>the same long article text that is copied on every page of the site</p></article></body>"
     pages = spark.createDataFrame([(i, f"https://u:p@H.example:80/{i}", page) for i in range(6)], "page_id long, url string, html string")
     assert {r.text for r in H.extract_main_text(pages).collect()} == {"the same long article text that is copied on every page of the site"}
+
+
+def test_repeats_between_shards(spark):
+    notice = "<div>this notice of ten words stands on two far pages</div>"
+    page = lambda i, more="": f"<body><div>{' '.join(f'w{i}x{k}' for k in range(30))}</div>{more}</body>"
+    rows = [(i, f"http://h.example/{i}", page(i, notice if i in (3, 17) else "")) for i in range(40)]
+    rows += [(50 + i, f"http://h.example/c{i}", page(99)) for i in range(6)]  # copies of one page, in several shards
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, cut = ({r.page_id: r for r in H.extract_main_text(pages, shard_bytes=n).collect()} for n in (H.SHARD_BYTES, 10))
+    assert whole == cut and "notice" not in cut[3].text + cut[17].text and cut[3].n_boilerplate == 10
+    assert all(cut[50 + i].text == " ".join(f"w99x{k}" for k in range(30)) for i in range(6))
+
+
+def test_shards_of_many_groups(spark):
+    words = np.random.default_rng(1).integers(0, 10, (60, 60))
+    shared = [" ".join(f"s{i % 7}x{k}" for k in range(12)) for i in range(60)]
+    pages = spark.createDataFrame([(i, "http://h.example/", f"<div>{' '.join(f'w{k}' for k in own)}</div><div>{shared[i]}</div>") for i, own in enumerate(words.tolist())], "page_id long, url string, html string")
+    whole, cut = ({r.page_id: r for r in H.extract_main_text(pages, shard_bytes=n).collect()} for n in (H.SHARD_BYTES, 100))
+    assert cut == whole and all(r.n_boilerplate >= 12 for r in whole.values())
