@@ -4,7 +4,7 @@ A page is cut into blocks, each in a zone: the article, chrome by its element or
 adverts, forms, comments), a content box (``main`` or by class name), or none of these.  The word streams of a host's
 pages are sorted in one suffix array, through ``DEPTH`` words; strings of that many words that occur on distinct pages
 (pages of different words) are boilerplate.  Article blocks are the text; where a page marks no article, those of its
-content box are; where it marks neither, its other blocks are, less those that repeated strings mostly cover.
+content box are; where it marks neither, the words of its other blocks are that no repeated string covers.
 
 Hosts are dealt in shards of bounded size, so that one host with a third of all pages fills many tasks.  A shard's
 array finds what repeats inside the shard; what repeats only between shards of a host is found in two rounds.  Every
@@ -20,6 +20,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -379,38 +380,57 @@ def _shared_windows(table: pa.Table) -> pa.Table:
     return _sent([(host, part, shard, len(x), *_squeeze(x)) for shard, x in found if len(x)])
 
 
-def _judged(min_cover: float):
-    def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        streams = Streams(table)
-        rows = streams.rows
-        pages = [own for _, _, own in rows]
-        begins = repeated_windows(streams.codes, streams.page)
-        if told.num_rows:
-            at, window, _ = streams.hashes()
-            begins[at[np.isin(window, _told(told))]] = True
-        reach = np.maximum.accumulate(np.where(begins, np.arange(len(begins)) + DEPTH, 0))
-        covered = np.append(0, np.cumsum(np.arange(len(begins)) < reach))
-        texts, boiler, at = [], [], 0
-        for own in pages:
-            top = max((zone for _, zone in own), default=OTHER)
-            kept, gone = [], 0
-            for text, zone in own:
-                n = text.count(" ") + 1
-                cover = int(covered[at + n] - covered[at])
-                at += n
-                if zone == top and (zone > OTHER or (zone == OTHER and cover < min_cover * n)):
-                    kept.append(text)
-                else:
-                    gone += cover
-            at += 1
-            texts.append("\n".join(kept))
-            boiler.append(gone)
-        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(boiler, pa.int64())], ["page_id", "url", "text", "n_chars", "n_boilerplate"])
-
-    return run
-
-
-def extract_main_text(pages: DataFrame, min_cover: float = 0.5, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _runs(*values: np.ndarray) -> np.ndarray:
+    """For each word the length of the run of equal values that it is in."""
+    new = np.append(True, np.logical_or.reduce([v[1:] != v[:-1] for v in values]))
+    run = np.cumsum(new) - 1
+    return np.bincount(run)[run]
+
+
+def _kept(own: list[list], repeated: np.ndarray) -> np.ndarray:
+    """Which words of a page are its text.
+
+    A repeated run goes where it has DEPTH words inside its block or is the whole block; a shorter one is the end of a
+    string that reaches over from the next block.
+    """
+    counts = np.array([text.count(" ") + 1 for text, _ in own])
+    zones = np.repeat([zone for _, zone in own], counts)
+    top = zones.max()
+    length = _runs(repeated, np.repeat(np.arange(len(own)), counts))
+    cut = repeated & ((length >= DEPTH) | (length == np.repeat(counts, counts)))
+    return (zones == top) & (top > CHROME) & (~cut | (top > OTHER))
+
+
+def _judged(table: pa.Table, told: pa.Table) -> pa.Table:
+    streams = Streams(table)
+    rows = streams.rows
+    pages = [own for _, _, own in rows]
+    begins = repeated_windows(streams.codes, streams.page)
+    if told.num_rows:
+        at, window, _ = streams.hashes()
+        begins[at[np.isin(window, _told(told))]] = True
+    reach = np.maximum.accumulate(np.where(begins, np.arange(len(begins)) + DEPTH, 0))
+    covered = np.arange(len(begins)) < reach
+    texts, boiler, at = [], [], 0
+    for own in pages:
+        n = sum(text.count(" ") + 1 for text, _ in own)
+        repeated, kept, place = covered[at : at + n], [], 0
+        keep = _kept(own, repeated) if own else repeated
+        for text, _ in own:
+            words = text.split(" ")
+            these = keep[place : place + len(words)]
+            place += len(words)
+            if these.all():
+                kept.append(text)
+            elif these.any():
+                kept.append(" ".join(compress(words, these.tolist())))
+        at += n + 1
+        texts.append("\n".join(kept))
+        boiler.append(int((repeated & ~keep).sum()))
+    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(boiler, pa.int64())], ["page_id", "url", "text", "n_chars", "n_boilerplate"])
+
+
+def extract_main_text(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars, n_boilerplate) of every page.
 
     A null or empty html gives an empty text; a null url counts to a nameless host; repeated rows and null ids stay.
@@ -428,4 +448,4 @@ def extract_main_text(pages: DataFrame, min_cover: float = 0.5, shard_bytes: int
     shard = packed.groupBy("host", "shard")  # one exchange serves the three passes over it
     anchors = shard.applyInArrow(_anchors, _SENT).groupBy("host", "part").applyInArrow(_shared_anchors, _SENT)
     windows = shard.cogroup(anchors.groupBy("host", "shard")).applyInArrow(_windows, _SENT).groupBy("host", "part").applyInArrow(_shared_windows, _SENT)
-    return shard.cogroup(windows.groupBy("host", "shard")).applyInArrow(_judged(min_cover), "page_id long, url string, text string, n_chars long, n_boilerplate long")
+    return shard.cogroup(windows.groupBy("host", "shard")).applyInArrow(_judged, "page_id long, url string, text string, n_chars long, n_boilerplate long")

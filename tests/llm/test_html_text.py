@@ -85,3 +85,10 @@ def test_shards_of_many_groups(spark):
     pages = spark.createDataFrame([(i, "http://h.example/", f"<div>{' '.join(f'w{k}' for k in own)}</div><div>{shared[i]}</div>") for i, own in enumerate(words.tolist())], "page_id long, url string, html string")
     whole, cut = ({r.page_id: r for r in H.extract_main_text(pages, shard_bytes=n).collect()} for n in (H.SHARD_BYTES, 100))
     assert cut == whole and all(r.n_boilerplate >= 12 for r in whole.values())
+
+
+def test_blocks_keep_their_unique_words(spark):
+    notice = "this shared notice has ten words that stand on each"
+    own = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((8, 12))]
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", f"<body><div>{notice} {own[i]}</div></body>") for i in range(2)], "page_id long, url string, html string")
+    assert {r.page_id: (r.text, r.n_boilerplate) for r in H.extract_main_text(pages).collect()} == {i: (own[i], 10) for i in range(2)}
