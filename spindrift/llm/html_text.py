@@ -3,8 +3,9 @@
 A page is cut into blocks, each in a zone: the article, chrome by its element or class names (menus, footers,
 adverts, forms, comments), a content box (``main`` or by class name), or none of these.  The word streams of a host's
 pages are sorted in one suffix array, through ``DEPTH`` words; strings of that many words that occur on distinct pages
-(pages of different words) are boilerplate.  Article blocks are the text; where a page marks no article, those of its
-content box are; where it marks neither, the words of its other blocks are that no repeated string covers.
+(pages of different words) are boilerplate and go, inside the marked zone too: the article, else the content box, else
+the other blocks.  Unique runs outside the marked zone stay, chrome excepted.  A marked zone that is mostly repeated is
+a copy of an article and stays whole.
 
 Hosts are dealt in shards of bounded size, so that one host with a third of all pages fills many tasks.  A shard's
 array finds what repeats inside the shard; what repeats only between shards of a host is found in two rounds.  Every
@@ -391,14 +392,18 @@ def _kept(own: list[list], repeated: np.ndarray) -> np.ndarray:
     """Which words of a page are its text.
 
     A repeated run goes where it has DEPTH words inside its block or is the whole block; a shorter one is the end of a
-    string that reaches over from the next block.
+    string that reaches over from the next block.  A marked zone that such runs cover by half is a copy and stays.
+    Outside the marked zone a run stays where it has DEPTH unique words, over blocks of one zone, and is not chrome.
     """
     counts = np.array([text.count(" ") + 1 for text, _ in own])
     zones = np.repeat([zone for _, zone in own], counts)
     top = zones.max()
     length = _runs(repeated, np.repeat(np.arange(len(own)), counts))
     cut = repeated & ((length >= DEPTH) | (length == np.repeat(counts, counts)))
-    return (zones == top) & (top > CHROME) & (~cut | (top > OTHER))
+    marked = zones == top
+    if top > OTHER and 2 * np.count_nonzero(cut & marked) >= np.count_nonzero(marked):
+        cut = cut & ~marked
+    return (zones > CHROME) & ~cut & (marked | (~repeated & (_runs(repeated, zones) >= DEPTH)))
 
 
 def _judged(table: pa.Table, told: pa.Table) -> pa.Table:

@@ -92,3 +92,18 @@ def test_blocks_keep_their_unique_words(spark):
     own = [" ".join(f"w{i}x{k}" for k in range(n)) for i, n in enumerate((8, 12))]
     pages = spark.createDataFrame([(i, f"http://h.example/{i}", f"<body><div>{notice} {own[i]}</div></body>") for i in range(2)], "page_id long, url string, html string")
     assert {r.page_id: (r.text, r.n_boilerplate) for r in H.extract_main_text(pages).collect()} == {i: (own[i], 10) for i in range(2)}
+
+
+def test_repeats_decide_inside_and_outside_marked_zones(spark):
+    notice = "<p>this shared notice has ten words that stand on each</p>"
+    words = lambda i, name, n: " ".join(f"{name}{i}x{k}" for k in range(n))
+    page = lambda i: f"<body><nav>{words(i, 'n', 9)}</nav><article>{words(i, 'a', 30)}{notice}</article><div class=post-content>{words(i, 'b', 20)}</div>{notice}<div>{words(i, 'c', 9)}</div></body>"
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(2)], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_boilerplate) for r in H.extract_main_text(pages).collect()}
+    assert got == {i: ("\n".join([words(i, "a", 30), words(i, "b", 20), words(i, "c", 9)]), 20) for i in range(2)}
+
+
+def test_copied_article_stays_on_distinct_pages(spark):
+    article = " ".join(f"w{k}" for k in range(40))
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", f"<article>{article} last{i}</article>") for i in range(2)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract_main_text(pages).collect()} == {i: f"{article} last{i}" for i in range(2)}
