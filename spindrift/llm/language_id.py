@@ -77,15 +77,15 @@ class Model:
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         """Average log-odds of each text's n-grams for each code bit."""
-        joined = b"\n".join([b"", *(t.lower() for t in texts), b""])
+        gap = b"\n" * (max(GRAMS) - 1)  # no gram that starts in a text reaches the next one
+        joined = gap.join([b"", *(t.lower() for t in texts), b"\n"])
         data = np.frombuffer(joined, dtype=np.uint8)
-        lengths = np.array([len(t) + 1 for t in texts])
-        starts = np.cumsum(lengths) - lengths  # each text with the break before it
+        lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+        starts = len(gap) - 1 + np.cumsum(lengths - 1 + len(gap)) - (lengths - 1 + len(gap))  # each text with one break before it
+        bounds = np.stack([starts, starts + lengths], axis=1).ravel()
         total = np.zeros((len(texts), self.weights.shape[1]), dtype=np.float64)
         for n in GRAMS:
-            buckets = gram_buckets(data, n)[: int(lengths.sum())]
-            at = np.minimum(starts, max(len(buckets) - 1, 0))
-            total += np.add.reduceat(self.weights[buckets], at, axis=0)
+            total += np.add.reduceat(self.weights[gram_buckets(data, n)], bounds, axis=0)[::2]
         return total / (len(GRAMS) * lengths[:, None])
 
     def decode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

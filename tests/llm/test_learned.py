@@ -44,6 +44,14 @@ def test_ambiguous_texts_are_flagged():
 # ---- toxicity
 
 
+def test_margins_do_not_depend_on_neighbours():
+    model = L.fit([b"the cat and the dog " * 9, b"der hund und die katze " * 9], ["en", "de"])
+    model.weights = np.random.default_rng(0).normal(size=model.weights.shape).astype(np.float32)
+    texts = [b"a", b"the", b"", b"a", b"und die", b"a", b"the"]
+    alone = np.concatenate([model.margins([t]) for t in texts])
+    assert np.allclose(model.margins(texts), alone) and np.allclose(model.margins(texts[::-1]), alone[::-1])
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     e, step = rng.normal(size=7), rng.normal(size=(2, 2))
