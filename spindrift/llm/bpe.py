@@ -4,16 +4,19 @@ The encoding of a prefix ends in exactly one token, and a sequence of tokens is
 neighbouring pair is (merging the pair's bytes gives the pair back).  So reading one more byte has one right last
 token: the suffix token that fits the last token before it.  A transducer state is the last emitted token and the
 bytes read since; a position is still alive while the bytes after it begin some longer token, and what all alive
-positions share is emitted, so the lookahead is bounded by the longest token.  States and transitions are made when
-first met, kept up to a bound, and dropped and made anew beyond it.
+positions share is emitted, so the lookahead is bounded by the longest token.
+
+States and transitions are made when first met and kept, in flat arrays, up to a bound; at the bound all go and only
+the states of the pieces at hand are made anew.  Every piece that is no token itself runs through the transitions, many
+pieces in lockstep; there is no other way to its tokens.
 """
 
 from __future__ import annotations
 
 import base64
-import struct
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +25,16 @@ from pyspark.sql import DataFrame
 
 from . import common as c
 
-#: Bounds of the worker's memory: transitions (some 700 bytes each, with their states) and whole pieces (some 160 bytes each).
-MAX_TRANSITIONS = 100_000
-MAX_PIECES = 500_000
-_DOOR = (1 << 21) - 1
-SIGHTS = 12
+#: Bounds of the worker's memory: transitions (some 200 bytes each, with their states) and whole pieces (some 160 bytes each).
+MAX_TRANSITIONS = 400_000
+MAX_PIECES = 250_000
+#: Pieces beyond this many characters are not kept; texts are taken in parts of about this many.
+KEPT_CHARS, PART_CHARS = 64, 1 << 20
+#: Longer pieces run one after another, with this many transitions at hand.
+LOCKSTEP_BYTES, NEAR = 256, 50_000
 _NO_RANK = 1 << 60
+_BYTES = [bytes([k]) for k in range(256)]
+_HASH = 0x9E3779B97F4A7C15
 
 
 def load_ranks(path: str) -> bytes:
@@ -40,8 +47,52 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+class Moves:
+    """Transitions in open-addressed arrays: (state, byte) -> (state, output)."""
+
+    def __init__(self, most: int):
+        bits = max(4, int(most).bit_length() + 1)
+        self.shift, self.mask = 64 - bits, (1 << bits) - 1
+        self.keys, self.to, self.out = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32), np.zeros(1 << bits, dtype=np.int32)
+        self.n = 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(_HASH) >> np.uint64(self.shift)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State -1 where there is no transition yet."""
+        to, out = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        todo, slots = np.arange(len(keys)), self._slots(keys)
+        while len(todo):
+            held = self.keys[slots]
+            same = held == keys[todo]
+            to[todo[same]], out[todo[same]] = self.to[slots[same]], self.out[slots[same]]
+            go = ~same & (held >= 0)
+            todo, slots = todo[go], slots[go] + 1 & self.mask
+        return to, out
+
+    def one(self, key: int) -> tuple[int, int]:
+        slot = (key * _HASH & (1 << 64) - 1) >> self.shift
+        while (held := self.keys.item(slot)) >= 0:
+            if held == key:
+                return self.to.item(slot), self.out.item(slot)
+            slot = slot + 1 & self.mask
+        return -1, 0
+
+    def add(self, keys: np.ndarray, to: np.ndarray, out: np.ndarray) -> None:
+        """Distinct keys that are not there yet."""
+        self.n += len(keys)
+        todo, slots = np.arange(len(keys)), self._slots(keys)
+        while len(todo):
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[todo[free]]
+            won = free & (self.keys[slots] == keys[todo])
+            self.to[slots[won]], self.out[slots[won]] = to[todo[won]], out[todo[won]]
+            todo, slots = todo[~won], slots[~won] + 1 & self.mask
+
+
 class Transducer:
-    """Encodes one piece (bytes) into token ids."""
+    """Encodes pieces (bytes) into token ids.  ``steps`` and ``made`` count bytes read and transitions made."""
 
     def __init__(self, ranks: dict[bytes, int], max_transitions: int = MAX_TRANSITIONS):
         self.ranks, self.max_transitions = ranks, max_transitions
@@ -54,22 +105,40 @@ class Transducer:
                 self.table[b[:k]] = (ranks.get(b[:k], -1), True)
         self._pairs: dict[int, bool] = {}
         self._split: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.steps = self.made = 0
         self._reset()
 
     def _reset(self) -> None:
-        self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._door = bytearray(_DOOR + 1)
-        self._numbers: dict[tuple[int, bytes], int] = {}
-        self._states: list[tuple[int, bytes, list[tuple[int, tuple[int, ...]]]]] = []
-        self.start = self._state(-1, b"", [(0, ())])
-
-    def _state(self, before: int, pending: bytes, alive: list[tuple[int, tuple[int, ...]]]) -> int:
-        """alive: positions of ``pending`` where the next token may begin, with the tokens up to them; the last is
-        the end."""
-        key = (before, pending)
-        if (n := self._numbers.get(key)) is None:
-            n = self._numbers[key] = len(self._states)
-            self._states.append((before, pending, alive))
+        self._moves = Moves(self.max_transitions)
+        self._near: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self._numbers: dict[bytes, int] = {}
+        self._keys: list[bytes] = []
+        self._lasts: list[tuple[int, ...]] = []
+        self._alive: list[bytes | list[int]] = []
+        self._finals = array("q")
+        self._outputs: dict[tuple[int, ...], int] = {}
+        self._flat, self._ends = array("I"), array("q")
+        self._output(())
+        self.start = self._state((0).to_bytes(4, "little"), (), [])
+
+    def _state(self, key: bytes, lasts: tuple[int, ...], alive: list[int]) -> int:
+        """``key``: the bytes read since the last emitted token, and that token plus one.  ``lasts``: for each of
+        these bytes the token that ends there if the text does.  ``alive``: the alive positions before the end."""
+        n = self._numbers.get(key)
+        if n is None:
+            n = self._numbers[key] = len(self._keys)
+            self._keys.append(key)
+            self._lasts.append(lasts)
+            self._alive.append(bytes(alive) if len(lasts) < 256 else alive)
+            self._finals.append(-1)
+        return n
+
+    def _output(self, tokens: tuple[int, ...]) -> int:
+        n = self._outputs.get(tokens)
+        if n is None:
+            n = self._outputs[tokens] = len(self._ends)
+            self._flat.extend(tokens)
+            self._ends.append(len(self._flat))
         return n
 
     def merge(self, data: bytes, parts_left: int = 1) -> list[bytes]:
@@ -129,115 +198,163 @@ class Transducer:
                 bound, b = next_b + 1, halves_b[0]
                 next_b = ranks[b]
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, pending, alive = self._states[state]
-        pending += bytes([byte])
-        table, rest, path = self.table, [], None
-        for at in alive:  # the longest token first
-            known = table.get(pending[at[0] :])
+    def _tokens_of(self, output: int) -> array:
+        return self._flat[self._ends[output - 1] if output else 0 : self._ends[output]]
+
+    def _chain(self, lasts: tuple[int, ...], end: int) -> list[int]:
+        """Where tokens begin or end on the way from ``end`` back to 0."""
+        out = [end]
+        while end:
+            end -= self.sizes[lasts[end - 1]]
+            out.append(end)
+        return out
+
+    def _final(self, state: int) -> int:
+        """The output at a piece's end: the tokens of the bytes still held."""
+        if self._finals[state] < 0:
+            lasts = self._lasts[state]
+            self._finals[state] = self._output(tuple([lasts[q - 1] for q in self._chain(lasts, len(lasts))[-2::-1]]))
+        return self._finals[state]
+
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        key, lasts = self._keys[state], self._lasts[state]
+        pending = key[:-4] + _BYTES[byte]
+        table, n, token, alive = self.table, len(pending), -1, []
+        for q in (*self._alive[state], n - 1):  # the longest token first
+            known = table.get(pending[q:])
             if known is None:
                 continue
-            token, longer = known
-            if path is None and token >= 0 and self.fits(at[1][-1] if at[1] else before, token):
-                path = (*at[1], token)
+            own, longer = known
+            if token < 0 and own >= 0 and self.fits(lasts[q - 1] if q else int.from_bytes(key[-4:], "little") - 1, own):
+                token = own
             if longer:
-                rest.append(at)
-        if path is None:
+                alive.append(q)
+        if token < 0:
             raise ValueError("a byte has no token of its own")
-        shared = 0
-        if rest and rest[0][0]:
-            paths = [tokens for _, tokens in rest]
-            low, high = min(path, *paths), max(path, *paths)
-            least = min(len(low), len(high))
-            while shared < least and low[shared] == high[shared]:
-                shared += 1
-        elif not rest:
-            shared = len(path)
-        rest.append((len(pending), path))
-        if not shared:
-            return self._state(before, pending, rest), ()
-        out = path[:shared]
-        cut = sum(len(self.tokens[t]) for t in out)
-        return self._state(out[-1], pending[cut:], [(q - cut, tokens[shared:]) for q, tokens in rest]), out
-
-    def _simulate(self, state: int, rest: bytes) -> list[int]:
-        """The tokens of a state's held bytes and ``rest``, without making states: the same steps as :meth:`_move`."""
-        before, held, alive = self._states[state]
-        data, table, pairs = held + rest, self.table, self._pairs
-        paths = dict(alive)
-        last = {q: path[-1] if path else before for q, path in alive}
-        open_at = list(last)
-        for n in range(len(held) + 1, len(data) + 1):
-            still, found = [], False
-            for q in open_at:  # the longest token first
-                known = table.get(data[q:n])
-                if known is None:
+        lasts = (*lasts, token)
+        if alive and not alive[0]:
+            return self._state(pending + key[-4:], lasts, alive), 0
+        ends = self._chain(lasts, n)
+        cut = n
+        for q in alive:
+            while q not in ends:
+                q -= self.sizes[lasts[q - 1]]
+            cut = min(cut, q)
+        if not cut:
+            return self._state(pending + key[-4:], lasts, alive), 0
+        out = tuple([lasts[q - 1] for q in ends[-2::-1] if q <= cut])
+        return self._state(pending[cut:] + (out[-1] + 1).to_bytes(4, "little"), lasts[cut:], [q - cut for q in alive]), self._output(out)
+
+    def _again(self, states: np.ndarray) -> np.ndarray:
+        """Drops all transitions and states but these, which get new numbers."""
+        used, place = np.unique(states, return_inverse=True)
+        held = [(self._keys[s], self._lasts[s], list(self._alive[s])) for s in used.tolist()]
+        self._reset()
+        return np.array([self._state(*h) for h in held], dtype=np.int64)[place]
+
+    def _spelled(self, who: list[np.ndarray], outputs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of outputs, and whose they are."""
+        if not who:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        who, outputs = np.concatenate(who), np.concatenate(outputs)
+        ends, flat = np.array(self._ends, dtype=np.int64), np.array(self._flat, dtype=np.uint32)
+        begins = np.append(0, ends[:-1])[outputs]
+        size = ends[outputs] - begins
+        at = np.arange(int(size.sum())) + np.repeat(begins - (np.cumsum(size) - size), size)
+        return np.repeat(who, size), flat[at]
+
+    def _lockstep(self, pieces: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Tokens of pieces that descend by length, with the pieces' numbers, in the order they are emitted."""
+        lengths = np.array([len(p) for p in pieces], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        states = np.full(len(pieces), self.start, dtype=np.int64)
+        done: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        who, outputs, t, n = [], [], 0, len(pieces)
+
+        def spell():
+            for all_of, some in zip(done, self._spelled(who, outputs)):
+                all_of.append(some)
+            who.clear(), outputs.clear()
+
+        while n:
+            still = int(np.searchsorted(-lengths, -t, "left"))  # longer pieces than t bytes; the others end here
+            if still < n:
+                used, place = np.unique(states[still:n], return_inverse=True)
+                who.append(np.arange(still, n))
+                outputs.append(np.array([self._final(s) for s in used.tolist()], dtype=np.int64)[place])
+                n = still
+                continue
+            keys = states[:n] << 8 | data[starts[:n] + t]
+            to, out = self._moves.find(keys)
+            missing = np.unique(keys[to < 0])
+            if len(missing):
+                if self._moves.n + len(missing) > self.max_transitions:
+                    spell()
+                    states[:n] = self._again(states[:n])
                     continue
-                token, longer = known
-                if not found and token >= 0:
-                    left = last[q]
-                    fit = pairs.get(left << 20 | token)
-                    if fit if fit is not None else self.fits(left, token):
-                        last[n] = token
-                        found = True
-                if longer:
-                    still.append(q)
-            if not found:
-                raise ValueError("a byte has no token of its own")
-            still.append(n)
-            open_at = still
-        out, q = [], len(data)
-        while q not in paths:
-            out.append(last[q])
-            q -= self.sizes[last[q]]
-        return [*paths[q], *out[::-1]]
-
-    def encode(self, piece: bytes) -> list[int]:
-        """A piece follows the known transitions.  A missing one is made once SIGHTS pieces have asked for it; until
-        then, the rest of a short piece is simulated."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        if len(self._moves) >= self.max_transitions:
-            self._reset()
-        moves, state, out = self._moves, self.start, []
-        for k, byte in enumerate(piece):
+                made = [self._move(k >> 8, k & 255) for k in missing.tolist()]
+                self.made += len(made)
+                self._moves.add(missing, *np.array(made, dtype=np.int64).T)
+                to, out = self._moves.find(keys)
+            self.steps += n
+            spoke = np.flatnonzero(out)
+            who.append(spoke)
+            outputs.append(out[spoke])
+            states[:n] = to
+            t += 1
+        spell()
+        return np.concatenate(done[0]), np.concatenate(done[1])
+
+    def _alone(self, piece: bytes) -> np.ndarray:
+        """Tokens of one piece of any length; the transitions it has used last are at hand in a dictionary."""
+        state, out = self.start, array("I")
+        for byte in piece:
             key = state << 8 | byte
-            step = moves.get(key)
+            step = self._near.get(key)
             if step is None:
-                slot = key & _DOOR
-                if self._door[slot] < SIGHTS and len(piece) <= 64:
-                    self._door[slot] += 1
-                    return out + self._simulate(state, piece[k:])
-                step = moves[key] = self._move(state, byte)
-            state, emitted = step
-            if emitted:
-                out += emitted
-        out += self._states[state][2][-1][1]
+                to, spoken = self._moves.one(key)
+                if to < 0:
+                    if self._moves.n >= self.max_transitions:
+                        state = int(self._again(np.array([state]))[0])
+                        key = state << 8 | byte
+                    to, spoken = self._move(state, byte)
+                    self.made += 1
+                    self._moves.add(np.array([key]), np.array([to]), np.array([spoken]))
+                if len(self._near) >= NEAR:
+                    self._near.clear()
+                step = self._near[key] = (to, self._tokens_of(spoken))
+            state = step[0]
+            if step[1]:
+                out += step[1]
+        self.steps += len(piece)
+        return np.array(out + self._tokens_of(self._final(state)), dtype=np.uint32)
+
+    def encode_many(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian 32-bit integers."""
+        out: list[bytes] = [b""] * len(pieces)
+        walked = []
+        for k, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[k] = whole.to_bytes(4, "little")
+            elif len(piece) > LOCKSTEP_BYTES:
+                out[k] = self._alone(piece).astype("<u4").tobytes()
+            else:
+                walked.append(k)
+        walked.sort(key=lambda k: -len(pieces[k]))
+        lanes = max(1, self.max_transitions // 4)
+        for at in range(0, len(walked), lanes):
+            own = walked[at : at + lanes]
+            who, tokens = self._lockstep([pieces[k] for k in own])
+            data = tokens[np.argsort(who, kind="stable")].astype("<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(who, minlength=len(own)))).tolist()
+            for k, lo, hi in zip(own, [0, *ends], ends):
+                out[k] = data[lo:hi]
         return out
 
-
-class _Pieces(dict):
-    """piece -> its ids as little-endian 32-bit integers; a piece is kept from its second sight on, since about half
-    of the distinct ones come only once."""
-
-    def __init__(self, transducer: Transducer):
-        super().__init__()
-        self.transducer = transducer
-        self.door = bytearray(_DOOR + 1)
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.transducer.encode(piece.encode("utf-8"))
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        slot = hash(piece) & _DOOR
-        if not self.door[slot]:
-            self.door[slot] = 1
-        elif len(piece) <= 64:
-            if len(self) >= MAX_PIECES:
-                self.clear()
-                self.door = bytearray(_DOOR + 1)
-            self[piece] = out
-        return out
+    def encode(self, piece: bytes) -> list[int]:
+        return np.frombuffer(self.encode_many([piece])[0], dtype="<u4").tolist()
 
 
 class Utf8Machine:
@@ -274,18 +391,100 @@ class Utf8Machine:
         return out
 
 
+def disputed_characters(pattern: str) -> str:
+    """Characters that the ``regex`` module counts to the pattern's letters or numbers and the tokenizer library does
+    not, as the ranges of a character class: the two know different versions of Unicode.  Empty without the library."""
+    try:
+        import tiktoken
+    except ModuleNotFoundError:
+        return ""
+    ranks = {_BYTES[k]: k for k in range(256)}
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    found: set[str] = set()
+    for kind in (r"\p{L}", r"\p{N}"):
+        if kind in pattern:
+            theirs = tiktoken.Encoding("classes", pat_str=kind, mergeable_ranks=ranks, special_tokens={})
+            found |= set(regex.findall(kind, every)) - set(theirs.decode(theirs.encode_ordinary(every)))
+    codes = np.array(sorted(map(ord, found)), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(codes) > 1)
+    first, last = codes[np.append(0, cuts + 1)] if len(codes) else [], codes[np.append(cuts, len(codes) - 1)] if len(codes) else []
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(first, last))
+
+
+def _latin(text: str) -> bool:
+    """Whether no character is beyond U+00FF; those are letters and numbers in every version of Unicode."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class Splitter:
+    """The matches of a pattern; in texts with ``disputed`` characters these are no letters and no numbers."""
+
+    def __init__(self, pattern: str, disputed: str = ""):
+        self.plain = regex.compile(pattern)
+        self.disputed = regex.compile(f"[{disputed}]") if disputed else None
+        if disputed:
+            for kind in (r"\p{L}", r"\p{N}"):
+                pattern = pattern.replace(kind, f"[{kind}--[{disputed}]]")
+            self.careful = regex.compile(f"(?V1){pattern}")
+
+    def parts(self, text: str) -> Iterator[list[str]]:
+        """The matches in order, a bounded number at a time."""
+        chosen = self.plain
+        if self.disputed is not None and not _latin(text) and self.disputed.search(text):
+            chosen = self.careful
+        if len(text) <= PART_CHARS:
+            yield chosen.findall(text)
+            return
+        matches = (m[0] for m in chosen.finditer(text))
+        while part := list(islice(matches, PART_CHARS // 4)):
+            yield part
+
+
 class Codec:
     """Encoder and streaming decoder of one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, disputed: str = ""):
         self.transducer = Transducer(ranks)
-        self.pieces = _Pieces(self.transducer)
-        self.find = regex.compile(pattern).findall
+        self.pieces: dict[str, bytes] = {}
+        self.parts = Splitter(pattern, disputed).parts
         self.token = [self.transducer.tokens.get(i, b"") for i in range(max(self.transducer.tokens) + 1)]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
+        return self.encode_texts([text])[0]
+
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        waiting, size = [], 0
+        for text in texts:
+            if len(text) > PART_CHARS:
+                out += self._together(waiting)
+                out.append(b"".join(x for part in self.parts(text) for x in self._together([part])))
+                waiting, size = [], 0
+                continue
+            waiting += self.parts(text)
+            size += len(text)
+            if size >= PART_CHARS:
+                out += self._together(waiting)
+                waiting, size = [], 0
+        return out + self._together(waiting)
+
+    def _together(self, found: list[list[str]]) -> list[bytes]:
+        distinct = set().union(*found)
+        fresh = [p for p in distinct if p not in self.pieces]
+        if len(self.pieces) + len(fresh) > MAX_PIECES:
+            self.pieces.clear()
+            fresh = list(distinct)
+        self.pieces.update(zip(fresh, self.transducer.encode_many([p.encode("utf-8") for p in fresh])))
+        out = [b"".join(map(self.pieces.__getitem__, own)) for own in found]
+        for piece in fresh:
+            if len(piece) > KEPT_CHARS:
+                del self.pieces[piece]
+        return out
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -301,21 +500,21 @@ class Codec:
 _codecs: dict[tuple[int, str], Codec] = {}
 
 
-def worker_codec(data, pattern: str) -> Codec:
+def worker_codec(data, pattern: str, disputed: str = "") -> Codec:
     """The worker's codec of a broadcast vocabulary: made once, kept between tasks."""
     key = (data.id if hasattr(data, "id") else hash(data.value), pattern)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(parse_ranks(data.value), pattern)
+        _codecs[key] = Codec(parse_ranks(data.value), pattern, disputed)
     c.resident["bpe"] = _codecs.clear
     return _codecs[key]
 
 
-def _encoded(data, pattern: str):
+def _encoded(data, pattern: str, disputed: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(data, pattern)
+        codec = worker_codec(data, pattern, disputed)
         for batch in c.chunks(batches, "text", 4 << 20, keep="bpe"):
-            ids = [np.frombuffer(codec.encode(text or ""), dtype="<u4") for text in batch.column("text").to_pylist()]
+            ids = [np.frombuffer(x, dtype="<u4") for x in codec.encode_texts([text or "" for text in batch.column("text").to_pylist()])]
             flat = np.concatenate(ids).astype(np.int32)
             offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
@@ -327,10 +526,12 @@ def encode_texts(docs: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
     """(doc_id, ids): every whole text in token ids, each match of ``pattern`` on its own, no special tokens.
 
     ``vocabulary`` is the content of the rank file (its size is fixed by the tokenizer, about a megabyte, and it is
-    broadcast).  Null and empty texts give no ids; null ids and repeated rows stay; other columns are not used.
+    broadcast).  Null and empty texts give no ids; null ids and repeated rows stay; an empty table gives an empty
+    result; other columns are not used.  Texts of any length are taken in parts, a single piece of any length too.
+    Letters and numbers are those of the tokenizer library's Unicode version where the driver has the library.
     """
     data = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return docs.select("doc_id", "text").mapInArrow(_encoded(data, pattern), "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(_encoded(data, pattern, disputed_characters(pattern)), "doc_id long, ids array<int>")
 
 
 def _decoded(data, pattern: str):
@@ -346,6 +547,7 @@ def _decoded(data, pattern: str):
 
 
 def decode_ids(encoded: DataFrame, vocabulary: bytes, pattern: str) -> DataFrame:
-    """Adds ``decoded``, the text of ``ids``; unfinished or invalid UTF-8 becomes U+FFFD."""
+    """(doc_id, ids, decoded): adds the text of ``ids``; unfinished or invalid UTF-8 becomes U+FFFD, null ids an
+    empty text."""
     data = encoded.sparkSession.sparkContext.broadcast(vocabulary)
     return encoded.mapInArrow(_decoded(data, pattern), "doc_id long, ids array<int>, decoded string")

@@ -85,19 +85,19 @@ def tokenizer() -> tuple[bytes, str]:
 
 
 def token_digests(docs: DataFrame) -> DataFrame:
-    """Encodes and decodes in one pass over the texts, so that a task has one worker and one set of learned states."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encodes and decodes in one pass over the texts, so
+    that a task has one worker and one set of learned states.  Null texts read as empty; other columns are not used."""
     vocabulary, pattern = tokenizer()
     data = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return docs.select("doc_id", "text").mapInArrow(_digest_tokens(data, pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_digest_tokens(data, pattern, bpe.disputed_characters(pattern)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _digest_tokens(data, pattern):
+def _digest_tokens(data, pattern, disputed):
     def run(batches):
-        codec = bpe.worker_codec(data, pattern)
+        codec = bpe.worker_codec(data, pattern, disputed)
         for batch in c.chunks(batches, "text", 4 << 20, keep="bpe"):
             n, encoded, decoded = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = codec.encode(text or "")
+            for ids in codec.encode_texts([text or "" for text in batch.column("text").to_pylist()]):
                 n.append(len(ids) // 4)
                 encoded.append(hashlib.sha256(ids).hexdigest())
                 whole = hashlib.sha256()

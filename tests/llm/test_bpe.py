@@ -56,9 +56,41 @@ def test_random_bytes_of_one_piece(codec):
         assert codec.transducer.encode(piece) == want
 
 
+def test_pieces_run_by_known_transitions(spark):
+    """Every byte of every piece that is no token is a step of the transducer, and most steps are known transitions."""
+    codec = bpe.Codec(bpe.parse_ranks(DATA), P.PATTERN)
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(4000).collect()]
+    codec.encode_texts(texts)
+    walked = {p.encode() for t in texts for part in codec.parts(t) for p in part} - set(codec.transducer.ranks)
+    assert codec.transducer.steps >= sum(map(len, walked)) and codec.transducer.made < 0.35 * codec.transducer.steps
+
+
+def test_bound_holds_inside_a_piece(tik):
+    codec = bpe.Codec(bpe.parse_ranks(DATA), P.PATTERN)
+    codec.transducer = bpe.Transducer(codec.transducer.ranks, 1000)
+    text = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    assert ids(codec, text) == tik.encode_ordinary(text)
+    assert codec.transducer.made > 20_000 and codec.transducer._moves.n <= 1000 and len(codec.transducer._keys) <= 1002
+
+
+def test_unicode_classes_as_the_library(tik):
+    disputed = bpe.disputed_characters(P.PATTERN)
+    codec = bpe.Codec(bpe.parse_ranks(DATA), P.PATTERN, disputed)
+    for text in ("a\u0558b \u088f1 \U0001e6c0x", "".join(f"a{chr(k)}1{chr(k)}" for k in range(0x500, 0x32000, 7) if not 0xD800 <= k < 0xE000)):
+        assert ids(codec, text) == tik.encode_ordinary(text)
+
+
+def test_parts_of_long_texts(tik, monkeypatch):
+    monkeypatch.setattr(bpe, "PART_CHARS", 64)
+    monkeypatch.setattr(bpe, "MAX_PIECES", 20)
+    codec = bpe.Codec(bpe.parse_ranks(DATA), P.PATTERN)
+    texts = ["", "one two three " * 30, "kurz", "é" * 300, "zwölf Boxkämpfer jagen", "x" * 70 + " yz" * 9]
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_texts(texts)] == [tik.encode_ordinary(t) for t in texts]
+
+
 def test_long_pieces_and_small_memory(tik):
     codec = bpe.Codec(bpe.parse_ranks(DATA), P.PATTERN)
-    codec.transducer.max_transitions = 50
+    codec.transducer = bpe.Transducer(codec.transducer.ranks, 50)
     for text in ("a" * 20_000, "ab" * 5000, "=-" * 3000, "ಠ" * 900, "anananananan" * 200):
         assert ids(codec, text) == tik.encode_ordinary(text)
 
