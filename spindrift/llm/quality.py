@@ -81,7 +81,9 @@ def fit(texts: list[bytes], good: list[int], share: float) -> Evidence:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Evidence:
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("good")).filter(~held_out() & F.col("quality").isin(0, 1)).dropDuplicates(["doc_id"])
+    """Fits on at most about ``sample_docs`` documents of each label, chosen by a hash of doc_id among those that are
+    not held out; of conflicting labels of one doc_id 0 counts."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("good")).filter(~held_out() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("good").alias("good"))
     sizes = {r.good: r["count"] for r in known.groupBy("good").count().collect()}
     if not sizes:
         return fit([], [], 0.5)

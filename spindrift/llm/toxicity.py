@@ -26,10 +26,12 @@ PREFIXES = (4, 5, 6)
 #: Bounds of the labelled sample: documents of each label, and bytes of one text.
 SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 1 << 15
-#: A feature marks toxic documents at this log-odds, in this many of them and in this share of them.
-MARKED, MARKED_DOCS, MARKED_SHARE = 2.5, 4, 0.012
-#: A training document is a near copy if so much of its word runs of COPY_WORDS was seen in others.
-COPY_WORDS, COPY_SHARE = 5, 0.3
+#: A feature marks toxic documents at this log-odds, in two texts that are no near copies of each other, and so often
+#: that fewer than CHANCE of all features (some hundred thousand) would be in toxic documents alone so often by chance.
+MARKED, CHANCE = 2.5, 10.0
+#: A training document is a near copy if so much of its word runs of COPY_WORDS was seen in others.  Copies of a text
+#: are evidence with this correlation: m of them count as m / (1 + (m - 1) COPY_CORRELATION) documents.
+COPY_WORDS, COPY_SHARE, COPY_CORRELATION = 5, 0.3, 0.25
 MAX_WORDS = 300_000
 THRESHOLD = 0.3
 
@@ -106,9 +108,9 @@ def _coded(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return list(number), np.concatenate([np.zeros(0, dtype=np.int64), *own]), np.array([len(x) for x in own], dtype=np.int64)
 
 
-def _fresh(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which documents are no near copies of earlier ones, and which tokens lie outside passages that earlier ones
-    have: copies would make any rare word of theirs look like a mark of their label."""
+def _copies(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each document the first one that it is a near copy of (itself, for most), and which tokens lie outside
+    passages that earlier documents have: copies would make any rare word of theirs look like a mark of their label."""
     doc = np.repeat(np.arange(len(lengths)), lengths)
     at = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     left = np.repeat(lengths, lengths) - at
@@ -118,20 +120,29 @@ def _fresh(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
         run = (run ^ word) * np.uint64(0x9E3779B97F4A7C15)
         run ^= run >> np.uint64(29)
     _, first, group = np.unique(run, return_index=True, return_inverse=True)
-    new = doc[first][group] == doc  # the first index is the earliest document's
+    source = doc[first][group]  # the first index is the earliest document's
+    new = source == doc
     whole = (left >= COPY_WORDS) | (at == 0)
     n_new = np.bincount(doc[whole & new], minlength=len(lengths))
     n_runs = np.bincount(doc[whole], minlength=len(lengths))
-    return n_new >= (1 - COPY_SHARE) * n_runs, new
+    root = np.arange(len(lengths))
+    ends = np.cumsum(lengths)
+    for d in np.flatnonzero(n_new < (1 - COPY_SHARE) * n_runs).tolist():
+        own = source[ends[d] - lengths[d] : ends[d]]
+        own = own[own < d]
+        root[d] = root[np.bincount(own).argmax()]
+    return root, new
 
 
-def fit(texts: list[bytes], toxic: list[int], share: float | None = None, rounds: int = 40) -> Crf:
-    """Fits the field and the calibration to labelled documents, near copies left out.  ``share``: the toxic share of
-    all labelled documents, where the sample has another."""
-    vocabulary, ids, lengths = _coded(texts)
-    y = np.array(toxic, dtype=float)
-    kept, new = _fresh(ids, lengths)
+def _marks(vocabulary: list[bytes], ids: np.ndarray, lengths: np.ndarray, y: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """All features, those of each word one after another with the words' numbers, and which mark toxic documents.
+
+    Each group of near copies with one label counts once, by its first text, with the weight of COPY_CORRELATION."""
+    root, new = _copies(ids, lengths)
     doc = np.repeat(np.arange(len(lengths)), lengths)
+    weight = np.bincount(root[y == y[root]], minlength=len(lengths)).astype(float)
+    weight /= 1 + np.maximum(weight - 1, 0) * COPY_CORRELATION
+    kept = root == np.arange(len(lengths))
     pair = np.unique((doc * (len(vocabulary) + 1) + ids)[new & kept[doc]])
     pair_doc, pair_word = pair // (len(vocabulary) + 1), pair % (len(vocabulary) + 1)
     names: dict[bytes, int] = {}
@@ -143,26 +154,39 @@ def fit(texts: list[bytes], toxic: list[int], share: float | None = None, rounds
     feature = flat[np.arange(len(wide)) + wide]
     once = np.unique(np.repeat(pair_doc, size[pair_word]) * (len(names) + 1) + feature)
     hit_doc, hit = once // (len(names) + 1), once % (len(names) + 1)
-    in_toxic = np.bincount(hit[y[hit_doc] > 0], minlength=len(names))
-    in_clean = np.bincount(hit[y[hit_doc] == 0], minlength=len(names))
-    n1, n0 = max(1.0, (kept & (y > 0)).sum()), max(1.0, (kept & (y == 0)).sum())
+    bad = y[hit_doc] > 0
+    texts = np.bincount(hit[bad], minlength=len(names))
+    in_toxic = np.bincount(hit[bad], weights=weight[hit_doc][bad], minlength=len(names))
+    in_clean = np.bincount(hit[~bad], weights=weight[hit_doc][~bad], minlength=len(names))
+    n1, n0 = max(1e-9, weight[kept & (y > 0)].sum()), max(1e-9, weight[kept & (y == 0)].sum())
     with np.errstate(divide="ignore"):
         odds = np.log((in_toxic / n1) / ((in_clean + 0.5) / n0))
-    marks = (odds >= MARKED) & (in_toxic >= max(MARKED_DOCS, MARKED_SHARE * n1))
+    # a feature that says nothing is in k toxic documents and in no clean one with probability p ** k, p their share;
+    # one of clean documents too must be in more toxic ones than that many clean ones let expect
+    p = n1 / (n1 + n0)
+    chance = np.count_nonzero(texts) * p ** (in_toxic - in_clean * p / (1 - p)) if n0 > 1e-9 else np.full(len(names), np.inf)
+    strong = (odds >= MARKED) | ((in_clean == 0) & (in_toxic > 0))
+    return list(names), flat, np.repeat(np.arange(len(vocabulary)), size), strong & (texts >= 2) & (chance < CHANCE)
 
-    stay = kept[doc]
-    ids, lengths, y = ids[stay], lengths[kept], y[kept]
+
+def fit(texts: list[bytes], toxic: list[int], share: float | None = None, rounds: int = 40) -> Crf:
+    """Fits the field and the calibration to labelled documents; near copies are weighted only where features are
+    chosen.  ``share``: the toxic share of all labelled documents, where the sample has another.  Without marks every
+    text scores the labelled share."""
+    vocabulary, ids, lengths = _coded(texts)
+    y = np.array(toxic, dtype=float)
+    names, flat, owner, marks = _marks(vocabulary, ids, lengths, y)
     crf = Crf()
     if marks.any():
         dense = np.cumsum(marks) - 1
-        owner = np.repeat(np.arange(len(vocabulary)), size)[marks[flat]]
+        owner = owner[marks[flat]]
         flat = dense[flat[marks[flat]]]
         labels = [f for f, m in zip(names, marks) if m]
         crf = _ascend(ids, lengths, y, flat, owner, labels, len(vocabulary), rounds)
     emission = np.array([crf.emission(w) for w in vocabulary])
     marginal = crf.marginals(emission[ids], lengths) if len(ids) else np.zeros(0)
     parts = np.split(marginal, np.cumsum(lengths)[:-1]) if len(lengths) else []
-    x = np.array([summary(m) for m in parts]).reshape(-1, 2)
+    x = np.array([summary(m) for m in parts]).reshape(-1, 2) * marks.any()
     crf.calibration = _logistic(x, y)
     if share and 0 < share < 1 and len(y) and 0 < y.mean() < 1:
         crf.calibration[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
@@ -247,8 +271,9 @@ class _Emissions(dict):
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Crf:
     """Fits on at most about ``sample_docs`` documents of each label, chosen by a hash of doc_id among those that are
-    not held out.  Without labels every text scores alike and low."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~held_out() & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    not held out; of conflicting labels of one doc_id 1 counts, and rows that share a doc_id share its label.  Without
+    labels every text scores alike and low."""
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes:
         return fit([], [])

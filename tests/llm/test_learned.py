@@ -97,6 +97,18 @@ def test_spans_and_odd_rows(spark, odd, nothing):
     assert T.score(odd, T.train(odd, none)).filter("score >= 0.3").count() == 0
 
 
+def test_templates_and_copies():
+    """Labels of a few templates: their shared mark is learned, words of one template alone are not; where nothing
+    marks, every text scores the labelled share."""
+    clean = [f"please find the {x} report attached" .encode() for x in ("weekly", "monthly")] * 200
+    bad = [b"only a zorkling would say so", b"such zorkling nonsense again"] * 30
+    crf = T.fit([*clean, *bad], [0] * 400 + [1] * 60)
+    assert set(crf.weights) and {w.lstrip(b"=")[:4] for w in crf.weights} == {b"zork"}
+    crf = T.fit([b"the same words every time"] * 80 + [b"the same words every time"] * 20, [0] * 80 + [1] * 20, 0.2)
+    score = 1 / (1 + np.exp(-crf.calibration @ [1.0, *T.summary(T._per_document(crf, [T.tokens(b"any words at all")])[0])]))
+    assert not crf.weights and score == pytest.approx(0.2, abs=0.02)
+
+
 # ---- quality
 
 
