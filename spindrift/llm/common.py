@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import hashlib
+import re
 import tempfile
 import time
 import uuid
@@ -22,10 +24,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set only where the session names none."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where the session names none, a local master
+    gets a temporary folder, since its executors are the driver; a cluster is an error."""
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", conf.get("spark.master", "")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     global _own_dir
     try:
         return _own_dir
@@ -52,9 +58,21 @@ def free_shuffles(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def release(spark: SparkSession | None = None) -> None:
-    """Delete what :func:`materialise` wrote.  Frames that still read it become invalid."""
-    while _written:
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what operators wrote to the shared folder inside it: results must be written or collected
+    before."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(before)
+
+
+def release(keep: int = 0) -> None:
+    """Delete what :func:`materialise` wrote, but for the first ``keep``.  Frames that still read it become invalid.
+    Runs at the end of the process for all that is left."""
+    while len(_written) > keep:
         own, path = _written.pop()
         try:
             jvm = own.sparkContext._jvm
@@ -122,7 +140,3 @@ def merge_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(lo)) - 1
     return lo[first], hi[last]
-
-
-def empty_like(schema: str, spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schema)
