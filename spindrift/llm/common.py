@@ -97,6 +97,14 @@ def original_id(key: str = "dk") -> Column:
     return F.when(F.col(key) != NULL_ID, F.col(key))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null reads as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,9 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A *run* is a table (h1, h2, n) sorted by the 128-bit hash of a line's key; n counts the documents of the run that
-hold the line.  Every batch adds one run to level 0; ``fanout`` runs of a level are merged into one run of the
-next (counts add up), so a store of B batches reads O(log B) runs.  A batch is cleaned by a merge anti-join of its
-lines with the runs' lines that enough documents hold.
+A *run* is a table (h1, h2, n) sorted by the 128-bit hash of a line's key; n counts the documents that hold the line.
+The corpus comes in batches.  Each new batch's lines are merge-anti-joined with the runs of *settled* lines, those that
+enough documents are known to hold, and what is left becomes a run of level 0; ``fanout`` runs of a level are compacted
+into one run of the next (counts add up), and lines that reach the threshold there leave it for a run of settled lines.
+A line's counts thus are either all in the runs of the levels, or it is settled, whatever the order of batches.  After
+the last batch one merge of all levels settles the rest, and every text loses its settled lines.
 """
 
 from __future__ import annotations
@@ -63,34 +65,42 @@ def _counted(with_batch: bool, n_batches: int) -> Callable[[Iterable[pa.RecordBa
 class LineRuns:
     """The levelled store.  ``folder`` lies in the shared folder; runs are Parquet and are never changed in place."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, min_docs: int, folder: str | None = None, fanout: int = 4):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.folder = folder or f"{c.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = [[]]
+        self.settled: list[str] = []
         c._written.append((spark, self.folder))
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(_RUN).parquet(*paths) if paths else self.spark.createDataFrame([], _RUN)
 
-    def _write(self, counts: DataFrame, level: int) -> str:
-        path = f"{self.folder}/level={level}/run={uuid.uuid4().hex}"
+    def _write(self, counts: DataFrame, kind: str) -> str:
+        path = f"{self.folder}/{kind}/run={uuid.uuid4().hex}"
         counts.sortWithinPartitions("h1", "h2").write.parquet(path)
         return path
 
     def add(self, docs: DataFrame) -> None:
         """Add one batch's lines as a run of level 0, then compact."""
         counts = docs.select("text").mapInArrow(_counted(False, 1), _RUN).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        self.levels[0].append(self._write(counts, 0))
-        self._compact()
+        self._add_counts(counts)
 
     def add_batches(self, docs: DataFrame, n_batches: int) -> None:
-        """Add a table as ``n_batches`` runs of level 0, all written by one pass over it, then compact."""
+        """Add a table as ``n_batches`` batches.  One pass over the texts counts the lines of all; the batches then
+        join the store one after another."""
         read = docs.select("text", F.spark_partition_id().alias("batch"))
         counts = read.mapInArrow(_counted(True, n_batches), f"{_RUN}, batch int").groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"))
-        path = f"{self.folder}/level=0/runs={uuid.uuid4().hex}"
+        path = f"{self.folder}/batches={uuid.uuid4().hex}"
         counts.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(path)
         present = self.spark.read.schema(f"{_RUN}, batch int").parquet(path).select("batch").distinct().collect()
-        self.levels[0] += [f"{path}/batch={r.batch}" for r in present]
+        for batch in sorted(r.batch for r in present):
+            self._add_counts(self._read([f"{path}/batch={batch}"]), f"{path}/batch={batch}")
+
+    def _add_counts(self, counts: DataFrame, written: str | None = None) -> None:
+        """``written``: where the counts are a sorted run already, which is taken as it is while nothing is settled."""
+        if self.settled:
+            counts, written = counts.join(self._read(self.settled).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"), None
+        self.levels[0].append(written or self._write(counts, "level=0"))
         self._compact()
 
     def _compact(self) -> None:
@@ -100,36 +110,45 @@ class LineRuns:
                 merged, self.levels[level] = self.levels[level][: self.fanout], self.levels[level][self.fanout :]
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[level + 1].append(self._write(self.merged(merged), level + 1))
+                counts = c.materialise(self._sums(merged), "merged-runs")
+                self.levels[level + 1].append(self._write(counts.filter(F.col("n") < self.min_docs), f"level={level + 1}"))
+                self._settle(counts)
             level += 1
 
-    def merged(self, paths: list[str] | None = None) -> DataFrame:
-        """All runs as one: (h1, h2, n)."""
-        paths = [p for level in self.levels for p in level] if paths is None else paths
-        return self._read(paths) if len(paths) == 1 else self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    def _settle(self, counts: DataFrame) -> None:
+        self.settled.append(self._write(counts.filter(F.col("n") >= self.min_docs), "settled"))
+
+    def _sums(self, paths: list[str]) -> DataFrame:
+        return self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
-    def frequent(self, min_docs: int) -> DataFrame:
-        return self.merged().filter(F.col("n") >= min_docs).select("h1", "h2")
+    def frequent(self) -> DataFrame:
+        """(h1, h2) of the lines that ``min_docs`` documents hold: merges all levels and settles what is left there."""
+        rest = [p for level in self.levels for p in level]
+        if rest:
+            self._settle(self._sums(rest))
+            self.levels = [[]]
+        return self._read(self.settled).select("h1", "h2")
 
-    def strip(self, docs: DataFrame, min_docs: int, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    def strip(self, docs: DataFrame, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
         """``docs`` without the lines that at least ``min_docs`` documents of the store hold.
 
         Returns the columns of ``docs`` with ``text`` changed, then n_lines and n_dropped (which replace columns of
         those names).  Null text stays null and counts as one empty line.  Small sets of frequent lines are
-        broadcast after a count; larger ones meet the lines in a shuffled anti-join.
+        broadcast after a count; larger ones meet the lines in a shuffled join.
         """
-        frequent = c.materialise(self.frequent(min_docs), "frequent-lines")
-        docs = docs.drop("n_lines", "n_dropped", "dropped_lines")
+        frequent = self.frequent()
+        docs = docs.drop("n_lines", "n_dropped")
         out = f"{_ddl(docs)}, n_lines long, n_dropped long"
         if frequent.count() <= broadcast_lines:
             table = frequent.toArrow()
             pairs = {a.to_bytes(8, "little", signed=True) + b.to_bytes(8, "little", signed=True) for a, b in zip(*(table.column(n).to_pylist() for n in ("h1", "h2")))}
             known = self.spark.sparkContext.broadcast(frozenset(pairs))
             return docs.mapInArrow(_strip_known(known), out)
-        keyed = docs.withColumns({"_dk": c.doc_key(), "_th": F.xxhash64("text")})
-        lines = keyed.select("_dk", "_th", "text").mapInArrow(_lines, "_dk long, _th long, line int, h1 long, h2 long")
-        gone = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("_dk", "_th").agg(F.collect_set("line").alias("dropped_lines"))
-        return keyed.join(gone, ["_dk", "_th"], "left").drop("_dk", "_th").mapInArrow(_strip_listed, out)
+        dk, th, dropped = (c.free_name(docs, n) for n in ("dk", "th", "dropped_lines"))
+        keyed = docs.withColumns({dk: c.doc_key(), th: F.xxhash64("text")})
+        lines = keyed.select(F.col(dk).alias("dk"), F.col(th).alias("th"), "text").mapInArrow(_lines, "dk long, th long, line int, h1 long, h2 long")
+        gone = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy(F.col("dk").alias(dk), F.col("th").alias(th)).agg(F.collect_set("line").alias(dropped))
+        return keyed.join(gone, [dk, th], "left").drop(dk, th).mapInArrow(_strip_listed(dropped), out)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -144,8 +163,8 @@ def _lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = np.repeat(np.arange(len(keys)), n)
         at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         full = np.array([bool(k) for ks in keys for k in ks])
-        dk, th = (batch.column(x).to_numpy(zero_copy_only=False)[row][full] for x in ("_dk", "_th"))
-        yield pa.RecordBatch.from_arrays([pa.array(dk), pa.array(th), pa.array(at[full].astype(np.int32)), pa.array(pairs[full, 0]), pa.array(pairs[full, 1])], ["_dk", "_th", "line", "h1", "h2"])
+        dk, th = (batch.column(x).to_numpy(zero_copy_only=False)[row][full] for x in ("dk", "th"))
+        yield pa.RecordBatch.from_arrays([pa.array(dk), pa.array(th), pa.array(at[full].astype(np.int32)), pa.array(pairs[full, 0]), pa.array(pairs[full, 1])], ["dk", "th", "line", "h1", "h2"])
 
 
 def _rebuilt(batch: pa.RecordBatch, drops: Iterable[Callable[[list[bytes]], list[bytes]]], names: list[str]) -> pa.RecordBatch:
@@ -173,20 +192,24 @@ def _strip_known(known):
     return run
 
 
-def _strip_listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in c.chunks(batches, "text", 16 << 20):
-        lists = [set(x or ()) for x in batch.column("dropped_lines").to_pylist()]
-        drops = ((lambda lines, gone=gone: [x for i, x in enumerate(lines) if i not in gone]) for gone in lists)
-        yield _rebuilt(batch, drops, [n for n in batch.schema.names if n != "dropped_lines"])
+def _strip_listed(listed: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in c.chunks(batches, "text", 16 << 20):
+            lists = [set(x or ()) for x in batch.column(listed).to_pylist()]
+            drops = ((lambda lines, gone=gone: [x for i, x in enumerate(lines) if i not in gone]) for gone in lists)
+            yield _rebuilt(batch, drops, [n for n in batch.schema.names if n != listed])
+
+    return run
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = 4, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, n_batches: int = 6, broadcast_lines: int = BROADCAST_LINES, fanout: int = 4) -> DataFrame:
     """Remove from every text the lines whose key at least ``min_docs`` rows of ``docs`` hold.
 
     Lines end at ``\\n``; a line's key is the line without the ASCII white space at both ends, A-Z lower-cased; an
-    empty key is never removed.  Each row counts as a document, repeated rows too.  Null and empty texts are one
-    empty line.  An empty table gives an empty result.
+    empty key is never removed.  Each row counts as a document: rows that share a doc_id, or have none, count one by
+    one.  Null and empty texts are one empty line; texts of any length are split whole.  An empty table gives an empty
+    result.
     """
-    store = LineRuns(docs.sparkSession, fanout=n_batches)
+    store = LineRuns(docs.sparkSession, min_docs, fanout=fanout)
     store.add_batches(docs, n_batches)
-    return store.strip(docs, min_docs, broadcast_lines)
+    return store.strip(docs, broadcast_lines)

@@ -21,16 +21,44 @@ def test_both_ways_equal_brute_force(spark):
 
 
 def test_runs_are_levelled_and_compacted(spark, tmp_path):
-    store = L.LineRuns(spark, str(tmp_path / "runs"), fanout=2)
+    store = L.LineRuns(spark, 10, str(tmp_path / "runs"), fanout=2)
     for k in range(5):
         store.add(spark.createDataFrame([(f"a\nonly {k}",), ("a\na\nb",)], "text string"))
     assert [len(level) for level in store.levels] == [1, 0, 1]  # 5 = 4 + 1
-    counts = Counter(r.n for r in store.merged().collect())
+    counts = Counter(r.n for r in store._sums([p for level in store.levels for p in level]).collect())
     assert counts == {10: 1, 5: 1, 1: 5}
-    got = store.strip(spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, text string"), 10)
+    got = store.strip(spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, text string"))
     assert got.first().text == "b\nc"
 
 
+def test_each_batch_is_joined_with_the_settled_runs(spark, tmp_path):
+    """Lines that compaction settles are not counted again, and no line is lost, whichever batches hold it."""
+    store = L.LineRuns(spark, 3, str(tmp_path / "runs"), fanout=2)
+    for k, batch in enumerate([["a", "a"], ["a", "b"], ["a", "b", "c"], ["a"], ["a", "c", "b"], ["c", "d"], ["d"]]):
+        store.add(spark.createDataFrame([(x,) for x in batch], "text string"))
+        if k == 4:
+            assert len(store.settled) == 3 and sum(store._read(store.levels[0]).toPandas().n) == 2  # a is settled, b and c count
+    frequent = L._halves(L._digests([b"a", b"b", b"c"])).tolist()
+    assert sorted([r.h1, r.h2] for r in store.frequent().distinct().collect()) == sorted(frequent)
+
+
+def test_more_batches_than_fanout(spark):
+    texts = [f"often\n{'rare' if i % 9 == 0 else i}\nx{i % 5}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    want = {i: w for i, w in enumerate(brute(texts, 10))}
+    for n_batches, fanout in ((1, 4), (7, 2), (12, 3)):
+        got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in L.drop_common_lines(docs, 10, n_batches, fanout=fanout).collect()}
+        assert got == want
+
+
+def test_rows_count_as_documents(spark):
+    rows = [(1, "twice\na")] * 5 + [(None, "twice\nb")] * 5 + [(2, "nine")] * 9
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, dk int, th int, dropped_lines int")
+    for limit in (10**6, 0):
+        got = Counter((r.doc_id, r.text, r.n_dropped, r.dk) for r in L.drop_common_lines(docs, 10, broadcast_lines=limit).collect())
+        assert got == {(1, "a", 1, 1): 5, (None, "b", 1, 1): 5, (2, "nine", 0, 1): 9}
+
+
 def test_odd_rows(odd, nothing):
     for limit in (10**6, 0):
         got = L.drop_common_lines(odd, 3, broadcast_lines=limit)
