@@ -89,6 +89,22 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Keys with more than one row in so many are hot; there are at most this many of them.
+HOT = 10_000
+
+
+def join_sums(rows: DataFrame, sums: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``sums``, which has one row for each key and in ``n`` the number of its rows.
+
+    Rows of hot keys meet their sums in a broadcast of at most HOT rows, where they lie; only the others are shuffled.
+    """
+    hot = F.col(n) * HOT > F.lit(total)
+    mark = free_name(rows, "hot_key")
+    marked = rows.join(F.broadcast(sums.filter(hot).select(*keys, F.lit(True).alias(mark))), keys, "left")
+    few = rows.join(F.broadcast(sums.filter(hot)), keys)
+    return few.unionByName(marked.filter(F.col(mark).isNull()).drop(mark).join(sums.filter(~hot), keys))
+
+
 def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 

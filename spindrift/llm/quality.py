@@ -127,7 +127,8 @@ def assess(docs: DataFrame, model: Evidence, host: Column, path: Column) -> Data
 
     ``host`` and ``path`` are columns over ``docs``; nulls are groups of their own.  Null and empty texts are judged by
     their shape like any other.  Sums over groups are aggregated before the shuffle; a host with a third of all rows
-    sends one partial sum from each task, and rows meet the sums without their texts.
+    sends one partial sum from each task, and rows meet the sums without their texts, those of hot paths in place.
+    An empty table gives an empty result; other columns are not used.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
@@ -141,7 +142,7 @@ def assess(docs: DataFrame, model: Evidence, host: Column, path: Column) -> Data
     k_host = _strength(hosts.select("n", "s", spread), mean)
     k_path = _strength(paths.select("n", "s", spread), mean)
     sums = paths.select("host", "path", F.col("n").alias("pn"), F.col("s").alias("ps")).join(hosts.select("host", F.col("n").alias("hn"), F.col("s").alias("hs")), "host")
-    joined = own.join(sums, ["host", "path"])
+    joined = c.join_sums(own, c.materialise(sums, "path-sums"), ["host", "path"], "pn", int(total.n or 0))
     host_share = (F.col("hs") - F.col("p") + k_host * mean) / (F.col("hn") - 1 + k_host)
     path_share = (F.col("ps") - F.col("p") + k_path * F.col("host_share")) / (F.col("pn") - 1 + k_path)
     out = joined.withColumn("host_share", host_share).withColumn("path_share", path_share)

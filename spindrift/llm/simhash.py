@@ -6,9 +6,12 @@ bits differ in at most one bit over some two of the three segments, so of one of
 decodes on that pair to just the other's codewords: every fingerprint *stores* its own index pair and *probes*
 those of its one-bit neighbours, an equi-join finds candidates, and the bit distance is verified.
 
-Buckets that store more than ``BUCKET`` fingerprints are joined another way, also exact: two fingerprints are
-within two bits if and only if some 64-bit word is within one bit of both, so their members meet at such
-midpoints, at most 65 of them at each.  No group is ever expanded into all pairs.
+Buckets that store more than ``BUCKET`` fingerprints get wider keys: of three segments that hold two errors one is
+free of errors, so the key is joined with each segment's own bits in turn and links meet where that segment is alike
+(24 + 21 bits, so that buckets stay small for a hundred billion fingerprints).  A bucket that is still too large is a
+dense cluster; its members meet at midpoints, also exact: two fingerprints are within two bits if and only if some
+64-bit word is within one bit of both, and each word has at most 65 such neighbours.  No group is ever expanded into
+all pairs.
 """
 
 from __future__ import annotations
@@ -112,11 +115,20 @@ def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row, _ = np.nonzero(new)
                 probes.append((row, tag << 24 | both[new]))
             rows = np.concatenate([np.tile(np.arange(len(fp)), 3), *(r for r, _ in probes)])
-            keys = np.concatenate([*stores, *(k for _, k in probes)]).astype(np.int32)
+            keys = np.concatenate([*stores, *(k for _, k in probes)])
             store = np.arange(len(rows)) < 3 * len(fp)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp.view(np.int64)[rows]), pa.array(store)], ["key", "fp", "store"])
 
 
+def _widened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each key joined with the number and the bits of each segment."""
+    for batch in batches:
+        key, own = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        for number, (shift, width) in enumerate(SEGMENTS):
+            bits = (own >> np.uint64(shift) & np.uint64((1 << width) - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((key << 24) | (number << 22) | bits), batch.column("fp"), batch.column("store")], ["key", "fp", "store"])
+
+
 def _midpoints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     flips = np.append(np.uint64(0), np.uint64(1) << np.arange(64, dtype=np.uint64))
     for whole in batches:
@@ -126,23 +138,32 @@ def _midpoints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(middle.view(np.int64)), pa.array(np.repeat(fp, 65).view(np.int64))], ["middle", "fp"])
 
 
-def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) with a > b: links whose connected components are those of all pairs of ``fps`` within two bits."""
-    keys = c.materialise(fps.select("fp").mapInArrow(_keys, "key int, fp long, store boolean"), "golay-keys")
+_KEYS = "key long, fp long, store boolean"
+
+
+def _met(keys: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """Links between stored and probing fingerprints of buckets that store at most ``bucket``; the rows of the others."""
     stores, probes = keys.filter("store").select("key", "fp"), keys.filter("not store").select("key", "fp")
-    hot = stores.groupBy("key").count().filter(F.col("count") > bucket).select("key")
-    small = stores.join(hot, "key", "left_anti")
+    large = stores.groupBy("key").count().filter(F.col("count") > bucket).select("key")
+    small = stores.join(large, "key", "left_anti")
     near = probes.withColumnRenamed("fp", "a").join(small.withColumnRenamed("fp", "b"), "key")
     near = near.filter((F.col("a") > F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
-    members = keys.join(hot, "key", "left_semi").select("fp").distinct()
-    met = members.mapInArrow(_midpoints, "middle long, fp long").groupBy("middle").agg(F.collect_list("fp").alias("fps"))
+    return near, keys.join(large, "key", "left_semi")
+
+
+def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b) with a > b: links whose connected components are those of all pairs of ``fps`` within two bits."""
+    near, rest = _met(c.materialise(fps.select("fp").mapInArrow(_keys, _KEYS), "golay-keys"), bucket)
+    wide = c.materialise(rest.select("key", "fp", "store").mapInArrow(_widened, _KEYS), "wide-keys")
+    wide_near, dense = _met(wide, bucket)
+    met = dense.select("fp").distinct().mapInArrow(_midpoints, "middle long, fp long").groupBy("middle").agg(F.collect_list("fp").alias("fps"))
     met = met.filter(F.size("fps") > 1).select(F.explode("fps").alias("a"), F.array_min("fps").alias("b")).filter("a > b")
-    return near.union(met).distinct()
+    return near.union(wide_near).union(met).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(hi, lo): every node that is not its component's smallest, with the smallest.  Alternates large-star and
-    small-star steps; each step moves every edge once and ends are cut to Parquet."""
+    small-star steps; each step moves every edge once and ends are cut to Parquet.  Hubs meet their edges in place."""
     edges = c.materialise(edges.select(F.col("a").alias("hi"), F.col("b").alias("lo")), "links")
     before = None
     while True:
@@ -151,8 +172,8 @@ def components(edges: DataFrame) -> DataFrame:
             return edges
         before = tuple(state)
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = c.join_sums(both, least, ["u"], "n", 2 * state[0]).filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         edges = c.materialise(small.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "links")
@@ -166,10 +187,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> D
     its component has no other.  Repeated rows give repeated results.  Other columns are not used.
     """
     own = c.materialise(fingerprints(docs, size, seed), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("root"))
+    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("root"), F.count("*").alias("n"))
     distinct = c.materialise(distinct, "distinct-fingerprints")
+    rows, n_distinct = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     label = components(links(distinct)).select(F.col("hi").alias("fp"), F.col("lo").alias("label"))
     labelled = distinct.join(label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = labelled.groupBy("label").agg(F.min("root").alias("component_id"))
-    classes = c.materialise(labelled.join(least, "label").select("fp", "component_id"), "classes")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    least = labelled.groupBy("label").agg(F.min("root").alias("component_id"), F.count("*").alias("members"))
+    classes = c.materialise(c.join_sums(labelled, least, ["label"], "members", n_distinct).select("fp", "component_id", "n"), "classes")
+    return c.join_sums(own, classes, ["fp"], "n", rows).select("doc_id", "fp", "component_id")

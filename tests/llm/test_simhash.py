@@ -71,7 +71,23 @@ def check(spark, fps, bucket):
 def test_links_equal_brute_force(spark):
     rng = random.Random(3)
     check(spark, near(rng, 120, 3), S.BUCKET)
-    check(spark, near(rng, 120, 3), 0)  # every bucket by midpoints
+    check(spark, near(rng, 120, 3), 0)  # every bucket by wider keys, then by midpoints
+
+
+def test_wide_keys_find_every_link(spark, monkeypatch):
+    """Buckets that are too large for the first keys alone: no member reaches the midpoints."""
+    rng = random.Random(9)
+    fps = near(rng, 150, 3)
+    meet, calls = S._met, []
+    monkeypatch.setattr(S, "_met", lambda keys, bucket: calls.append(1) or meet(keys, 0 if len(calls) % 2 else 10**6))
+    monkeypatch.setattr(S, "_midpoints", lambda batches: iter(()))
+    check(spark, fps, S.BUCKET)
+
+
+def test_hot_keys_meet_in_place(spark):
+    docs = [(i, "the very same text in many rows") for i in range(300)] + [(1000 + i, f"text number {i} {i * i} alone {i * 7}") for i in range(50)]
+    got = {r.doc_id: r.component_id for r in S.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert len(got) == 350 and {got[i] for i in range(300)} == {0}
 
 
 def test_one_large_cluster(spark):
