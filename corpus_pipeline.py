@@ -25,28 +25,39 @@ def _unpacked(packed: DataFrame, docs: DataFrame, changed: bool = False) -> Data
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language cannot be determined; ``lang`` stays as given."""
+    """Drops documents whose language cannot be determined, null and letterless texts among them; ``lang`` stays as
+    given.  If nothing could be learned, all go."""
     found = language_id.predict(_packed(docs), language_id.train(docs))
     return _unpacked(found.filter(F.col("lang_pred") != language_id.UNDETERMINED), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that ten rows hold go; the rows stay, null texts as null, and so does an empty table."""
     return _unpacked(line_dedup.drop_common_lines(_packed(docs), min_docs=10), docs, changed=True)
 
 
+#: Ids of documents that go are broadcast up to this many (some 16 MB); beyond, they are joined.
+BROADCAST_IDS = 500_000
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document whose id names its component.  Rows without an id keep their place; of rows that share an
-    id that stays, all stay."""
+    id that stays, all stay.  Empty texts are near copies of each other."""
     found = simhash.near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    found = common.materialise(found, "near-copies")
+    if found.count() <= BROADCAST_IDS:
+        found = F.broadcast(found)
     return docs.join(found, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of benchmark windows go, and what lies between them; the rows stay, null texts as null."""
     items = common.read_table(spark, sf_dir, "benchmark")
     return _unpacked(fm_index.find_contamination(_packed(docs), items, remove=True), docs, changed=True)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of digests for each row; null texts read as empty."""
     return queries.token_digests(docs)
 
 
