@@ -11,7 +11,13 @@ moves through the passes as one item.
   exactly the repeated windows.
 
 Each pass keeps one representative of equal items per task before the shuffle, so a string that a third of all
-documents share sends one row per task.  Hash keys of 128 bits stand for content.
+documents share sends one row per task.  A shorter string that many documents share in different surroundings is a
+*hot* anchor of as many contents.  Hot anchors are found on a sample of the documents and take their next digits before
+the shuffle: their runs are cut into thirds by core, and thirds of hot cores into single windows by content, so that
+only equal windows share a key.  The sample decides only where items go; the result does not depend on it.
+
+The order of strings within a digit is that of their 64-bit hashes, not of their bytes: equality is all that repeats
+need.  Two hashes of 64 bits stand for content; inside an anchor one of them decides.
 """
 
 from __future__ import annotations
@@ -26,6 +32,11 @@ from pyspark.sql import functions as F
 from . import common as c
 
 GRAM = 32
+#: One document in so many is sampled for hot anchors; a key is hot from so many contents in the sample on, and if it has
+#: more than one in HOT_SHARE of the contents of all keys that have several.
+SAMPLE, HOT_LEAST, HOT_SHARE = 32, 32, 20_000
+#: Bytes of items that one task of the radix passes holds at once; an item has some 45 and a text byte makes some 1.6.
+TASK_BYTES = 128 << 20
 _SLICE = 1 << 20
 _LOW = np.uint64(0xFFFFFF)
 _MULT = 0x9E3779B97F4A7C15
@@ -79,8 +90,9 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x if size == width else np.minimum(x[: len(x) - (width - size)], x[width - size :])
 
 
-def _runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int):
-    """Items of a buffer that holds documents at [starts, ends): anchor hash, content hash, first start, geometry."""
+def _runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int, hot: np.ndarray | None = None, parts: bool = False):
+    """Items of a buffer that holds documents at [starts, ends): anchor hash, content hash, first start, cores,
+    geometry; ``parts``: only keys and contents, of the items and of their thirds."""
     gram = min(GRAM, threshold)
     if len(data) < threshold:
         return None
@@ -99,6 +111,13 @@ def _runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int
     first = np.flatnonzero(new)
     last = np.append(first[1:], total) - 1
     lo, hi, mark = index[first], index[last], anchor[first]
+    key = grams[mark]
+    if parts:
+        third = tuple(_parts(hashes, lo, hi, mark, key, threshold))
+        both = [np.concatenate([x, y]) for x, y in zip((lo, hi, mark, key), third)]
+        return both[3].view(np.int64), _mix(hashes.of(both[0], both[1] + threshold) + (both[2] - both[0]).astype(np.uint64)).view(np.int64)
+    if hot is not None and len(hot):
+        lo, hi, mark, key = _spread(hashes, lo, hi, mark, key, threshold, hot)
     geo = ((mark - lo) << 12) | (hi - lo)
     full = _mix(hashes.of(lo, hi + threshold) + geo.astype(np.uint64))
     cores = np.zeros(len(lo), dtype=np.int64)
@@ -106,7 +125,59 @@ def _runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, threshold: int
         present = (mark - hi <= far) & (mark - lo >= near)
         p = mark[present]
         cores[present] |= (hashes.of(p - near, p - far + threshold) >> np.uint64(43)).astype(np.int64) << (21 * k)
-    return grams[mark].view(np.int64), full.view(np.int64), lo, cores, geo.astype(np.int32)
+    return key.view(np.int64), full.view(np.int64), lo, cores, geo.astype(np.int32)
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is in the ascending ``known``."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _parts(hashes: _Hashes, lo, hi, mark, key, threshold: int):
+    """Runs cut into thirds, each with the hash of its anchor, its place and its core as key."""
+    out = []
+    for k, (near, far) in enumerate(_thirds(threshold)):
+        present = (mark - hi <= far) & (mark - lo >= near)
+        p = mark[present]
+        core = hashes.of(p - near, p - far + threshold)
+        out.append((np.maximum(lo[present], p - far), np.minimum(hi[present], p - near), p, _mix(key[present] + core * np.uint64(2 * k + 1) + np.uint64(k + 1))))
+    return (np.concatenate(x) for x in zip(*out))
+
+
+def _spread(hashes: _Hashes, lo, hi, mark, key, threshold: int, hot: np.ndarray):
+    """Runs of hot anchors as thirds, thirds of hot cores as single windows."""
+    some = _among(key, hot)
+    if not some.any():
+        return lo, hi, mark, key
+    third = tuple(_parts(hashes, lo[some], hi[some], mark[some], key[some], threshold))
+    dense = _among(third[3], hot)
+    l, h, p, t = (x[dense] for x in third)
+    n = h - l + 1
+    start = np.arange(int(n.sum())) + np.repeat(l - (np.cumsum(n) - n), n)
+    window = (start, start, np.repeat(p, n), _mix(hashes.of(start, start + threshold) + np.repeat(t, n)))
+    return (np.concatenate([x[~some], y[~dense], z]) for x, y, z in zip((lo, hi, mark, key), third, window))
+
+
+def _sampled_keys(threshold: int):
+    """Keys of anchors and of thirds of a sample's runs, with the content under each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in c.chunks(batches, "text", 8 << 20):
+            for data, starts, ends, _, _ in _slices(batch, threshold):
+                if (x := _runs(data, starts, ends, threshold, parts=True)) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(y) for y in x], ["key", "full"])
+
+    return run
+
+
+def hot_keys(sample: DataFrame, threshold: int) -> np.ndarray:
+    """Keys with many contents in ``sample``, ascending: at least HOT_LEAST and more than one in HOT_SHARE of all, so
+    at most HOT_SHARE keys."""
+    keys = sample.mapInArrow(_sampled_keys(threshold), "key long, full long").groupBy("key", "full").agg(F.lit(1).alias("one"))
+    sizes = c.materialise(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "key-sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    found = sizes.filter(F.col("n") >= max(HOT_LEAST, total / HOT_SHARE)).select("key").toArrow().column("key").to_numpy()
+    return np.sort(found.view(np.uint64))
 
 
 def _thirds(threshold: int) -> list[tuple[int, int]]:
@@ -156,13 +227,13 @@ def _order_and_firsts(digits: list[np.ndarray], dk: np.ndarray, pos: np.ndarray)
     return order, new, later
 
 
-def _first_pass(threshold: int):
+def _first_pass(threshold: int, hot: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         for batch in c.chunks(batches, "text", 8 << 20):
             dks, ths = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("dk", "th"))
             for data, starts, ends, rows, offs in _slices(batch, threshold):
-                if (x := _runs(data, starts, ends, threshold)) is not None:
+                if (x := _runs(data, starts, ends, threshold, hot)) is not None:
                     anchor, full, lo, cores, geo = x
                     doc = np.searchsorted(starts, lo, "right") - 1
                     place = (ths[rows[doc]] << 32) | (lo - starts[doc] + offs[doc])
@@ -309,6 +380,13 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "kept", "span_start", "span_end"])
 
 
+def _partitions(sample: DataFrame) -> list[int]:
+    """How many tasks a radix pass needs, where that is more than the session's number of shuffle partitions."""
+    size = (sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * SAMPLE
+    tasks = -(-8 * size // (5 * TASK_BYTES))
+    return [tasks] if tasks > int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def remove_repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
     """Remove every byte covered by a ``threshold``-byte string that also starts earlier in the corpus.
 
@@ -324,15 +402,17 @@ def remove_repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
     tie = F.pmod(F.xxhash64("text"), F.lit(2**31 - 1)).cast("long") if repeated else F.lit(0).cast("long")
     base = docs.select(c.doc_key().alias("dk"), tie.alias("th"), "text")
     item = "anchor long, full long, dk long, pos long, cores long, geo int, kind byte"
-    first = base.mapInArrow(_first_pass(threshold), item)
-    judged = c.materialise(first.repartition("anchor").mapInArrow(_second_digit(threshold), item), "repeats")
+    sample = c.materialise(docs.select("text").filter(F.pmod(F.xxhash64("doc_id", F.lit("suffix sample")), F.lit(SAMPLE)) == 0), "sampled-texts")
+    dealt = _partitions(sample)
+    first = base.mapInArrow(_first_pass(threshold, hot_keys(sample, threshold)), item)
+    judged = c.materialise(first.repartition(*dealt, "anchor").mapInArrow(_second_digit(threshold), item), "repeats")
     del first
     c.free_shuffles(docs.sparkSession)
     place = [F.col("dk"), F.shiftright("pos", 32).alias("th"), F.col("pos").bitwiseAND(F.lit(2**32 - 1)).alias("lo")]
     opens = judged.filter(F.col("kind") == OPEN).select(*place, "geo", "anchor").groupBy("dk", "th").agg(F.collect_list(F.struct("lo", "geo", "anchor")).alias("opens"))
     # both joins ask for the same exchange of the texts, which is made once
     windows = base.join(opens, ["dk", "th"], "left").select("dk", "th", "text", "opens").mapInArrow(_windows(threshold), item)
-    edges = windows.repartition("anchor").mapInArrow(_last_digit(threshold), item)
+    edges = windows.repartition(*dealt, "anchor").mapInArrow(_last_digit(threshold), item)
     spans = judged.filter(F.col("kind") == SETTLED).unionByName(edges).select(*place, "geo").groupBy("dk", "th").agg(F.collect_list(F.struct("lo", "geo")).alias("spans"))
     cut = base.join(spans, ["dk", "th"], "left").select(c.original_id().alias("doc_id"), "text", "spans")
     return cut.mapInArrow(_cut, "doc_id long, text string, kept binary, span_start array<long>, span_end array<long>")

@@ -61,6 +61,29 @@ def test_odd_rows(spark, odd, nothing):
         S.remove_repeats(odd, 1)
 
 
+def test_hot_anchors_are_spread(spark, monkeypatch):
+    """A phrase below the threshold in a third of all documents, each time in other surroundings, and one just below it:
+    no key is left with many contents, and the result is that of brute force."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase, longer, copied = word(60), word(95), word(150)
+    docs = [(i, word(80) + (phrase if i % 3 == 0 else longer if i % 3 == 1 else copied if i % 9 == 2 else "") + word(80)) for i in range(900)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(S, "SAMPLE", 2)
+    hot = S.hot_keys(table, 100)
+    assert 0 < len(hot) < 50
+    batch = pa.RecordBatch.from_pydict({"dk": [i for i, _ in docs], "th": [0] * len(docs), "text": [t for _, t in docs]})
+    most = []
+    for known in (hot[:0], hot):
+        items = pa.Table.from_batches(list(S._first_pass(100, known)([batch]))).to_pandas()
+        most.append(items[items.kind == S.ITEM].groupby("anchor").full.nunique().max())
+    assert most[0] > 250 and most[1] < 30
+    assert found(S.remove_repeats(table, 100)) == brute([(i, t.encode()) for i, t in docs], 100)
+
+
 def test_partitioning_does_not_matter(spark, odd):
     key = lambda df: sorted((str(r.doc_id), bytes(r.kept)) for r in df.collect())
     assert key(S.remove_repeats(odd.repartition(7), 20)) == key(S.remove_repeats(odd.repartition(1), 20))
