@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ UNIT = 576
 WIDTH = 24
 #: A frame's height has 16 bits: at most 8191 rows of blocks, rounded down to whole units.
 FRAME = 8184 * WIDTH
+#: Bytes that are coded or decoded at once; either takes some hundred times as much memory.
+GROUP = 1 << 20
 
 #: The standard's luminance DC code lengths; the AC table holds only end-of-block, one bit.
 DC_BITS = bytes([0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0])
@@ -129,14 +131,29 @@ def _frame(intervals: list[bytes]) -> bytes:
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a positive multiple of UNIT bytes) as one JPEG, or as several in a row beyond FRAME bytes."""
-    scans = _scans(np.frombuffer(b"".join(payloads), dtype=np.uint8))
-    out, at = [], 0
-    for payload in payloads:
-        rows = len(payload) // WIDTH
-        own = scans[at : at + rows]
-        at += rows
-        out.append(b"".join(_frame(own[k : k + FRAME // WIDTH]) for k in range(0, rows, FRAME // WIDTH)))
-    return out
+    parts = [(k, payload[at : at + FRAME]) for k, payload in enumerate(payloads) for at in range(0, len(payload), FRAME)]
+    out: list[list[bytes]] = [[] for _ in payloads]
+    for group in _groups(parts, lambda part: len(part[1])):
+        scans = _scans(np.frombuffer(b"".join(part for _, part in group), dtype=np.uint8))
+        at = 0
+        for k, part in group:
+            rows = len(part) // WIDTH
+            out[k].append(_frame(scans[at : at + rows]))
+            at += rows
+    return [b"".join(frames) for frames in out]
+
+
+def _groups(items: list, size: Callable[[object], int]) -> Iterator[list]:
+    """Neighbouring items, so many that they take about GROUP bytes; one at least."""
+    group, held = [], 0
+    for item in items:
+        if group and held + size(item) > GROUP:
+            yield group
+            group, held = [], 0
+        group.append(item)
+        held += size(item)
+    if group:
+        yield group
 
 
 def padded(text: bytes) -> bytes:
@@ -205,7 +222,8 @@ def _parse(data: bytes, at: int = 0) -> tuple[_Image, int]:
 
 
 def _intervals(data: bytes, at: int) -> tuple[list[bytes], int]:
-    raw = np.frombuffer(data, dtype=np.uint8, offset=at)
+    close = data.find(b"\xff\xd9", at)  # the end of the image, if nothing else ends the scan before
+    raw = np.frombuffer(data[at : close + 2] if close >= 0 else data[at:], dtype=np.uint8)
     mark = np.flatnonzero(raw[:-1] == 0xFF)
     kind = raw[mark + 1]
     stop = np.flatnonzero((kind != 0) & ((kind < 0xD0) | (kind > 0xD7)) & (kind != 0xFF))
@@ -309,7 +327,10 @@ def thumbnails(blobs: list[bytes]) -> list[list[tuple[int, int, np.ndarray]]]:
     for own in frames:
         for image in own:
             groups.setdefault(image.key, []).append(image)
-    done = {id(i): v for images in groups.values() for i, v in zip(images, _decode_group(images))}
+    done = {}
+    for images in groups.values():
+        for some in _groups(images, lambda image: sum(map(len, image.intervals))):
+            done |= {id(i): v for i, v in zip(some, _decode_group(some))}
     return [[(i.width, i.height, _grey(i, done[id(i)])) for i in own] for own in frames]
 
 
@@ -342,9 +363,10 @@ def _store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_text(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text as lossless grey JPEG.  Null and empty texts are one unit of 255s.
+    """(doc_id, n_bytes, media): each whole text as lossless grey JPEG.  Null and empty texts are one unit of 255s; an
+    empty table gives an empty result.
 
-    Texts beyond FRAME bytes become several frames in a row.  Repeated rows and null ids are kept as they are; other
+    Texts beyond FRAME bytes become several frames in a row, which are coded and decoded a bounded number at a time.  Repeated rows and null ids are kept as they are; other
     columns are not used.
     """
     return docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")

@@ -133,6 +133,40 @@ def test_posteriors_equal_plain_sums(spark):
     assert abs(shrunk[0]) <= abs(shrunk[1]) and shrunk[0] * shrunk[1] >= 0
 
 
+def test_posteriors_equal_brute_force(spark):
+    """All columns of every row against plain loops, with a third of the rows on one path."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "good plain words here " * int(rng.integers(0, 9)) + "!!! $$$ " * int(rng.integers(0, 4)), "big" if i % 3 == 0 else f"h{i % 7}", "p" if i % 3 == 0 else f"p{i % 4}") for i in range(210)]
+    model = Q.fit([b"good plain words here and there"] * 20 + [b"!!! $$$"] * 10, [1] * 20 + [0] * 10, 0.6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, path string")
+    got = {r.doc_id: r for r in Q.assess(docs, model, F.col("source"), F.concat_ws("/", "source", "path")).collect()}
+    p = {i: 1 / (1 + np.exp(-model.logits([t.encode()])[0])) for i, t, _, _ in rows}
+    mean = sum(p.values()) / len(p)
+
+    def groups(key):
+        out = {}
+        for r in rows:
+            out.setdefault(key(r), []).append(p[r[0]])
+        return out
+
+    def strength(found):
+        some = [x for x in found if len(x) > 1]
+        n = sum(map(len, some))
+        within = max(sum(sum(v * v for v in x) - sum(x) ** 2 / len(x) for x in some) / n, 1e-9)
+        between = max(sum(len(x) * (sum(x) / len(x) - mean) ** 2 for x in some) / n - within * len(some) / n, 1e-9)
+        return min(500.0, max(2.0, within / between))
+
+    hosts, paths = groups(lambda r: r[2]), groups(lambda r: (r[2], r[3]))
+    k_host, k_path = strength(hosts.values()), strength(paths.values())
+    logit = lambda x: np.log(min(1 - 1e-4, max(1e-4, x)) / (1 - min(1 - 1e-4, max(1e-4, x))))
+    for i, _, host, path in rows:
+        own, h, f = p[i], hosts[host], paths[host, path]
+        host_share = (sum(h) - own + k_host * mean) / (len(h) - 1 + k_host)
+        path_share = (sum(f) - own + k_path * host_share) / (len(f) - 1 + k_path)
+        score = 1 / (1 + np.exp(-(np.log(own / (1 - own)) + 0.5 * (logit(path_share) - logit(mean)))))
+        assert (got[i].host_share, got[i].path_share, got[i].score) == pytest.approx((host_share, path_share, score)) and got[i].keep == (score >= Q.KEEP)
+
+
 def test_quality_odd_rows(odd, nothing, spark):
     model = Q.fit([b"plain words in a row"] * 5 + [b"!!!"] * 5, [1] * 5 + [0] * 5, 0.5)
     got = Q.assess(odd, model, F.col("source"), F.col("lang"))

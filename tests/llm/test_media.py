@@ -69,6 +69,92 @@ def test_general_baseline(restart):
     assert grey.ravel().tolist() == [min(255, max(0, (d * 16 + 4) // 8 + 128)) for d in dc]
 
 
+def plain_decode(blob):
+    """A second decoder, bit by bit, of grey images of flat blocks: the bytes of all frames."""
+    out, at = bytearray(), 0
+    while at < len(blob):
+        assert blob[at : at + 2] == b"\xff\xd8"
+        at += 2
+        codes = {}
+        while True:
+            marker, length = blob[at + 1], int.from_bytes(blob[at + 2 : at + 4], "big")
+            body, at = blob[at + 4 : at + 2 + length], at + 2 + length
+            if marker == 0xDB:
+                step = body[1]
+            elif marker == 0xC0:
+                blocks = int.from_bytes(body[1:3], "big") // 8 * (int.from_bytes(body[3:5], "big") // 8)
+            elif marker == 0xDD:
+                restart = int.from_bytes(body, "big")
+            elif marker == 0xC4:
+                code, place, known = 0, 17, {}
+                for size in range(1, 17):
+                    for _ in range(body[size]):
+                        known[f"{code:0{size}b}"] = body[place]
+                        place, code = place + 1, code + 1
+                    code *= 2
+                codes[body[0] >> 4] = known
+            elif marker == 0xDA:
+                break
+        end = at
+        while not (blob[end] == 0xFF and blob[end + 1] == 0xD9):
+            end += 1
+        bits, k, done, last = "", at, 0, 0
+
+        def symbol(kind):
+            nonlocal bits, k
+            word = ""
+            while word not in codes[kind]:
+                word += take(1)
+            return codes[kind][word]
+
+        def take(n):
+            nonlocal bits, k
+            while len(bits) < n:
+                bits += f"{blob[k]:08b}"
+                k += 2 if blob[k] == 0xFF else 1  # a stuffed zero follows
+            head, bits = bits[:n], bits[n:]
+            return head
+
+        while done < blocks:
+            if done and done % restart == 0:
+                assert set(bits) <= {"1"} and blob[k] == 0xFF and blob[k + 1] == 0xD0 + (done // restart - 1) % 8
+                bits, k, last = "", k + 2, 0
+            size = symbol(0)
+            value = int(take(size), 2) if size else 0
+            last += value if not size or value >> (size - 1) else value - (1 << size) + 1
+            assert symbol(1) == 0  # the end of the block
+            out.append(last * step // 8 + 128)
+            done += 1
+        at = end + 2
+    return bytes(out)
+
+
+def test_columns_equal_a_second_decoder(spark):
+    import hashlib
+    import zlib
+
+    rng = np.random.default_rng(2)
+    texts = ["", None, "é漢😀" * 50, "plain words " * 400, "\x7f\x00" * 300, "".join(map(chr, rng.integers(1, 0xD000, 2000))), "x" * 576]
+    docs = spark.createDataFrame([(k, t, "clash", 1) for k, t in enumerate(texts)], "doc_id long, text string, media string, n_bytes int")
+    stored = {r.doc_id: bytes(r.media) for r in M.store_text(docs).collect()}
+    for r in M.media_features(M.store_text(docs)).collect():
+        data = (texts[r.doc_id] or "").encode()
+        payload = data + b"\xff" * (max(576, -(-len(data) // 576) * 576) - len(data))
+        assert plain_decode(stored[r.doc_id]) == payload
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
+
+
+def test_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    own = M.padded(b"Some words of a very long text. " * 300_000)
+    tracemalloc.start()
+    (frames,) = M.thumbnails(M.encode([own]))
+    assert b"".join(g.tobytes() for _, _, g in frames) == own and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
 def test_bad_images():
     good = M.encode(payloads([b"hello"]))[0]
     for bad in (b"x", good[:40], good.replace(b"\xff\xc0", b"\xff\xc2"), good[:-30]):
