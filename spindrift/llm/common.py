@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import hashlib
 import re
@@ -40,12 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
         return _own_dir
 
 
-def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Rows of a file of narrow rows; fewer files than FEW are not asked for, so that tasks stay several.
+FILE_ROWS, FEW = 1 << 20, 4
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
+    ``rows``: about how many there are, where that is known; then as few files as that takes are written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    (df if rows is None else df.coalesce(max(FEW, -(-rows // FILE_ROWS)))).write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -126,6 +131,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def trim() -> None:
+    """Gives memory that is free inside this worker back to the system, so that the next stage's workers find it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: What a worker keeps between tasks, by operator, and how to let go of it.
 resident: dict[str, Callable[[], None]] = {}
 

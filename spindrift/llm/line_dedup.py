@@ -10,8 +10,8 @@ the last batch one merge of all levels settles the rest, and every text loses it
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,44 +63,34 @@ def _counted(with_batch: bool, n_batches: int) -> Callable[[Iterable[pa.RecordBa
 
 
 class LineRuns:
-    """The levelled store.  ``folder`` lies in the shared folder; runs are Parquet and are never changed in place."""
+    """The levelled store.  Runs lie as Parquet in the shared folder and are never changed in place: each is a frame
+    over its file.  A compacted file holds the lines that it settles beside those of its run."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, folder: str | None = None, fanout: int = 4):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 4):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.folder = folder or f"{c.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
-        self.levels: list[list[str]] = [[]]
-        self.settled: list[str] = []
-        c._written.append((spark, self.folder))
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(_RUN).parquet(*paths) if paths else self.spark.createDataFrame([], _RUN)
-
-    def _write(self, counts: DataFrame, kind: str) -> str:
-        path = f"{self.folder}/{kind}/run={uuid.uuid4().hex}"
-        counts.sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
+        self.levels: list[list[DataFrame]] = [[]]
+        self.settled: list[DataFrame] = []
 
     def add(self, docs: DataFrame) -> None:
         """Add one batch's lines as a run of level 0, then compact."""
         counts = docs.select("text").mapInArrow(_counted(False, 1), _RUN).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        self._add_counts(counts)
+        self._add_counts(c.materialise(counts.sortWithinPartitions("h1", "h2"), "line-batch"))
 
     def add_batches(self, docs: DataFrame, n_batches: int) -> None:
         """Add a table as ``n_batches`` batches.  One pass over the texts counts the lines of all; the batches then
         join the store one after another."""
         read = docs.select("text", F.spark_partition_id().alias("batch"))
         counts = read.mapInArrow(_counted(True, n_batches), f"{_RUN}, batch int").groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"))
-        path = f"{self.folder}/batches={uuid.uuid4().hex}"
-        counts.sortWithinPartitions("batch", "h1", "h2").write.partitionBy("batch").parquet(path)
-        present = self.spark.read.schema(f"{_RUN}, batch int").parquet(path).select("batch").distinct().collect()
-        for batch in sorted(r.batch for r in present):
-            self._add_counts(self._read([f"{path}/batch={batch}"]), f"{path}/batch={batch}")
-
-    def _add_counts(self, counts: DataFrame, written: str | None = None) -> None:
-        """``written``: where the counts are a sorted run already, which is taken as it is while nothing is settled."""
+        counts = c.materialise(counts.sortWithinPartitions("batch", "h1", "h2"), "line-batches")
+        for r in counts.groupBy("batch").count().orderBy("batch").collect():  # at most n_batches
+            self._add_counts(counts.filter(F.col("batch") == r.batch).select("h1", "h2", "n"), r["count"])
+
+    def _add_counts(self, counts: DataFrame, rows: int | None = None) -> None:
+        """``counts`` is a sorted run as it is while nothing is settled."""
         if self.settled:
-            counts, written = counts.join(self._read(self.settled).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"), None
-        self.levels[0].append(written or self._write(counts, "level=0"))
+            fresh = counts.join(_all(self.settled).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+            counts = c.materialise(fresh.sortWithinPartitions("h1", "h2"), "line-run", counts.count() if rows is None else rows)
+        self.levels[0].append(counts)
         self._compact()
 
     def _compact(self) -> None:
@@ -110,24 +100,24 @@ class LineRuns:
                 merged, self.levels[level] = self.levels[level][: self.fanout], self.levels[level][self.fanout :]
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                counts = c.materialise(self._sums(merged), "merged-runs")
-                self.levels[level + 1].append(self._write(counts.filter(F.col("n") < self.min_docs), f"level={level + 1}"))
-                self._settle(counts)
+                self.levels[level + 1].append(self._merged(merged).filter(F.col("n") < self.min_docs))
             level += 1
 
-    def _settle(self, counts: DataFrame) -> None:
-        self.settled.append(self._write(counts.filter(F.col("n") >= self.min_docs), "settled"))
-
-    def _sums(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """One sorted file of the runs' sums, whose lines that reach ``min_docs`` are settled from now on."""
+        rows = _all(runs)
+        sums = c.materialise(_sums(rows).sortWithinPartitions("h1", "h2"), "line-runs", rows.count())
+        self.settled.append(sums.filter(F.col("n") >= self.min_docs))
+        return sums
 
     def frequent(self) -> DataFrame:
         """(h1, h2) of the lines that ``min_docs`` documents hold: merges all levels and settles what is left there."""
-        rest = [p for level in self.levels for p in level]
+        rest = [run for level in self.levels for run in level]
         if rest:
-            self._settle(self._sums(rest))
+            self._merged(rest)
             self.levels = [[]]
-        return self._read(self.settled).select("h1", "h2")
+        found = _all(self.settled) if self.settled else self.spark.createDataFrame([], _RUN)
+        return found.select("h1", "h2").distinct()
 
     def strip(self, docs: DataFrame, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
         """``docs`` without the lines that at least ``min_docs`` documents of the store hold.
@@ -136,7 +126,7 @@ class LineRuns:
         those names).  Null text stays null and counts as one empty line.  Small sets of frequent lines are
         broadcast after a count; larger ones meet the lines in a shuffled join.
         """
-        frequent = self.frequent()
+        frequent = c.materialise(self.frequent(), "frequent-lines", 0)
         docs = docs.drop("n_lines", "n_dropped")
         out = f"{_ddl(docs)}, n_lines long, n_dropped long"
         if frequent.count() <= broadcast_lines:
@@ -151,6 +141,14 @@ class LineRuns:
         return keyed.join(gone, [dk, th], "left").drop(dk, th).mapInArrow(_strip_listed(dropped), out)
 
 
+def _all(runs: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, runs)
+
+
+def _sums(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 

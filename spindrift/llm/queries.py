@@ -38,8 +38,7 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.remove_repeats(c.read_table(spark, sf_dir, "documents"), 100)
-    return found.drop("text").mapInArrow(_digest_repeats, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return suffix_dedup.remove_repeats(c.read_table(spark, sf_dir, "documents"), 100, _digest_repeats, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,7 +176,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = c.join_sums(both, least, ["u"], "n", 2 * state[0]).filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges = c.materialise(small.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+        edges = c.materialise(small.union(least.select("hi", F.col("m").alias("lo"))).distinct(), "links", state[0])
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> DataFrame:

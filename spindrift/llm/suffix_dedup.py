@@ -22,7 +22,7 @@ need.  Two hashes of 64 bits stand for content; inside an anchor one of them dec
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from . import common as c
 
 GRAM = 32
-#: One document in so many is sampled for hot anchors; a key is hot from so many contents in the sample on, and if it has
-#: more than one in HOT_SHARE of the contents of all keys that have several.
-SAMPLE, HOT_LEAST, HOT_SHARE = 32, 32, 20_000
+#: One document in so many is sampled for hot anchors; a key is hot from so many contents in the sample on, at most so
+#: many keys are.
+SAMPLE, HOT_LEAST, HOT_KEYS = 32, 32, 20_000
 #: Bytes of items that one task of the radix passes holds at once; an item has some 45 and a text byte makes some 1.6.
 TASK_BYTES = 128 << 20
 _SLICE = 1 << 20
@@ -171,12 +171,10 @@ def _sampled_keys(threshold: int):
 
 
 def hot_keys(sample: DataFrame, threshold: int) -> np.ndarray:
-    """Keys with many contents in ``sample``, ascending: at least HOT_LEAST and more than one in HOT_SHARE of all, so
-    at most HOT_SHARE keys."""
+    """The keys with most contents in ``sample``, ascending: HOT_LEAST each, HOT_KEYS in all."""
     keys = sample.mapInArrow(_sampled_keys(threshold), "key long, full long").groupBy("key", "full").agg(F.lit(1).alias("one"))
-    sizes = c.materialise(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "key-sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    found = sizes.filter(F.col("n") >= max(HOT_LEAST, total / HOT_SHARE)).select("key").toArrow().column("key").to_numpy()
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_LEAST)
+    found = sizes.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key").toArrow().column("key").to_numpy()
     return np.sort(found.view(np.uint64))
 
 
@@ -246,6 +244,8 @@ def _first_pass(threshold: int, hot: np.ndarray):
         keep, gone = order[~later], order[later]
         yield from _emit(anchor[keep], full[keep], dk[keep], pos[keep], cores[keep], geo[keep], ITEM)
         yield from _emit_settled(dk[gone], pos[gone], (geo[gone] & 0xFFF) + threshold)
+        del anchor, full, dk, pos, cores, geo, order, later, keep, gone
+        c.trim()
 
     return run
 
@@ -304,6 +304,8 @@ def _second_digit(threshold: int):
             least = np.maximum(most - (geo[still] & 0xFFF), near)
             first = np.minimum(most, far)
             yield from _emit(anchor[still], full[still], dk[still], pos[still] + most - first, cores[still], (first - least).astype(np.int32), OPEN)
+        del anchor, full, dk, pos, cores, geo, order, new, later, gone, heads
+        c.trim()
 
     return run
 
@@ -342,6 +344,8 @@ def _windows(threshold: int):
         keep, gone = order[~later], order[later]
         yield from _emit(key[keep], mark[keep], dk[keep], pos[keep], np.zeros_like(pos[keep]), np.zeros(len(keep), dtype=np.int32), ITEM)
         yield from _emit_settled(dk[gone], pos[gone], np.full(len(gone), threshold))
+        del key, mark, dk, pos, order, later, keep, gone
+        c.trim()
 
     return run
 
@@ -387,14 +391,18 @@ def _partitions(sample: DataFrame) -> list[int]:
     return [tasks] if tasks > int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
+RESULT = "doc_id long, text string, kept binary, span_start array<long>, span_end array<long>"
+
+
+def remove_repeats(docs: DataFrame, threshold: int = 100, finish: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = RESULT) -> DataFrame:
     """Remove every byte covered by a ``threshold``-byte string that also starts earlier in the corpus.
 
     Earlier: a smaller doc_id, or the same document at an earlier start.  A null doc_id orders first; rows that
     share a doc_id order by a hash of their text, and rows equal in both are one document.  A null text reads as
     empty.  Other columns of ``docs`` are not used.  Strings are judged on the input.
 
-    Returns doc_id, text, kept (binary), span_start and span_end (maximal removed byte runs).
+    Returns doc_id, text, kept (binary), span_start and span_end (maximal removed byte runs); ``finish`` takes batches
+    of these to batches of ``schema`` in the same pass.  An empty table gives an empty result.
     """
     if threshold > 2000 or threshold < 2:
         raise ValueError("threshold must be between 2 and 2000 bytes")
@@ -402,7 +410,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
     tie = F.pmod(F.xxhash64("text"), F.lit(2**31 - 1)).cast("long") if repeated else F.lit(0).cast("long")
     base = docs.select(c.doc_key().alias("dk"), tie.alias("th"), "text")
     item = "anchor long, full long, dk long, pos long, cores long, geo int, kind byte"
-    sample = c.materialise(docs.select("text").filter(F.pmod(F.xxhash64("doc_id", F.lit("suffix sample")), F.lit(SAMPLE)) == 0), "sampled-texts")
+    sample = docs.select("text").filter(F.pmod(F.xxhash64("doc_id", F.lit("suffix sample")), F.lit(SAMPLE)) == 0)
     dealt = _partitions(sample)
     first = base.mapInArrow(_first_pass(threshold, hot_keys(sample, threshold)), item)
     judged = c.materialise(first.repartition(*dealt, "anchor").mapInArrow(_second_digit(threshold), item), "repeats")
@@ -415,4 +423,4 @@ def remove_repeats(docs: DataFrame, threshold: int = 100) -> DataFrame:
     edges = windows.repartition(*dealt, "anchor").mapInArrow(_last_digit(threshold), item)
     spans = judged.filter(F.col("kind") == SETTLED).unionByName(edges).select(*place, "geo").groupBy("dk", "th").agg(F.collect_list(F.struct("lo", "geo")).alias("spans"))
     cut = base.join(spans, ["dk", "th"], "left").select(c.original_id().alias("doc_id"), "text", "spans")
-    return cut.mapInArrow(_cut, "doc_id long, text string, kept binary, span_start array<long>, span_end array<long>")
+    return cut.mapInArrow((lambda batches: finish(_cut(batches))) if finish else _cut, schema)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -107,3 +109,75 @@ def test_copied_article_stays_on_distinct_pages(spark):
     article = " ".join(f"w{k}" for k in range(40))
     pages = spark.createDataFrame([(i, f"http://h.example/{i}", f"<article>{article} last{i}</article>") for i in range(2)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in H.extract_main_text(pages).collect()} == {i: f"{article} last{i}" for i in range(2)}
+
+
+def brute(pages):
+    """The whole operator by plain loops over one list of (page_id, host, html)."""
+    parsed = [(i, host, [(text.split(), zone) for text, zone in H.blocks(html)]) for i, host, html in pages]
+    streams = [tuple(w for words, _ in own for w in words) for _, _, own in parsed]
+    seen = {}
+    for (_, host, _), s in zip(parsed, streams):
+        for k in range(len(s) - 7):
+            seen.setdefault((host, s[k : k + 8]), set()).add(s)
+    out = {}
+    for (i, host, own), s in zip(parsed, streams):
+        covered = [False] * len(s)
+        for k in range(len(s) - 7):
+            if len(seen[host, s[k : k + 8]]) > 1:
+                covered[k : k + 8] = [True] * 8
+        zone = [z for words, z in own for _ in words]
+        block = [b for b, (words, _) in enumerate(own) for _ in words]
+
+        def run(k, *keys):
+            lo = hi = k
+            while lo and all(x[lo - 1] == x[k] for x in keys):
+                lo -= 1
+            while hi + 1 < len(s) and all(x[hi + 1] == x[k] for x in keys):
+                hi += 1
+            return hi - lo + 1
+
+        cut = [covered[k] and (run(k, covered, block) >= 8 or run(k, covered, block) == block.count(block[k])) for k in range(len(s))]
+        top = max(zone, default=0)
+        marked = [z == top for z in zone]
+        if top > H.OTHER and 2 * sum(x and y for x, y in zip(cut, marked)) >= sum(marked):
+            cut = [x and not y for x, y in zip(cut, marked)]
+        keep = [zone[k] > H.CHROME and not cut[k] and (marked[k] or (not covered[k] and run(k, covered, zone) >= 8)) for k in range(len(s))]
+        texts = [" ".join(w for w, b, y in zip(s, block, keep) if b == n and y) for n in range(len(own))]
+        out[i] = ("\n".join(t for t in texts if t), sum(x and not y for x, y in zip(covered, keep)))
+    return out
+
+
+def test_operator_equals_brute_force(spark):
+    """Hosts of unlike size, notices of many lengths inside and outside marked zones, at three sizes of shards."""
+    rng = np.random.default_rng(6)
+    words = lambda n, top=400: " ".join(f"w{k}" for k in rng.integers(0, top, n))
+    shared = [words(int(n)) for n in rng.integers(3, 30, 12)]
+    tags = ["<p>{}</p>", "<div>{}</div>", "<nav>{}</nav>", "<article>{}</article>", "<div class=content><p>{}</p></div>", "<footer>{}</footer>", "{}"]
+    pages = []
+    for i in range(90):
+        parts = [tags[rng.integers(len(tags))].format(shared[rng.integers(len(shared))] if rng.random() < 0.4 else words(int(rng.integers(1, 40)))) for _ in range(int(rng.integers(0, 9)))]
+        pages.append((i, "big" if i % 3 else f"h{i % 4}", "<body>" + " ".join(parts) + "</body>"))
+    pages += [(100 + k, "big", pages[1][2]) for k in range(3)]
+    df = spark.createDataFrame([(i, f"https://{host}/{i}", html) for i, host, html in pages], "page_id long, url string, html string").repartition(4)
+    want = brute(pages)
+    for size in (H.SHARD_BYTES, 2000, 50):
+        assert {r.page_id: (r.text, r.n_boilerplate) for r in H.extract_main_text(df, shard_bytes=size).collect()} == want
+
+
+def test_array_alone_finds_the_text(spark):
+    """Without the marks of articles and content boxes: the suffix array still leaves the text and drops the rest."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect()
+    unmarked = [(r.page_id, r.url, (r.html or "").replace("<article", "<section").replace("</article", "</section")) for r in rows]
+    schema = "page_id long, url string, html string"
+    plain = {r.page_id: r.text.split() for r in H.extract_main_text(spark.createDataFrame(unmarked, schema)).collect()}
+    full = {r.page_id: r.text.split() for r in H.extract_main_text(spark.createDataFrame(rows, schema)).collect()}
+    same = sum((Counter(plain[k]) & Counter(full[k])).total() for k in full)
+    assert same / sum(map(len, plain.values())) > 0.9 and same / sum(map(len, full.values())) > 0.9
+
+
+def test_odd_pages(spark):
+    """A very long page, null ids and urls, repeated rows: every row has its row."""
+    long = "<body><p>" + " ".join(f"w{k}" for k in range(200_000)) + "</p></body>"
+    rows = [(1, "http://a/", long), (None, "http://a/", long), (None, None, "<p>x</p>"), (None, None, "<p>x</p>"), (2, "http://a/2", "<p>" * 5000 + "deep"), (3, "not a url", "<<<>>> & &amp; &#x41; <unclosed"), (4, None, "\x00<b>\x01</b>")]
+    got = H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and [r.n_chars for r in got if r.page_id == 1] == [r.n_chars for r in got if r.page_id is None and r.url] == [len(long) - 20]

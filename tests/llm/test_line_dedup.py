@@ -20,24 +20,24 @@ def test_both_ways_equal_brute_force(spark):
         assert got == want
 
 
-def test_runs_are_levelled_and_compacted(spark, tmp_path):
-    store = L.LineRuns(spark, 10, str(tmp_path / "runs"), fanout=2)
+def test_runs_are_levelled_and_compacted(spark):
+    store = L.LineRuns(spark, 10, fanout=2)
     for k in range(5):
         store.add(spark.createDataFrame([(f"a\nonly {k}",), ("a\na\nb",)], "text string"))
     assert [len(level) for level in store.levels] == [1, 0, 1]  # 5 = 4 + 1
-    counts = Counter(r.n for r in store._sums([p for level in store.levels for p in level]).collect())
+    counts = Counter(r.n for r in L._sums(L._all([run for level in store.levels for run in level])).collect())
     assert counts == {10: 1, 5: 1, 1: 5}
     got = store.strip(spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, text string"))
     assert got.first().text == "b\nc"
 
 
-def test_each_batch_is_joined_with_the_settled_runs(spark, tmp_path):
+def test_each_batch_is_joined_with_the_settled_runs(spark):
     """Lines that compaction settles are not counted again, and no line is lost, whichever batches hold it."""
-    store = L.LineRuns(spark, 3, str(tmp_path / "runs"), fanout=2)
+    store = L.LineRuns(spark, 3, fanout=2)
     for k, batch in enumerate([["a", "a"], ["a", "b"], ["a", "b", "c"], ["a"], ["a", "c", "b"], ["c", "d"], ["d"]]):
         store.add(spark.createDataFrame([(x,) for x in batch], "text string"))
         if k == 4:
-            assert len(store.settled) == 3 and sum(store._read(store.levels[0]).toPandas().n) == 2  # a is settled, b and c count
+            assert len(store.settled) == 3 and sum(store.levels[0][0].toPandas().n) == 2  # a is settled, b and c count
     frequent = L._halves(L._digests([b"a", b"b", b"c"])).tolist()
     assert sorted([r.h1, r.h2] for r in store.frequent().distinct().collect()) == sorted(frequent)
 
