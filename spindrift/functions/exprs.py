@@ -77,8 +77,8 @@ def count_if(condition: Column) -> Column:
 
 
 def to_text(col: Column, kind: str) -> Column:
-    """Text of a value; floating-point numbers without exponent so that sets compare alike."""
-    return F.regexp_replace(F.format_string("%.6f", col.cast("double")), r"\.?0+$", "") if kind in ("double", "float") else col.cast("string")
+    """Text of a value; floating-point numbers without exponent so that sets compare alike.  Null stays null."""
+    return F.when(col.isNotNull(), F.regexp_replace(F.format_string("%.6f", col.cast("double")), r"\.?0+$", "")) if kind in ("double", "float") else col.cast("string")
 
 
 def parse_date(col: Column) -> Column:

@@ -52,6 +52,12 @@ PII_FAMILIES = {
     "npi": (0.7, 0.7, (r"\b\d{10}\b",)),
     "insurance_id": (0.5, 0.8, (r"\b[A-Z]{2,3}\d{6,9}\b", r"\b\d{9,12}\b")),
 }
+#: What a text must hold for any of a family's patterns to match.
+PII_NEEDS = {
+    "ssn": (r"\d{3}",), "phone": (r"\d{3}",), "email": (r"@",), "credit_card": (r"\d{3}",), "drivers_license": (r"\d{3}",), "passport": (r"\d{3}",), "ip_address": (r"\d\.\d",),
+    "address": (r"\d\s", r"Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl"),
+    "zip_code": (r"\d{3}",), "date_of_birth": (r"\d{3}",), "mrn": (r"[A-Z0-9]{6}",), "npi": (r"\d{3}",), "insurance_id": (r"\d{3}",),
+}
 #: Not in the default set: ``\b`` before ``(`` never matches after white space.
 PHONE_IN_PARENTHESES = (0.7, 0.7, (r"\(\d{3}\)\s?\d{3}-\d{4}\b",))
 NAMES_WEIGHT = 0.6

@@ -226,6 +226,97 @@ def field_schema(df: DataFrame, columns: Sequence[str] | None = None, hints: boo
     return overlay_hints(table) if hints else table
 
 
+#: The parts of a field's details, by the kind of the field.
+DETAILS = (
+    "min double, max double, mean double, median double, std double, distribution string, decimal_places int, min_length long, max_length long, avg_length double, contains_numbers boolean,"
+    " contains_special_chars boolean, pattern string, min_date string, max_date string, date_range_days long, format_detected string, true_count long, false_count long, true_percentage double"
+)
+
+
+def field_details(df: DataFrame, fields: DataFrame, exact: bool = True) -> DataFrame:
+    """(column_name, type and DETAILS): what the schema says about each field by its type, the rest null.
+
+    Numbers that do not parse, dates that do not parse and nulls are left out.  ``fields`` has one row for each
+    column, of which names and types are collected; everything else is one aggregate over the rows.  The format of
+    dates is that of the smallest value as text.  ``exact=False``: medians in bounded memory.
+    """
+    kinds, names = dict(df.dtypes), [part.split()[0] for part in DETAILS.split(", ")]
+    cells = []
+    for c, kind in sorted((r.column_name, r.type) for r in fields.select("column_name", "type").collect()):
+        raw, text = F.col(f"`{c}`"), E.to_text(F.col(f"`{c}`"), kinds[c])
+        filled, own = F.count(raw), {}
+        if kind in ("integer", "float"):
+            x = E.number(raw) if kinds[c] == "string" else F.nanvl(raw.cast("double"), F.lit(None).cast("double"))
+            places = 2 if kind == "integer" else 4
+            median = F.percentile(x, F.lit(0.5)) if exact else F.percentile_approx(x, 0.5, 10_000)
+            own = {"min": F.min(x), "max": F.max(x), "mean": F.round(F.avg(x), places), "median": F.floor(median).cast("double") if kind == "integer" else median, "std": F.round(F.stddev_samp(x), places)}
+            own["distribution"] = F.struct(F.count(x).alias("n"), F.skewness(x).alias("skewness"), F.kurtosis(x).alias("kurtosis"))
+            if kind == "float":
+                own["decimal_places"] = F.coalesce(F.max(F.length(F.split_part(text, F.lit("."), F.lit(2)))), F.lit(0))
+        elif kind == "datetime":
+            x = E.parse_date(raw) if kinds[c] == "string" else raw.cast("timestamp_ntz").cast("timestamp")
+            days = F.floor((F.max(F.unix_timestamp(x)) - F.min(F.unix_timestamp(x))) / 86400)
+            shown = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+            own = {"min_date": shown(F.min(x)), "max_date": shown(F.max(x)), "date_range_days": days, "format_detected": F.when(filled > 0, E.date_format_label(F.min(raw.cast("string"))))}
+        elif kind == "boolean":
+            word = F.lower(raw.cast("string"))
+            true, false = E.count_if(word == "true"), E.count_if(word == "false")
+            own = {"true_count": true, "false_count": false, "true_percentage": F.round(E.ratio(true * 100.0, filled), 2)}
+        elif kind in ("string", "unknown"):
+            n = F.length(text)
+            found = [F.when(E.ratio(E.count_if(E.matches(text, p)), filled) > 0.8, F.lit(p)) for p in P.PIPELINE_IDS]
+            own = {"min_length": F.min(n), "max_length": F.max(n), "avg_length": F.round(F.avg(n), 2), "contains_numbers": F.max(E.matches(text, r"\d")), "contains_special_chars": F.max(E.matches(text, r"[^a-zA-Z0-9\s]")), "pattern": F.coalesce(*found)}
+        empty = F.lit(None).cast("struct<n:bigint,skewness:double,kurtosis:double>")
+        types = dict(part.split() for part in DETAILS.split(", "))
+        cells.append(F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("type"), *((own.get(k, empty) if k == "distribution" else own.get(k, F.lit(None)).cast(types[k])).alias(k) for k in names)))
+    if not cells:
+        return df.sparkSession.createDataFrame([], f"column_name string, type string, {DETAILS}")
+    rows = df.agg(F.array(*cells).alias("rows")).select(F.inline("rows"))
+    moments = F.col("distribution")
+    return rows.withColumn("distribution", F.when(moments.isNotNull(), distribution_label(moments.n, moments.skewness, moments.kurtosis)))
+
+
+def text_constraints(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
+    """Lengths, character classes, format and fixed length of text columns, as the library's schema has them."""
+    stats = prof.text_statistics(df, columns, exact)
+    counted = prof.pattern_counts(prof.frequencies(df, columns)).join(prof.counts(prof.frequencies(df, columns)).select("column_name", "total_count"), "column_name")
+    fixed = (F.col("min_length") == F.col("max_length")) & (F.col("min_length") > 0)
+    return stats.join(counted, "column_name").select(
+        "column_name", "min_length", "max_length", "avg_length", (F.col("contains_digits") > 0).alias("has_numbers"), (F.col("contains_special") > 0).alias("has_special_chars"),
+        F.regexp_replace(text_format(), "_like$", "").alias("format"), fixed.alias("fixed_length"), F.when(fixed, F.col("min_length")).alias("length"),
+    )
+
+
+def schema_document(df: DataFrame, columns: Sequence[str] | None = None, table: str = "inferred_table") -> DataFrame:
+    """One row: the library's schema of a table with its columns, constraints, relationships, quality and advice; an
+    empty table has no columns in it."""
+    found = infer(df, columns)
+    profile = prof.profile_columns(df, columns)
+    every = lambda rows, *names: F.array_sort(F.collect_list(F.struct(*names)))  # noqa: E731, ARG005
+    one = found.agg(F.coalesce(F.max("total_count"), F.lit(0)).alias("num_rows"), F.count("*").alias("num_columns"), every(found, "column_name", "sql_type", "data_type_hint", "null_rate", "pk_score", "fk_score", "format", "domain").alias("columns"))
+    advice = prof.recommendations(profile).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "recommendation"))), lambda x: x.recommendation).alias("recommendations"))
+    parts = [
+        constraint_table(profile).agg(every(None, "kind", "column_name").alias("constraints")),
+        relationships(found).select(F.struct("foreign_keys", "hierarchy").alias("relationships")),
+        prof.dataset_summary(profile).select(F.struct("avg_null_rate", "avg_quality_score", "columns_with_issues", "high_quality_columns").alias("quality_assessment")),
+        advice,
+    ]
+    return reduce(DataFrame.crossJoin, parts, one).select(F.lit(table).alias("table_name"), "*")  # single rows
+
+
+def field_document(df: DataFrame, hints: bool = False) -> DataFrame:
+    """One row: the pipeline's schema of a table: fields with their details, constraints, quality score, types; a
+    table without rows has an empty one with score 0."""
+    fields = field_schema(df, hints=hints)
+    detailed = fields.join(field_details(df, fields).drop("type", "min", "max", "pattern"), "column_name")
+    some = F.col("record_count") > 0
+    one = detailed.agg(F.coalesce(F.max("total_count"), F.lit(0)).alias("record_count"), F.count("*").alias("column_count"), F.array_sort(F.collect_list(F.struct("column_name", *(c for c in detailed.columns if c not in ("column_name", "expected_range"))))).alias("fields"))
+    rules = constraints(fields).agg(F.array_sort(F.collect_list(F.struct("column_name", "kind", "min", "max"))).alias("constraints"))
+    kinds = type_histogram(fields).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("data_types_summary"))
+    whole = reduce(DataFrame.crossJoin, (rules, kinds, dataset_quality(fields)), one)  # single rows
+    return whole.select("record_count", F.when(some, F.col("column_count")).otherwise(0).alias("column_count"), *(F.when(some, F.col(c)).otherwise(F.array()).alias(c) for c in ("fields", "constraints")), F.when(some, F.col("quality_score")).otherwise(0.0).alias("quality_score"), F.when(some, F.col("data_types_summary")).alias("data_types_summary"))
+
+
 def overlay_hints(fields: DataFrame) -> DataFrame:
     rows = [(c, h["type"], h.get("pattern"), list(h["categories"]) if "categories" in h else None, h.get("min"), h.get("max")) for c, h in P.FIELD_HINTS.items()]
     hints = fields.sparkSession.createDataFrame(rows, "column_name string, h_type string, h_pattern string, h_categories array<string>, h_min double, h_max double")

@@ -246,23 +246,38 @@ def quality_scores(spark, d):
     return rounded(profile.profile_columns(table(spark, d, "customer")).select("column_name", "quality_score", F.size("issues").alias("n_issues")))
 
 
-@query()
+_SEEN = " + ".join(P.VALUE_PATTERNS)
+_SQL_ISSUES = f"""issues AS (SELECT column_name, 'High null rate: ' || printf('%.1f', null_rate * 100) || '%' AS issue FROM scored WHERE null_rate > 0.5
+  UNION ALL SELECT column_name, 'Very low cardinality - mostly duplicate values' FROM scored WHERE cardinality_rate < 0.01 AND unique_count > 1
+  UNION ALL SELECT column_name, 'Very high cardinality - mostly unique values' FROM scored WHERE cardinality_rate > 0.95 AND total_count > 100
+  UNION ALL SELECT column_name, 'Mixed data types detected' FROM scored WHERE data_type_hint = 'text' AND ({_SEEN}) > 0 AND ({_SEEN}) < 0.8 * total_count) """
+_LINEITEM = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split()
+
+
+@query(_sql_profile({"lineitem": _LINEITEM}, ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))[:-1] + f", {_SQL_ISSUES} SELECT * FROM issues")
 def column_issues(spark, d):
     return profile.profile_columns(table(spark, d, "lineitem")).select("column_name", F.explode("issues").alias("issue"))
 
 
-@query()
+_SQL_ADVICE = """advice AS (SELECT 1 AS k, 'Consider handling high null rates in: ' AS t, list(column_name ORDER BY column_name) FILTER (WHERE null_rate > 0.3) AS v FROM scored
+  UNION ALL SELECT 2, 'Potential ID columns detected: ', list(column_name ORDER BY column_name) FILTER (WHERE cardinality_rate > 0.95 AND data_type_hint IN ('integer', 'text')) FROM scored
+  UNION ALL SELECT 3, 'Consider encoding categorical columns: ', list(column_name ORDER BY column_name) FILTER (WHERE data_type_hint = 'categorical' AND unique_count > 10) FROM scored)
+SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INTEGER) AS position, t || array_to_string(v[1:3], ', ') AS recommendation FROM advice WHERE len(v) > 0"""
+
+
+@query(_LONG_ORDERS[:-1] + f", {_SQL_ADVICE}")
 def profile_recommendations(spark, d):
     return profile.recommendations(profile.profile_columns(table(spark, d, "orders"), _ORDERS))
 
 
 @query(
-    _LONG_CUSTOMER
+    _LONG_CUSTOMER[:-1]
+    + f", {_SQL_ISSUES}"
     + """SELECT max(total_count) AS total_rows, count(*) AS total_columns, max(total_count) * count(*) AS total_cells, round(avg(null_rate), 6) AS avg_null_rate,
-  round(avg(quality_score), 6) AS avg_quality_score, count(*) FILTER (WHERE quality_score > 0.8) AS high_quality_columns FROM scored"""
+  round(avg(quality_score), 6) AS avg_quality_score, (SELECT count(DISTINCT column_name) FROM issues) AS columns_with_issues, count(*) FILTER (WHERE quality_score > 0.8) AS high_quality_columns FROM scored"""
 )
 def dataset_quality(spark, d):
-    return rounded(profile.dataset_summary(profile.profile_columns(table(spark, d, "customer"))).drop("columns_with_issues"))
+    return rounded(profile.dataset_summary(profile.profile_columns(table(spark, d, "customer"))))
 
 
 # ---- privacy
@@ -305,7 +320,7 @@ def pii_names(spark, d):
 
 
 _SQL_SCORES = f"""{_SQL_PEOPLE[:-1]}, {_SQL_NAMES}, every AS (SELECT column_name, family, confidence, weight FROM families UNION ALL SELECT column_name, 'names', confidence, {P.NAMES_WEIGHT}::DOUBLE FROM names WHERE confidence > 0.5),
-scores AS (SELECT c.column_name, count(family) AS n_families, coalesce(least(sum(weight * confidence) / sum(weight), 1.0::DOUBLE), 0::DOUBLE) AS overall_risk_score
+scores AS (SELECT c.column_name, count(family) AS n_families, least(coalesce(sum(weight * confidence) / sum(weight), 0::DOUBLE), 1.0::DOUBLE) AS overall_risk_score
   FROM (SELECT DISTINCT column_name FROM long) c LEFT JOIN every USING (column_name) GROUP BY c.column_name) """
 
 
@@ -330,14 +345,37 @@ def pii_dataset_summary(spark, d):
     return privacy.dataset_summary(_people_scores(spark, d)[0])
 
 
-@query()
+_SQL_SUMMARY = """summary AS (SELECT *, CASE WHEN high_risk_columns > 0 THEN 'HIGH' WHEN medium_risk_columns > 0 THEN 'MEDIUM' WHEN columns_with_pii > 0 THEN 'LOW' ELSE 'MINIMAL' END AS overall_risk FROM (
+SELECT count(*) AS total_columns, count(*) FILTER (WHERE n_families > 0) AS columns_with_pii, count(*) FILTER (WHERE overall_risk_score >= 0.8) AS high_risk_columns,
+  count(*) FILTER (WHERE overall_risk_score >= 0.6 AND overall_risk_score < 0.8) AS medium_risk_columns, count(*) FILTER (WHERE overall_risk_score >= 0.3 AND overall_risk_score < 0.6) AS low_risk_columns FROM scores))"""
+_in = lambda words: ", ".join(f"'{w}'" for w in words)
+_SQL_NOTES = f"""{_SQL_SUMMARY}, urgent AS (SELECT list(column_name ORDER BY column_name)[1:5] AS v FROM scores WHERE overall_risk_score >= 0.8),
+kinds AS (SELECT list(DISTINCT family ORDER BY family) FILTER (WHERE family IN ({_in(P.HIPAA_FAMILIES)}) AND confidence > 0.6) AS hipaa, coalesce(bool_or(family IN ({_in(P.FINANCIAL_FAMILIES)})), false) AS financial FROM every),
+notes AS (SELECT summary.*, concat_ws(' | ', CASE WHEN high_risk_columns > 0 THEN 'URGENT: ' || high_risk_columns || ' columns contain high-risk PII requiring immediate attention' END,
+    CASE WHEN medium_risk_columns > 0 THEN 'IMPORTANT: ' || medium_risk_columns || ' columns contain medium-risk PII requiring masking' END,
+    CASE WHEN columns_with_pii > 0.5 * total_columns THEN 'Dataset contains significant PII - consider comprehensive data anonymization' END,
+    CASE WHEN len(v) > 0 THEN 'Priority columns for masking: ' || array_to_string(v, ', ') END) AS priority_actions,
+  concat_ws(' | ', CASE WHEN len(hipaa) > 0 THEN 'HIPAA Compliance: Detected healthcare identifiers (' || array_to_string(hipaa, ', ') || ')' END,
+    CASE WHEN len(hipaa) > 0 THEN 'Consider HIPAA Safe Harbor de-identification requirements' END,
+    CASE WHEN financial THEN 'PCI DSS Compliance: Financial data detected - ensure proper encryption and access controls' END) AS compliance_notes FROM summary, urgent, kinds) """
+
+
+def _joined(df: DataFrame, *names: str) -> DataFrame:
+    """Lists as one text each."""
+    return df.withColumns({c: F.array_join(c, " | ") for c in names})
+
+
+@query(_SQL_SCORES[:-1] + f", {_SQL_NOTES} SELECT * FROM notes")
 def pii_dataset_notes(spark, d):
-    return privacy.dataset_notes(*_people_scores(spark, d))
+    return _joined(privacy.dataset_notes(*_people_scores(spark, d)), "priority_actions", "compliance_notes")
 
 
-@query()
+@query(
+    f"""{_SQL_HEALTH[:-1]}, long AS ({_sql_long({"documents": ["source", "lang"], "health": ["CLAIM_ID"]})}), f AS (SELECT DISTINCT column_name, value FROM long WHERE {_sql_any("value", P.PII_FAMILIES["mrn"][2])})
+SELECT column_name, string_agg(value, ' | ' ORDER BY value) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY value) AS r FROM f) WHERE r <= 5 GROUP BY column_name"""
+)
 def pii_samples(spark, d):
-    return privacy.samples(profile.frequencies(table(spark, d, "documents"), ["source", "lang"]).unionByName(profile.frequencies(health_table(spark, d), ["CLAIM_ID"])), "mrn")
+    return _joined(privacy.samples(profile.frequencies(table(spark, d, "documents"), ["source", "lang"]).unionByName(profile.frequencies(health_table(spark, d), ["CLAIM_ID"])), "mrn"), "samples")
 
 
 _PHI_WORDS = [w for some in P.PHI_KEYWORDS.values() for w in some]
@@ -375,13 +413,30 @@ def risk_band(spark, d):
     return privacy.pipeline_summary(privacy.flagged(privacy.pipeline_confidence(health_table(spark, d))))
 
 
-@query()
+@query(
+    "SELECT * FROM (VALUES ('PII', 'CLAIM_ID', 0.95::DOUBLE), ('PII', 'MEMBER_ID', 0.95::DOUBLE), ('PII', 'ID', 0.95::DOUBLE), ('PII', 'LAST_NAME', 0.98::DOUBLE), ('PII', 'AGE', 0.9::DOUBLE), ('PII', 'PROVIDER_ZIP', 0.85::DOUBLE),"
+    " ('PHI', 'DIAGNOSIS_CODE', 0.95::DOUBLE), ('PHI', 'PROCEDURE_CODE', 0.9::DOUBLE), ('PHI', 'DRG_CODE', 0.85::DOUBLE), ('PHI', 'ICD9_PROCEDURE', 0.9::DOUBLE)) AS t(kind, column_name, confidence)"
+)
 def declared_fields(spark, d):
     return privacy.declared_fields(health_table(spark, d))
 
 
 # ---- masking and cleaning
 
+_MASKED = "SELECT {key}, {name} AS contact_name, {name} AS ssn_no, {name} AS email_addr, {name} AS phone_no, {name} AS city, {name} AS condition_code, {name} AS drug_code, {name} AS doctor_id, {name} AS mrn_no FROM {table}"
+
+
+@query(
+    f"""WITH t AS ({_MASKED.format(key="c_custkey", name="CASE WHEN c_custkey % 5 > 0 THEN c_name END", table="customer")}) SELECT c_custkey, CASE WHEN contact_name IS NOT NULL THEN 'MASKED_NAME' END AS contact_name, CASE WHEN ssn_no IS NOT NULL THEN 'XXX-XX-XXXX' END AS ssn_no,
+  CASE WHEN email_addr IS NOT NULL THEN 'masked@email.com' END AS email_addr, CASE WHEN phone_no IS NOT NULL THEN 'XXX-XXX-XXXX' END AS phone_no, CASE WHEN city IS NOT NULL THEN 'MASKED_PII' END AS city,
+  CASE WHEN condition_code IS NOT NULL THEN 'MASKED_DIAGNOSIS' END AS condition_code, CASE WHEN drug_code IS NOT NULL THEN 'MASKED_MEDICATION' END AS drug_code, CASE WHEN doctor_id IS NOT NULL THEN 'MASKED_PROVIDER' END AS doctor_id,
+  CASE WHEN mrn_no IS NOT NULL THEN 'MRN_MASKED' END AS mrn_no FROM t"""
+)
+def mask_every_kind(spark, d):
+    named = spark.sql(_MASKED.format(key="c_custkey", name="CASE WHEN c_custkey % 5 > 0 THEN c_name END", table="{customer}"), customer=table(spark, d, "customer"))
+    return redact.mask(named, pii=["contact_name", "ssn_no", "email_addr", "phone_no", "city"], phi=["condition_code", "drug_code", "doctor_id", "mrn_no"])
+
+
 
 @query(_SQL_HEALTH + "SELECT CLAIM_ID, ID, CASE WHEN LAST_NAME IS NOT NULL THEN 'MASKED_NAME' END AS LAST_NAME, CASE WHEN PROVIDER_ZIP IS NOT NULL THEN 'MASKED_PII' END AS PROVIDER_ZIP FROM health")
 def mask_pii(spark, d):
@@ -525,19 +580,28 @@ def duplicate_rows(spark, d):
 
 
 @query(
-    _SQL_CLEAN
+    _SQL_CLEAN.replace(HEALTH.format(orders="orders", customer="customer"), REPEATED.format(orders="orders", customer="customer"), 1)
     + f"""SELECT (SELECT count(*) FROM health) AS total_records, (SELECT count(*) FROM cleaned WHERE {_sql_filled(P.CLAIM_FIELDS)}) AS claims_records,
-  (SELECT count(*) FROM cleaned WHERE {_sql_filled(P.PATIENT_FIELDS)}) AS patient_records, 0::BIGINT AS duplicate_records,
+  (SELECT count(*) FROM cleaned WHERE {_sql_filled(P.PATIENT_FIELDS)}) AS patient_records, (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM health GROUP BY {', '.join(_FIELDS)})) AS duplicate_records,
   (SELECT round(0.4 * ({" + ".join(f"count({c})" for c in _FIELDS)} + count(*)) / (count(*) * {len(_FIELDS) + 1}) + 0.4 * avg(DIAGNOSIS_CODE_VALID::INT) + 0.2 * 0.9, 3) FROM cleaned) AS data_quality_score"""
 )
 def health_summary(spark, d):
-    df = health_table(spark, d)
+    df = health_table(spark, d, REPEATED)
     return health.summary(df, clean.clean_health(df)).drop("issues_found")
 
 
-@query()
+_SQL_REPEATED_CLEAN = _SQL_CLEAN.replace(HEALTH.format(orders="orders", customer="customer"), REPEATED.format(orders="orders", customer="customer"), 1)
+
+
+@query(
+    _SQL_REPEATED_CLEAN
+    + f"""SELECT issue FROM (SELECT CASE WHEN (SELECT {" + ".join(f"count(*) - count({c})" for c in _FIELDS)} FROM health) <> (SELECT {" + ".join(f"count(*) - count({c})" for c in _FIELDS)} FROM cleaned) THEN 'Missing values standardized' END AS issue
+UNION ALL SELECT CASE WHEN n > 0 THEN n || ' duplicate records found' END FROM (SELECT CAST(sum(n - 1) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM health GROUP BY {', '.join(_FIELDS)}))
+UNION ALL SELECT CASE WHEN n > 0 THEN n || ' invalid diagnosis codes' END FROM (SELECT count(*) AS n FROM cleaned WHERE NOT DIAGNOSIS_CODE_VALID)
+UNION ALL SELECT CASE WHEN n > 0 THEN n || ' invalid age values' END FROM (SELECT (SELECT count(*) FROM cleaned WHERE AGE IS NULL) - (SELECT count(*) FROM health WHERE AGE IS NULL) AS n)) WHERE issue IS NOT NULL"""
+)
 def health_issues(spark, d):
-    df = health_table(spark, d)
+    df = health_table(spark, d, REPEATED)
     return health.summary(df, clean.clean_health(df)).select(F.explode("issues_found").alias("issue"))
 
 
@@ -577,9 +641,14 @@ def constraint_table(spark, d):
     return schema.constraint_table(profile.profile_columns(table(spark, d, "customer")))
 
 
-@query()
+@query(
+    _LONG_ORDERS
+    + f"""SELECT coalesce(string_agg(column_name, ' | ' ORDER BY column_name) FILTER (WHERE fk_score >= 0.6), '') AS foreign_keys,
+  CASE WHEN count(*) FILTER (WHERE data_type_hint = 'categorical' AND unique_count BETWEEN 5 AND 100) >= 2 THEN string_agg(column_name, ' | ' ORDER BY column_name) FILTER (WHERE data_type_hint = 'categorical' AND unique_count BETWEEN 5 AND 100) ELSE '' END AS hierarchy
+FROM (SELECT *, {_SQL_KEYS} FROM scored)"""
+)
 def schema_relationships(spark, d):
-    return schema.relationships(schema.infer(table(spark, d, "orders"), _ORDERS))
+    return _joined(schema.relationships(schema.infer(table(spark, d, "orders"), _ORDERS)), "foreign_keys", "hierarchy")
 
 
 @query(
@@ -603,14 +672,34 @@ def numeric_constraints(spark, d):
     return schema.numeric_constraints(profile.numeric_statistics(table(spark, d, "lineitem"), _LINE))
 
 
-@query("SELECT 'l_returnflag' AS column_name, 0::BIGINT AS true_count, count(*) FILTER (WHERE lower(l_returnflag) IN ('false', '0', 'no', 'n')) AS false_count, 'mixed' AS representation FROM lineitem")
+_FLAGS = {
+    "words": ("Yes", "no"), "letters": ("Y", "n"), "digits": ("1", "0"), "logic": ("True", "false"), "other": ("A", "yes"),
+}
+_FLAGGED = "SELECT " + ", ".join(f"CASE WHEN l_linenumber = 7 THEN CAST(NULL AS VARCHAR(5)) WHEN l_returnflag = 'N' THEN '{a}' ELSE '{b}' END AS {k}" for k, (a, b) in _FLAGS.items()) + ", l_returnflag FROM {lines}"
+_SQL_WITHIN = lambda a, b: f"bool_and(v IN ('{a}', '{b}'))"
+
+
+@query(
+    f"""WITH flags AS ({_FLAGGED.format(lines="lineitem")}), long AS ({_sql_long({"flags": [*_FLAGS, "l_returnflag"]})})
+SELECT column_name, count(*) FILTER (WHERE v IN ('true', '1', 'yes', 'y')) AS true_count, count(*) FILTER (WHERE v IN ('false', '0', 'no', 'n')) AS false_count,
+  CASE WHEN {_SQL_WITHIN('true', 'false')} THEN 'true/false' WHEN {_SQL_WITHIN('1', '0')} THEN '1/0' WHEN {_SQL_WITHIN('yes', 'no')} THEN 'yes/no' WHEN {_SQL_WITHIN('y', 'n')} THEN 'y/n' ELSE 'mixed' END AS representation
+FROM (SELECT column_name, lower(value) AS v FROM long) GROUP BY column_name"""
+)
 def boolean_columns(spark, d):
-    return schema.boolean_columns(profile.frequencies(table(spark, d, "lineitem"), ["l_returnflag"]))
+    return schema.boolean_columns(profile.frequencies(spark.sql(_FLAGGED, lines=table(spark, d, "lineitem"))))
 
 
-@query()
+_SCALED = """SELECT o_orderpriority, o_orderstatus, CASE o_orderkey % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'medium' ELSE 'odd' END AS level, CASE o_orderkey % 3 WHEN 0 THEN '1st' WHEN 1 THEN '2nd' ELSE '3rd place' END AS place FROM {orders}"""
+_SQL_SCALE = " OR ".join(f"list_has_all(v, [{', '.join(f"'{x}'" for x in scale)}])" for scale in P.ORDINAL_SCALES)
+
+
+@query(
+    f"""WITH scaled AS ({_SCALED.format(orders="orders")}), long AS ({_sql_long({"scaled": ["o_orderpriority", "o_orderstatus", "level", "place"]})}),
+f AS (SELECT column_name, value, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY ALL), top AS (SELECT column_name, value FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS r FROM f) WHERE r <= 10),
+sets AS (SELECT column_name, list(DISTINCT lower(value)) AS v, bool_and(regexp_matches(lower(value), '^[0-9]+(st|nd|rd|th)')) AS ranked FROM top GROUP BY column_name) SELECT column_name, {_SQL_SCALE} OR ranked AS is_ordinal FROM sets"""
+)
 def ordinal_columns(spark, d):
-    return schema.ordinal_columns(profile.frequencies(table(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"]))
+    return schema.ordinal_columns(profile.frequencies(spark.sql(_SCALED, orders=table(spark, d, "orders"))))
 
 
 @query(
@@ -621,7 +710,29 @@ def category_frequencies(spark, d):
     return schema.category_frequencies(profile.frequencies(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"]))
 
 
-@query()
+def _sql_fields() -> str:
+    """CTE fields: the health table's fields without hints, as the pipeline infers them."""
+    named = {c: schema.named_type(c) or ("float" if c in _DOUBLES else None) for c in _FIELDS}
+    known = " ".join(f"WHEN '{c}' THEN '{k}'" for c, k in named.items() if k)
+    context = " ".join(f"WHEN {' OR '.join(f"lower(column_name) LIKE '%{w}%'" for w in words)} THEN '{k}'" for k, words in P.HEALTH_CONTEXT.items())
+    return f"""{_SQL_HEALTH[:-1]}, long AS ({_sql_long({"health": _FIELDS}, _DOUBLES)}),
+typed AS (SELECT *, {_SQL_NUMBER} AS x, {_sql_any("value", P.DATE_PREFIXES)} AS dated, lower(value) IN ({", ".join(f"'{b}'" for b in P.BOOLEANS)}) AS truth, regexp_replace(value, '[$,]', '', 'g') AS plain FROM long),
+sums AS (SELECT column_name, count(*) AS total, count(value) AS filled, count(DISTINCT value) AS uniq, count(*) FILTER (WHERE dated) AS dates, count(x) AS numbers, count(*) FILTER (WHERE x = floor(x)) AS integral, coalesce(bool_and(truth), false) AS truths,
+  min(CASE WHEN regexp_matches(plain, '{P.NUMBER}') THEN TRY_CAST(trim(plain) AS DOUBLE) END) AS low, max(CASE WHEN regexp_matches(plain, '{P.NUMBER}') THEN TRY_CAST(trim(plain) AS DOUBLE) END) AS high FROM typed GROUP BY column_name),
+fields AS (SELECT *, CASE column_name {known} ELSE CASE WHEN filled = 0 THEN 'unknown' WHEN dates / filled > 0.5 THEN 'datetime' WHEN numbers / filled > 0.8 THEN CASE WHEN integral / numbers > 0.9 THEN 'integer' ELSE 'float' END
+  WHEN truths AND uniq <= 2 THEN 'boolean' WHEN uniq / total < 0.1 AND uniq < 50 THEN 'categorical' ELSE 'string' END END AS type, CASE {context} END AS healthcare_category FROM sums) """
+
+
+_SQL_FIELDS = _sql_fields()
+_SQL_HINTS = ", ".join(f"('{c}', '{h['type']}', {repr(h['pattern']) if 'pattern' in h else 'NULL'}, {h.get('min', 'NULL')}::DOUBLE, {h.get('max', 'NULL')}::DOUBLE)" for c, h in P.FIELD_HINTS.items()).replace("\\\\", "\\")
+
+
+@query(
+    _SQL_FIELDS
+    + f"""SELECT f.column_name, coalesce(h.type, f.type) AS type, filled < total AS nullable, round((total - filled) * 100 / total, 2) AS null_percentage, round(uniq * 100 / total, 2) AS unique_percentage,
+  coalesce(h.low, CASE WHEN f.type IN ('integer', 'float') THEN f.low END) AS min, coalesce(h.high, CASE WHEN f.type IN ('integer', 'float') THEN f.high END) AS max, h.pattern, healthcare_category
+FROM fields f LEFT JOIN (VALUES {_SQL_HINTS}) AS h(column_name, type, pattern, low, high) USING (column_name)"""
+)
 def field_schema(spark, d):
     fields = schema.field_schema(health_table(spark, d), hints=True)
     return fields.select("column_name", "type", "nullable", "null_percentage", "unique_percentage", "min", "max", "pattern", "healthcare_category")
@@ -632,12 +743,15 @@ def value_ranges(spark, d):
     return schema.constraints(schema.field_schema(table(spark, d, "customer"))).filter("kind = 'range'")
 
 
-@query()
+@query(_SQL_FIELDS + "SELECT type, count(*) AS n FROM fields GROUP BY type")
 def field_type_histogram(spark, d):
     return schema.type_histogram(schema.field_schema(health_table(spark, d)))
 
 
-@query()
+@query(
+    f"""{_SQL_HEALTH[:-1]}, long AS ({_sql_long({"health": ["CLAIM_ID", "ID", "DIAGNOSIS_CODE"]})})
+SELECT column_name, coalesce({", ".join(f"CASE WHEN count(*) FILTER (WHERE regexp_matches(value, '{p}')) / nullif(count(value), 0) > 0.8 THEN '{p}' END" for p in P.PIPELINE_IDS)}) AS pattern FROM long GROUP BY column_name"""
+)
 def identifier_patterns(spark, d):
     return schema.identifier_patterns(profile.frequencies(health_table(spark, d), ["CLAIM_ID", "ID", "DIAGNOSIS_CODE"]))
 
@@ -647,6 +761,75 @@ def decimal_places(spark, d):
     return schema.decimal_places(profile.frequencies(table(spark, d, "lineitem"), ["l_discount", "l_quantity"]))
 
 
+#: A derived table with a field of every type, all of them text but one.
+TYPED = """SELECT CAST(o_orderkey % 90 AS VARCHAR(5)) AS years, CASE WHEN o_orderkey % 10 = 0 THEN 'none' ELSE CAST(o_orderkey % 700 AS VARCHAR(9)) || '.25' END AS amount, o_totalprice AS price,
+  CASE WHEN o_orderkey % 8 = 0 THEN CAST(NULL AS VARCHAR(12)) ELSE '2024-0' || CAST(1 + o_orderkey % 9 AS VARCHAR(1)) || '-1' || CAST(o_orderkey % 10 AS VARCHAR(1)) END AS day,
+  CASE o_orderkey % 3 WHEN 0 THEN 'True' WHEN 1 THEN 'false' ELSE CAST(NULL AS VARCHAR(5)) END AS flag, 'AB' || CAST(1000000 + o_orderkey AS VARCHAR(12)) AS code,
+  'note ' || CAST(o_custkey AS VARCHAR(12)) || CASE WHEN o_orderkey % 2 = 0 THEN '!' ELSE '' END AS note FROM {orders}"""
+_NO = {k: f"CAST(NULL AS {t})" for k, t in (p.split() for p in schema.DETAILS.replace(" long", " BIGINT").replace(" string", " VARCHAR").replace(" int", " INTEGER").split(", "))}
+
+
+def _sql_details(column: str, kind: str, **own: str) -> str:
+    cells = ", ".join(f"{x} AS {k}" for k, x in (_NO | own).items())
+    return f"SELECT '{column}' AS column_name, '{kind}' AS type, {cells} FROM typed"
+
+
+def _sql_moments(x: str, places: int, **more: str) -> dict:
+    median = f"quantile_cont({x}, 0.5)"
+    return {"min": f"min({x})", "max": f"max({x})", "mean": f"round(avg({x}), {places})", "median": f"floor({median})" if places == 2 else median, "std": f"round(stddev_samp({x}), {places})", **more}
+
+
+def _sql_lengths(x: str, **more: str) -> dict:
+    flags = {"contains_numbers": f"bool_or(regexp_matches({x}, '\\d'))", "contains_special_chars": f"bool_or(regexp_matches({x}, '[^a-zA-Z0-9\\s]'))"}
+    return {"min_length": f"min(length({x}))", "max_length": f"max(length({x}))", "avg_length": f"round(avg(length({x})), 2)", **flags, **more}
+
+
+_AMOUNT = "TRY_CAST(amount AS DOUBLE)"
+
+
+@query(
+    f"WITH typed AS ({TYPED.format(orders='orders')}) "
+    + " UNION ALL ".join((
+        _sql_details("years", "integer", **_sql_moments("CAST(years AS DOUBLE)", 2)), _sql_details("amount", "float", **_sql_moments(_AMOUNT, 4, decimal_places="2")),
+        _sql_details("price", "float", **_sql_moments("price", 4, decimal_places="max(length(split_part(regexp_replace(printf('%.6f', price), '\\.?0+$', ''), '.', 2)))::INTEGER")),
+        _sql_details("day", "datetime", min_date="strftime(min(CAST(day AS DATE)), '%Y-%m-%dT00:00:00')", max_date="strftime(max(CAST(day AS DATE)), '%Y-%m-%dT00:00:00')", date_range_days="max(CAST(day AS DATE)) - min(CAST(day AS DATE))", format_detected="'YYYY-MM-DD'"),
+        _sql_details("flag", "boolean", true_count="count(*) FILTER (WHERE flag = 'True')", false_count="count(*) FILTER (WHERE flag = 'false')", true_percentage="round(count(*) FILTER (WHERE flag = 'True') * 100 / count(flag), 2)"),
+        _sql_details("code", "string", **_sql_lengths("code", pattern="'^[A-Z]{1,3}\\d{6,10}$'")), _sql_details("note", "string", **_sql_lengths("note")),
+    )).replace("CAST(NULL AS VARCHAR) AS distribution, ", "")
+)
+def field_details(spark, d):
+    typed = spark.sql(TYPED, orders=table(spark, d, "orders"))
+    return schema.field_details(typed, schema.field_schema(typed)).drop("distribution")
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, min(length({c})) AS min_length, max(length({c})) AS max_length, round(avg(length({c})), 6) AS avg_length, bool_or(regexp_matches({c}, '\\d')) AS has_numbers, bool_or(regexp_matches({c}, '[^a-zA-Z0-9\\s]')) AS has_special_chars,
+        CASE {" ".join(f"WHEN count(*) FILTER (WHERE regexp_matches({c}, '{P.VALUE_PATTERNS[k + '_like']}')) > 0.8 * count(*) THEN '{k}'" for k in ("email", "phone", "ssn", "url", "zip_code"))} END AS format,
+        min(length({c})) = max(length({c})) AS fixed_length, CASE WHEN min(length({c})) = max(length({c})) THEN min(length({c})) END AS length FROM (SELECT p_name, p_brand, 'https://x.org/' || p_type AS page, CAST(10000 + p_partkey % 90000 AS VARCHAR) AS zip FROM part)"""
+        for c in ("p_name", "p_brand", "page", "zip")
+    )
+)
+def text_constraints(spark, d):
+    parts = table(spark, d, "part").select("p_name", "p_brand", F.concat(F.lit("https://x.org/"), "p_type").alias("page"), (10000 + F.col("p_partkey") % 90000).cast("string").alias("zip"))
+    return rounded(schema.text_constraints(parts, parts.columns))
+
+
+@query("SELECT 5 AS num_columns, (SELECT count(*) FROM customer) AS num_rows, 'inferred_table' AS table_name, 5 AS n_columns, 0 AS empty_columns")
+def schema_documents(spark, d):
+    customer = table(spark, d, "customer")
+    full, none = schema.schema_document(customer), schema.schema_document(customer.limit(0))
+    return full.crossJoin(none.select(F.size("constraints").alias("empty_columns"))).select(F.col("num_columns").cast("int").alias("num_columns"), "num_rows", "table_name", F.size("columns").alias("n_columns"), "empty_columns")
+
+
+@query(f"WITH typed AS ({TYPED.format(orders='orders')}) SELECT count(*) AS record_count, 7 AS column_count, 7 AS n_fields, 0::BIGINT AS empty_records, 0 AS empty_fields, 0.0::DOUBLE AS empty_score FROM typed")
+def field_documents(spark, d):
+    typed = spark.sql(TYPED, orders=table(spark, d, "orders"))
+    full, none = schema.field_document(typed), schema.field_document(typed.limit(0))
+    few = none.select(F.col("record_count").alias("empty_records"), F.size("fields").alias("empty_fields"), F.col("quality_score").alias("empty_score"))
+    return full.crossJoin(few).select("record_count", F.col("column_count").cast("int").alias("column_count"), F.size("fields").alias("n_fields"), "empty_records", "empty_fields", "empty_score")
+
+
 def _sql_distribution(columns: dict[str, str]) -> str:
     rows = " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, count(*)::DOUBLE AS n, avg(pow({c} - m, 3)) / pow(avg(pow({c} - m, 2)), 1.5) AS g1, avg(pow({c} - m, 4)) / pow(avg(pow({c} - m, 2)), 2) AS b2
@@ -738,12 +921,42 @@ def constraint_violations(spark, d):
 def _comparison(spark, d):
     parts = table(spark, d, "part").select("p_size", "p_retailprice", "p_brand", "p_name")
     halves = [parts.filter(f"p_size % 2 = {k}") for k in (0, 1)]
-    return validate.validate(halves[0], halves[1], {"p_size": "integer", "p_retailprice": "float", "p_brand": "categorical", "p_name": "string"})
+    planted = {"ranges": {"p_size": (5.0, 40.0), "p_retailprice": (0.0, None)}, "not_null": ["p_name"], "unique": ["p_brand"]}
+    return validate.validate(halves[0], halves[1], {"p_size": "integer", "p_retailprice": "float", "p_brand": "categorical", "p_name": "string"}, planted)
 
 
-@query()
+@query(
+    """WITH t AS (SELECT * FROM part WHERE p_size % 2 = 1) SELECT 'constraint' AS family, name, n::DOUBLE AS statistic, false AS passed FROM (SELECT 'p_size:below_range' AS name, count(*) AS n FROM t WHERE p_size < 5 UNION ALL
+SELECT 'p_size:above_range', count(*) FROM t WHERE p_size > 40 UNION ALL SELECT 'p_retailprice:below_range', count(*) FROM t WHERE p_retailprice < 0 UNION ALL SELECT 'p_name:not_null', count(*) FROM t WHERE p_name IS NULL UNION ALL
+SELECT 'p_brand:unique', count(*) - count(DISTINCT p_brand) FROM t) WHERE n > 0"""
+)
+def validation_constraints(spark, d):
+    return _comparison(spark, d)[0].filter("family = 'constraint'").select("family", "name", "statistic", "passed")
+
+
+def _sql_ks(c: str) -> str:
+    return f"""SELECT 'distribution' AS family, '{c}' AS name, round(max(abs(gap)), 4)::DOUBLE AS statistic, 'ks_asymptotic' AS detail FROM (SELECT sum(a) OVER (ORDER BY v) / sum(a) OVER () - sum(b) OVER (ORDER BY v) / sum(b) OVER () AS gap
+  FROM (SELECT v, sum(a) AS a, sum(b) AS b FROM (SELECT {c}::DOUBLE AS v, 1 AS a, 0 AS b FROM l UNION ALL SELECT {c}, 0, 1 FROM r) GROUP BY v))"""
+
+
+def _sql_shared(c: str) -> str:
+    return f"(SELECT count(*) FROM (SELECT {c} FROM l INTERSECT SELECT {c} FROM r))"
+
+
+_COMPARED = ("p_size", "p_retailprice", "p_brand", "p_name")
+_SQL_TESTS = f"""WITH l AS (SELECT * FROM part WHERE p_size % 2 = 0), r AS (SELECT * FROM part WHERE p_size % 2 = 1), brands AS (SELECT p_brand, sum(a) AS a, sum(b) AS b FROM (SELECT p_brand, 1 AS a, 0 AS b FROM l UNION ALL SELECT p_brand, 0, 1 FROM r) GROUP BY 1),
+leaks AS ({" UNION ALL ".join(f"SELECT '{c}' AS name, round({_sql_shared(c)} * 100 / (SELECT count(DISTINCT {c}) FROM l), 2) AS percent" for c in _COMPARED)})
+{_sql_ks("p_size")} UNION ALL {_sql_ks("p_retailprice")}
+UNION ALL SELECT 'distribution', 'p_brand', sum((b - e) * (b - e) / e), 'chi_square' FROM (SELECT b, a / sum(a) OVER () * sum(b) OVER () AS e FROM brands)
+UNION ALL SELECT 'distribution', 'p_name', round({_sql_shared("p_name")} / (SELECT count(*) FROM (SELECT p_name FROM l UNION SELECT p_name FROM r)), 4), 'jaccard'
+UNION ALL SELECT 'correlation', 'p_size/p_retailprice', abs((SELECT corr(p_size, p_retailprice) FROM l) - (SELECT corr(p_size, p_retailprice) FROM r)), CAST(NULL AS VARCHAR)
+UNION ALL SELECT 'privacy', name, percent, CASE WHEN percent < 5 THEN 'LOW' WHEN percent < 15 THEN 'MEDIUM' WHEN percent < 30 THEN 'HIGH' ELSE 'CRITICAL' END FROM leaks"""
+
+
+@query(f"SELECT family, name, round(statistic, 6) AS statistic, detail FROM ({_SQL_TESTS})")
 def validation_tests(spark, d):
-    return _comparison(spark, d)[0]
+    """p-values are left to the tests of the closed forms: SQL has no incomplete gamma function."""
+    return rounded(_comparison(spark, d)[0].filter("family <> 'constraint'").select("family", "name", "statistic", "detail"))
 
 
 @query()
@@ -782,6 +995,11 @@ def upload_demographics(spark, d):
     return pipeline.upload(health_table(spark, d))["synthetic_demographics"]
 
 
-@query()
+_SQL_CUSTOMER_SCORES = _SQL_SCORES.replace(_SQL_PEOPLE[:-1], _sql_families({"customer": _CUSTOMER})[:-1].replace(_sql_long({"customer": _CUSTOMER}), _sql_long({"customer": _CUSTOMER}, ("c_acctbal",)), 1), 1)
+
+
+@query(_SQL_CUSTOMER_SCORES[:-1] + f", {_SQL_NOTES} SELECT *, (SELECT string_agg(column_name || ':' || n_families || ':' || printf('%.4f', overall_risk_score), ' | ' ORDER BY column_name) FROM scores) AS columns FROM notes")
 def privacy_report(spark, d):
-    return privacy.report(table(spark, d, "customer"))
+    one = lambda x: F.concat_ws(":", x.column_name, x.n_families.cast("string"), F.format_string("%.4f", x.overall_risk_score))
+    found = privacy.report(table(spark, d, "customer")).withColumn("columns", F.transform("columns", one))
+    return _joined(found, "priority_actions", "compliance_notes", "columns")

@@ -7,6 +7,8 @@ import io
 import json
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,8 @@ from pyspark.sql import types as T
 
 from ..operators import clean
 from ..operators.split import sample_rows
+from ..settings import Settings
+from . import xlsx
 
 DELIMITERS = (",", "\t", ";", "|", ":")
 PROBE_BYTES = 10_000
@@ -55,17 +59,36 @@ def detect_delimiter(text: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, skip_bad: bool = False) -> DataFrame:
-    """All columns as text; quotes and line breaks inside quotes are understood."""
+    """All columns as text; quotes and line breaks inside quotes are understood.  ``skip_bad`` leaves out rows with
+    more fields than the header."""
     if sep is None or encoding is None:
         head = _head(spark, path, PROBE_BYTES)
         encoding = encoding or detect_encoding(head)
         sep = sep or detect_delimiter(head.decode(encoding, "replace"))
-    reader = spark.read.option("header", True).option("inferSchema", False).option("sep", sep).option("encoding", encoding)
-    return reader.option("multiLine", True).option("escape", '"').option("mode", "DROPMALFORMED" if skip_bad else "PERMISSIVE").csv(path)
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", True).option("escape", '"')
+    rows = reader.option("inferSchema", False).csv(path)
+    if not skip_bad:
+        return rows
+    wide = reader.schema(T.StructType([*(T.StructField(f"c{k}", T.StringType()) for k in range(len(rows.columns))), T.StructField("beyond", T.StringType())]))
+    return wide.csv(path).filter("beyond IS NULL").drop("beyond").toDF(*rows.columns)
+
+
+def has_bad_rows(spark: SparkSession, path: str) -> bool:
+    """Whether some row has more fields than the header, by the detected encoding and delimiter."""
+    head = _head(spark, path, PROBE_BYTES)
+    encoding = detect_encoding(head)
+    sep = detect_delimiter(head.decode(encoding, "replace"))
+    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("multiLine", True).option("escape", '"')
+    n = len(reader.csv(path).columns)
+    wide = reader.schema(", ".join([*(f"c{k} string" for k in range(n)), "beyond string"])).csv(path)
+    return bool(wide.filter("beyond IS NOT NULL").head(1))
 
 
 def ingest_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Robust text ingest: detected encoding and delimiter, all text, cleaned headers, null spellings removed."""
+    """Robust text ingest: detected encoding and delimiter, all text, cleaned headers, null spellings removed.  A file
+    with broken rows is read again as Latin-1 with commas, without them."""
+    if has_bad_rows(spark, path):
+        return clean.basic_clean(read_csv(spark, path, ",", "ISO-8859-1", skip_bad=True))
     return clean.basic_clean(read_csv(spark, path))
 
 
@@ -116,23 +139,23 @@ def ingest_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_excel(spark: SparkSession, path: str, all_sheets: bool = True) -> DataFrame:
-    """Worksheets as text, tagged ``_sheet_name``; a sheet that fails is skipped.  Needs openpyxl."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise ReaderUnavailable("reading .xlsx and .xls needs openpyxl, which is not installed") from e
+    """Worksheets of .xlsx files as text, tagged ``_sheet_name``; a sheet that fails is skipped.  Each workbook is one
+    task's work, a row at a time.  The older .xls is not read."""
+    if path.lower().endswith(".xls"):
+        raise ReaderUnavailable("the binary .xls format is not read; save the workbook as .xlsx")
     raw = spark.read.format("binaryFile").load(path).select("content")
 
-    def sheets(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                book = pd.read_excel(io.BytesIO(content), sheet_name=None if all_sheets else 0, dtype=str)
-                for name, sheet in (book.items() if all_sheets else [("0", book)]):
-                    for record in sheet.where(sheet.notna(), None).to_dict("records"):
-                        yield pd.DataFrame({"_sheet_name": [str(name)], "record": [json.dumps(record)]})
+                for name, records in islice(xlsx.sheets(content), None if all_sheets else 1):
+                    try:
+                        while part := list(islice(records, 10_000)):
+                            yield pd.DataFrame({"_sheet_name": name, "record": [json.dumps(r) for r in part]})
+                    except (KeyError, ValueError, IndexError, ElementTree.ParseError):
+                        continue
 
-    rows = raw.mapInPandas(sheets, "_sheet_name string, record string")
-    return _records(rows, "record", ["_sheet_name"])
+    return _records(raw.mapInPandas(rows, "_sheet_name string, record string"), "record", ["_sheet_name"])
 
 
 def _records(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
@@ -143,6 +166,7 @@ def _records(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
 
 
 def _members(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(member, record, error): a row for each record, and one without a record for each member that fails."""
     for batch in batches:
         for content in batch["content"]:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
@@ -151,15 +175,25 @@ def _members(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if name.endswith("/") or base.startswith(".") or "__MACOSX" in name:
                         continue
                     try:
-                        records = list(_member_records(base, archive.read(name)))
-                    except Exception:  # a file that fails is skipped, as documented
-                        continue
-                    if records:
-                        yield pd.DataFrame({"_source_file": [name] * len(records), "record": [json.dumps(r) for r in records]})
+                        found = [(name, json.dumps(r), None) for r in _member_records(base, archive.read(name))]
+                    except Exception as e:  # a member that fails is skipped by read_zip and listed by member_report
+                        found = [(name, None, f"{type(e).__name__}: {e}")]
+                    if found:
+                        yield pd.DataFrame(found, columns=["member", "record", "error"], dtype=object)
+
+
+_MEMBER = "member string, record string, error string"
 
 
 def _member_records(name: str, data: bytes) -> Iterator[dict]:
     kind = name.rsplit(".", 1)[-1].lower()
+    if kind == "xlsx":
+        for sheet, records in xlsx.sheets(data):
+            for record in records:
+                yield {**record, "_sheet_name": sheet}
+        return
+    if kind == "xls":
+        raise ReaderUnavailable("the binary .xls format is not read")
     text = data.decode(detect_encoding(data[:PROBE_BYTES]), "replace")
     if kind == "csv":
         for row in _csv.DictReader(io.StringIO(text)):
@@ -183,10 +217,31 @@ def _flat(record: dict, prefix: str = "") -> dict:
 
 
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """CSV and JSON members of archives, as text, with ``_source_file``; files that fail, hidden files and nested
-    archives are skipped.  Each archive is one task's work."""
+    """CSV, JSON and .xlsx members of archives, as text, with ``_source_file``; files that fail (see
+    :func:`member_report`), hidden files and nested archives are skipped.  Each archive is one task's work."""
     raw = spark.read.format("binaryFile").load(path).select("content")
-    return _records(raw.mapInPandas(_members, "_source_file string, record string"), "record", ["_source_file"])
+    rows = raw.mapInPandas(_members, _MEMBER).filter("record IS NOT NULL").withColumnRenamed("member", "_source_file")
+    return _records(rows, "record", ["_source_file"])
+
+
+def member_report(spark: SparkSession, path: str) -> DataFrame:
+    """(member, records, error) of archives: how many records each member gave, or why it gave none."""
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    return raw.mapInPandas(_members, _MEMBER).groupBy("member").agg(F.count("record").alias("records"), F.max("error").alias("error"))
+
+
+def read_upload(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV, .xlsx or ZIP upload.  Other kinds, and uploads without rows, raise ValueError."""
+    kind = path.lower().rsplit(".", 1)[-1]
+    if kind not in ("csv", "xlsx", "zip"):
+        raise ValueError("unsupported file format: CSV, XLSX or ZIP is expected")
+    if kind == "csv":
+        df = read_csv(spark, path, ",", skip_bad=True)
+    else:
+        df = read_zip(spark, path) if kind == "zip" else read_excel(spark, path, all_sheets=False)
+    if not df.columns or not df.head(1):
+        raise ValueError("no data in the uploaded file")
+    return df
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -201,13 +256,16 @@ def file_info(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", ext.alias("extension"), F.col("length").alias("size_bytes"), ext.isin(*READERS).alias("supported"), F.col("modificationTime").alias("modified"))
 
 
-def ingest(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
-    """(rows, metadata) by extension; other extensions raise ValueError."""
+def ingest(spark: SparkSession, path: str, settings: Settings | None = None) -> tuple[DataFrame, dict]:
+    """(rows, metadata) by extension; other extensions raise ValueError, and so do files beyond the limit of
+    ``settings``, where these are given."""
     ext = "." + path.rsplit(".", 1)[-1].lower()
     if ext not in READERS:
         raise ValueError(f"unsupported file type: {ext}")
-    df = READERS[ext](spark, path)
     info = file_info(spark, path).first()
+    if settings and info.size_bytes > settings.max_file_bytes:
+        raise ValueError(f"{path} has {info.size_bytes} bytes, more than {settings.max_file}")
+    df = READERS[ext](spark, path)
     return df, {"path": path, "size_bytes": info.size_bytes, "rows": df.count(), "columns": len(df.columns), "dtypes": dict(df.dtypes)}
 
 

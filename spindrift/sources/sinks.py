@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 
 
+CHUNK = 1 << 20
+
+
 def csv_columns(df: DataFrame) -> list[str]:
     """Claims order if any row has a MEMBER_ID, else demographics order, then the other columns sorted."""
     has_member = "MEMBER_ID" in df.columns and df.filter(F.col("MEMBER_ID").isNotNull() & (F.col("MEMBER_ID") != "")).head(1)
@@ -40,32 +44,51 @@ def write_report(df: DataFrame, path: str) -> None:
     report_document(df).write.mode("overwrite").text(path)
 
 
+class _JvmStream(io.RawIOBase):
+    """A stream of the JVM to write to."""
+
+    def __init__(self, stream) -> None:
+        self.stream = stream
+
+    def writable(self) -> bool:
+        return True
+
+    def write(self, data) -> int:
+        self.stream.write(bytearray(data))
+        return len(data)
+
+
+def _chunks(jvm, stream) -> Iterator[bytes]:
+    take = lambda: bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, CHUNK)))
+    return iter(take, b"")
+
+
 def package(spark: SparkSession, folders: dict[str, str], target: str, readme: str | None = None) -> None:
     """One archive of written folders: member name -> folder of part files, joined in order, by Hadoop's file systems.
 
-    Part files stream through the driver one at a time; archives are meant for results of download size.
+    Bytes stream through the driver, CHUNK at a time; archives are meant for results of download size.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    buffer = io.BytesIO()
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    sink = _JvmStream(path.getFileSystem(conf).create(path, True))
+    buffer = io.BufferedWriter(sink, CHUNK)
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as archive:
         for member, folder in folders.items():
             root = jvm.org.apache.hadoop.fs.Path(folder)
             fs = root.getFileSystem(conf)
             parts = sorted(str(s.getPath()) for s in fs.listStatus(root) if s.getPath().getName().startswith("part-"))
-            with archive.open(member, "w") as out:
+            with archive.open(member, "w", force_zip64=True) as out:
                 for k, part in enumerate(parts):
                     stream = fs.open(jvm.org.apache.hadoop.fs.Path(part))
-                    data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+                    for n, data in enumerate(_chunks(jvm, stream)):
+                        if k and not n and member.endswith(".csv"):
+                            data = data.split(b"\n", 1)[-1]  # each part has the header
+                        out.write(data)
                     stream.close()
-                    if k and member.endswith(".csv"):
-                        data = data.split(b"\n", 1)[-1]  # each part has the header
-                    out.write(data)
         if readme:
             archive.writestr("README.txt", readme)
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    stream = path.getFileSystem(conf).create(path, True)
-    stream.write(bytearray(buffer.getvalue()))
-    stream.close()
+    buffer.flush()
+    sink.stream.close()
 
 
 def write_synthetic(df: DataFrame, folder: str) -> None:
