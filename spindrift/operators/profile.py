@@ -1,8 +1,10 @@
 """Column and dataset profiles.
 
-Value-based statistics start from one table of value frequencies (column, value, n): a single aggregation with
-map-side combine serves counts, distinct counts, top values, entropy, type shares and patterns, and regular
-expressions run once for each distinct value.  Numeric columns get their moments and quantiles in one wide aggregate.
+Statistics of a column are sums over its *cells* (column, value, n): grouped by column they are combined where the rows
+lie, so no value is shuffled.  Distinct values are counted by 128-bit hashes.  Only what names values (top values,
+entropy, samples) needs the table of value *frequencies*, the same three columns with each value once; every function
+below takes either, cells with the distinct counts beside them.  Numeric columns get their moments and quantiles in one
+wide aggregate.
 """
 
 from __future__ import annotations
@@ -23,26 +25,49 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if t in NUMERIC_TYPES or t.startswith("decimal")]
 
 
-def frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value, n): how often each column holds each value, as text; null counts as a value here."""
+def cells(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column_name, value, n): every cell as text with n = 1; nothing is grouped yet."""
     columns = list(columns or df.columns)
     kinds = dict(df.dtypes)
     texts = [E.to_text(F.col(f"`{c}`"), kinds[c]).alias(c) for c in columns]
-    long = df.select(*texts).unpivot([], columns, "column_name", "value")
-    return long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    return df.select(*texts).unpivot([], columns, "column_name", "value").withColumn("n", F.lit(1).cast("long"))
+
+
+def frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column_name, value, n): how often each column holds each value, as text; null counts as a value here.  Shuffles
+    the distinct values."""
+    return cells(df, columns).groupBy("column_name", "value").agg(F.count("*").alias("n"))
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column_name, unique_count): how many values each column has, by two hashes of 64 bits, which are all that is
+    shuffled."""
+    hashed = cells(df, columns).filter(F.col("value").isNotNull()).select("column_name", F.xxhash64("value").alias("a"), F.xxhash64(F.lit(1), "value").alias("b"))
+    return hashed.groupBy("column_name", "a", "b").agg(F.lit(1).alias("one")).groupBy("column_name").agg(F.count("*").alias("unique_count"))
+
+
+def aggregate(values: DataFrame, unique: DataFrame | None, *sums: Column) -> DataFrame:
+    """One row for each column: ``sums``, total_count, null_count and unique_count, which come from ``unique`` or, where
+    each value is there once, from the values themselves."""
+    own = [] if unique is not None else [F.count("value").alias("unique_count")]
+    total = [F.sum("n").alias("total_count"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count")]
+    found = values.groupBy("column_name").agg(*total, *own, *sums)
+    return found if unique is None else found.join(unique, "column_name", "left").withColumn("unique_count", F.coalesce("unique_count", F.lit(0)))
+
+
+def rates(found: DataFrame) -> DataFrame:
+    return found.withColumns({
+        "non_null_count": F.col("total_count") - F.col("null_count"),
+        "null_rate": E.ratio(F.col("null_count"), F.col("total_count")), "cardinality_rate": E.ratio(F.col("unique_count"), F.col("total_count")),
+    })
+
+
+COUNTS = ("column_name", "total_count", "null_count", "non_null_count", "unique_count", "null_rate", "cardinality_rate")
 
 
-def counts(freq: DataFrame) -> DataFrame:
+def counts(values: DataFrame, unique: DataFrame | None = None) -> DataFrame:
     """total, null, non-null and distinct counts with null_rate and cardinality_rate (distinct / all rows)."""
-    found = freq.groupBy("column_name").agg(
-        F.sum("n").alias("total_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("null_count"),
-        F.count("value").alias("unique_count"),
-    )
-    return found.select(
-        "column_name", "total_count", "null_count", (F.col("total_count") - F.col("null_count")).alias("non_null_count"), "unique_count",
-        E.ratio(F.col("null_count"), F.col("total_count")).alias("null_rate"), E.ratio(F.col("unique_count"), F.col("total_count")).alias("cardinality_rate"),
-    )
+    return rates(aggregate(values, unique)).select(*COUNTS)
 
 
 def approximate_counts(df: DataFrame, columns: Sequence[str] | None = None, error: float = 0.02) -> DataFrame:
@@ -91,30 +116,36 @@ def _classes() -> dict[str, Column]:
     }
 
 
-def type_hints(freq: DataFrame) -> DataFrame:
-    """column_name and data_type_hint: empty, integer, float, currency, date, boolean, categorical or text."""
-    flagged = freq.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in _classes().items()})
-    sums = [F.coalesce(F.sum(F.when(F.col(k), F.col("n"))), F.lit(0)).alias(k) for k in _classes()]
-    found = flagged.groupBy("column_name").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"), F.count("value").alias("distinct"), *sums
-    )
-    share = lambda k: E.ratio(F.col(k), F.col("filled"))
-    hint = (
-        F.when(F.col("filled") == 0, "empty")
+def _class_sums() -> list[Column]:
+    return [F.coalesce(F.sum(F.when(F.coalesce(v, F.lit(False)), F.col("n"))), F.lit(0)).alias(k) for k, v in _classes().items()]
+
+
+def _hint() -> Column:
+    """From the sums of classes, non_null_count and unique_count."""
+    share = lambda k: E.ratio(F.col(k), F.col("non_null_count"))
+    return (
+        F.when(F.col("non_null_count") == 0, "empty")
         .when(share("is_numeric") >= 0.8, F.when(F.col("is_integral") > F.col("is_numeric") - F.col("is_integral"), "integer").otherwise("float"))
         .when(share("is_currency") >= 0.7, "currency")
         .when(share("is_date") >= 0.7, "date")
         .when(share("is_boolean") >= 0.8, "boolean")
-        .when((share("distinct") <= 0.1) & (F.col("distinct") <= 50), "categorical")
+        .when((share("unique_count") <= 0.1) & (F.col("unique_count") <= 50), "categorical")
         .otherwise("text")
     )
-    return found.select("column_name", hint.alias("data_type_hint"))
 
 
-def pattern_counts(freq: DataFrame) -> DataFrame:
+def type_hints(values: DataFrame, unique: DataFrame | None = None) -> DataFrame:
+    """column_name and data_type_hint: empty, integer, float, currency, date, boolean, categorical or text."""
+    return rates(aggregate(values, unique, *_class_sums())).select("column_name", _hint().alias("data_type_hint"))
+
+
+def pattern_sums() -> list[Column]:
+    return [F.coalesce(F.sum(F.when(E.matches(F.col("value"), p), F.col("n"))), F.lit(0)).alias(k) for k, p in P.VALUE_PATTERNS.items()]
+
+
+def pattern_counts(values: DataFrame) -> DataFrame:
     """Rows whose value matches each of the six value patterns."""
-    sums = [F.coalesce(F.sum(F.when(E.matches(F.col("value"), p), F.col("n"))), F.lit(0)).alias(k) for k, p in P.VALUE_PATTERNS.items()]
-    return freq.groupBy("column_name").agg(*sums)
+    return values.groupBy("column_name").agg(*pattern_sums())
 
 
 def numeric_statistics(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
@@ -188,10 +219,11 @@ def issues() -> Column:
     )
 
 
-def profile_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row for each column: counts, type hint, pattern counts, quality score and issues."""
-    freq = frequencies(df, columns)
-    table = counts(freq).join(type_hints(freq), "column_name").join(pattern_counts(freq), "column_name")
+def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, *more: Column) -> DataFrame:
+    """One row for each column: counts, type hint, pattern counts, quality score and issues, and ``more`` sums over the
+    cells, all in one aggregate that is combined in place."""
+    found = rates(aggregate(cells(df, columns), distinct_counts(df, columns), *_class_sums(), *pattern_sums(), *more))
+    table = found.withColumn("data_type_hint", _hint()).drop(*_classes())
     return table.withColumn("quality_score", quality_score()).withColumn("issues", issues())
 
 

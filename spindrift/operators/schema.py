@@ -32,11 +32,10 @@ def sql_type(hint: Column, low: Column, high: Column, longest: Column, distinct:
     )
 
 
-def _lengths(freq: DataFrame) -> DataFrame:
+def _length_sums() -> list[Column]:
     x = E.amount(F.col("value"))
-    return freq.groupBy("column_name").agg(
-        F.min(x).alias("low"), F.max(x).alias("high"), F.max(F.length("value")).cast("long").alias("longest"), F.min(F.length("value")).cast("long").alias("shortest")
-    )
+    longest, shortest = (f(F.length("value")).cast("long") for f in (F.max, F.min))
+    return [F.min(x).alias("low"), F.max(x).alias("high"), longest.alias("longest"), shortest.alias("shortest")]
 
 
 def primary_key_score() -> Column:
@@ -63,11 +62,13 @@ def key_scores(profile: DataFrame) -> DataFrame:
     )
 
 
-def special_patterns(freq: DataFrame) -> DataFrame:
-    """Medical patterns that over 0.7 of a column's non-null values match, and what the column's name suggests."""
+def _medical_sums() -> list[Column]:
     v = F.col("value")
     share = lambda p: E.ratio(F.sum(F.when(E.matches(v, p), F.col("n"))), F.sum(F.when(v.isNotNull(), F.col("n"))))
-    found = freq.groupBy("column_name").agg(*((share(p) > 0.7).alias(k) for k, p in P.MEDICAL.items()))
+    return [(share(p) > 0.7).alias(k) for k, p in P.MEDICAL.items()]
+
+
+def _named(found: DataFrame) -> DataFrame:
     name = F.lower("column_name")
     has = lambda words: reduce(lambda a, b: a | b, (name.contains(w) for w in words))
     return found.withColumns({
@@ -75,6 +76,11 @@ def special_patterns(freq: DataFrame) -> DataFrame:
     })
 
 
+def special_patterns(values: DataFrame) -> DataFrame:
+    """Medical patterns that over 0.7 of a column's non-null values match, and what the column's name suggests."""
+    return _named(values.groupBy("column_name").agg(*_medical_sums()))
+
+
 def numeric_constraints(statistics: DataFrame) -> DataFrame:
     """Bounds, sign and what a range suggests, from :func:`profile.numeric_statistics`."""
     low, high = F.col("min"), F.col("max")
@@ -123,10 +129,15 @@ def _all():
 
 
 def infer(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row for each column: profile, SQL type, key scores, format, special patterns, domain."""
-    freq = prof.frequencies(df, columns)
-    table = prof.counts(freq).join(prof.type_hints(freq), "column_name").join(prof.pattern_counts(freq), "column_name")
-    table = table.withColumn("quality_score", prof.quality_score()).join(_lengths(freq), "column_name").join(special_patterns(freq), "column_name").join(ordinal_columns(freq), "column_name", "left")
+    """One row for each column: profile, SQL type, key scores, format, special patterns, domain, and whether a
+    categorical column is ordinal.  The profile, one row for each column, is collected, so that values are counted
+    of categorical columns alone."""
+    columns = list(columns or df.columns)
+    table = _named(prof.profile_columns(df, columns, *_length_sums(), *_medical_sums()).drop("issues"))
+    table = df.sparkSession.createDataFrame(table.collect(), table.schema)
+    scales = [r.column_name for r in table.filter("data_type_hint = 'categorical'").collect()]
+    ordinal = ordinal_columns(prof.frequencies(df, scales)) if scales else df.sparkSession.createDataFrame([], "column_name string, is_ordinal boolean")
+    table = table.join(ordinal, "column_name", "left").withColumn("is_ordinal", F.coalesce("is_ordinal", F.lit(False)))
     hint = F.col("data_type_hint")
     name = F.lower("column_name")
     geo = reduce(lambda a, b: a | b, (name.contains(w) for w in ("zip", "state", "country", "city", "address")))
@@ -179,30 +190,30 @@ def named_type(column: str) -> str | None:
     return next((kind for word, kind in P.NAME_TYPES.items() if word in parts or (word in column.lower() and "_" in word)), None)
 
 
-def field_types(df: DataFrame, freq: DataFrame) -> DataFrame:
-    """(column_name, type): by name, by physical type, else by shares over all non-null values."""
-    kinds = dict(df.dtypes)
+def _field_sums() -> list[Column]:
     v = F.col("value")
     number = E.number(v)
     n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     dated = reduce(lambda a, b: a | b, (E.matches(v, p) for p in P.DATE_PREFIXES))
-    sums = freq.groupBy("column_name").agg(
-        n(v.isNotNull()).alias("filled"), F.sum("n").alias("total"), F.count("value").alias("distinct"), n(dated).alias("dates"), n(number.isNotNull()).alias("numbers"),
-        n(number == F.floor(number)).alias("integral"), F.coalesce(F.min(F.when(v.isNotNull(), F.lower(v).isin(*P.BOOLEANS).cast("int"))), F.lit(0)).alias("all_boolean"),
-    )
+    truths = F.coalesce(F.min(F.when(v.isNotNull(), F.lower(v).isin(*P.BOOLEANS).cast("int"))), F.lit(0))
+    return [n(dated).alias("dates"), n(number.isNotNull()).alias("numbers"), n(number == F.floor(number)).alias("integral"), truths.alias("all_boolean")]
+
+
+def field_type(df: DataFrame) -> Column:
+    """Type of a field: by name, by physical type, else by shares over all non-null values."""
+    kinds = dict(df.dtypes)
     share = lambda a, b: E.ratio(F.col(a), F.col(b))
     guessed = (
-        F.when(F.col("filled") == 0, "unknown").when(share("dates", "filled") > 0.5, "datetime")
-        .when(share("numbers", "filled") > 0.8, F.when(share("integral", "numbers") > 0.9, "integer").otherwise("float"))
-        .when((F.col("all_boolean") == 1) & (F.col("distinct") <= 2), "boolean")
-        .when((share("distinct", "total") < 0.1) & (F.col("distinct") < 50), "categorical").otherwise("string")
+        F.when(F.col("non_null_count") == 0, "unknown").when(share("dates", "non_null_count") > 0.5, "datetime")
+        .when(share("numbers", "non_null_count") > 0.8, F.when(share("integral", "numbers") > 0.9, "integer").otherwise("float"))
+        .when((F.col("all_boolean") == 1) & (F.col("unique_count") <= 2), "boolean")
+        .when((share("unique_count", "total_count") < 0.1) & (F.col("unique_count") < 50), "categorical").otherwise("string")
     )
     physical = {"boolean": "boolean", "date": "datetime", "timestamp": "datetime", "timestamp_ntz": "datetime"}
     known = {}
     for c, t in kinds.items():
         known[c] = named_type(c) or physical.get(t) or ("integer" if t in ("int", "bigint", "smallint", "tinyint") else "float" if t in ("float", "double") or t.startswith("decimal") else None)
-    lookup = reduce(lambda a, kv: F.when(F.col("column_name") == kv[0], F.lit(kv[1])).otherwise(a), ((c, k) for c, k in known.items() if k), guessed)
-    return sums.select("column_name", lookup.alias("type"))
+    return reduce(lambda a, kv: F.when(F.col("column_name") == kv[0], F.lit(kv[1])).otherwise(a), ((c, k) for c, k in known.items() if k), guessed)
 
 
 def field_schema(df: DataFrame, columns: Sequence[str] | None = None, hints: bool = False) -> DataFrame:
@@ -210,8 +221,8 @@ def field_schema(df: DataFrame, columns: Sequence[str] | None = None, hints: boo
 
     With ``hints`` the nine healthcare hints override the inferred type and range.
     """
-    freq = prof.frequencies(df, columns)
-    table = prof.counts(freq).join(field_types(df, freq), "column_name").join(_lengths(freq), "column_name")
+    found = prof.rates(prof.aggregate(prof.cells(df, columns), prof.distinct_counts(df, columns), *_field_sums(), *_length_sums()))
+    table = found.select(*prof.COUNTS, field_type(df).alias("type"), "low", "high", "longest", "shortest")
     pct = lambda a: F.round(E.ratio(F.col(a) * 100.0, F.col("total_count")), 2)
     table = table.withColumns({"nullable": F.col("null_count") > 0, "null_percentage": pct("null_count"), "unique_percentage": pct("unique_count")})
     name = F.lower("column_name")
@@ -279,7 +290,7 @@ def field_details(df: DataFrame, fields: DataFrame, exact: bool = True) -> DataF
 def text_constraints(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     """Lengths, character classes, format and fixed length of text columns, as the library's schema has them."""
     stats = prof.text_statistics(df, columns, exact)
-    counted = prof.pattern_counts(prof.frequencies(df, columns)).join(prof.counts(prof.frequencies(df, columns)).select("column_name", "total_count"), "column_name")
+    counted = prof.cells(df, columns).groupBy("column_name").agg(F.sum("n").alias("total_count"), *prof.pattern_sums())
     fixed = (F.col("min_length") == F.col("max_length")) & (F.col("min_length") > 0)
     return stats.join(counted, "column_name").select(
         "column_name", "min_length", "max_length", "avg_length", (F.col("contains_digits") > 0).alias("has_numbers"), (F.col("contains_special") > 0).alias("has_special_chars"),

@@ -169,7 +169,8 @@ _LONG_ORDERS = _sql_profile({"orders": _ORDERS}, ("o_totalprice",))
 
 @query(_LONG_CUSTOMER + "SELECT column_name, total_count, null_count, non_null_count, unique_count, round(null_rate, 6) AS null_rate, round(cardinality_rate, 6) AS cardinality_rate FROM base")
 def column_counts(spark, d):
-    return rounded(profile.counts(profile.frequencies(table(spark, d, "customer"))))
+    customer = table(spark, d, "customer")
+    return rounded(profile.counts(profile.cells(customer), profile.distinct_counts(customer)))
 
 
 @query()
@@ -228,12 +229,13 @@ def top_values(spark, d):
 
 @query(_LONG_ORDERS + "SELECT column_name, data_type_hint FROM base")
 def type_hints(spark, d):
-    return profile.type_hints(profile.frequencies(table(spark, d, "orders"), _ORDERS))
+    orders = table(spark, d, "orders")
+    return profile.type_hints(profile.cells(orders, _ORDERS), profile.distinct_counts(orders, _ORDERS))
 
 
 @query("SELECT 'text' AS column_name, " + ", ".join(f"count(*) FILTER (WHERE regexp_matches(text, '{p}')) AS {k}" for k, p in P.VALUE_PATTERNS.items()) + " FROM documents")
 def pattern_counts(spark, d):
-    return profile.pattern_counts(profile.frequencies(table(spark, d, "documents"), ["text"]))
+    return profile.pattern_counts(profile.cells(table(spark, d, "documents"), ["text"]))
 
 
 @query(
@@ -315,7 +317,7 @@ SELECT column_name, first_name_matches, last_name_matches, round(first_name_rate
 )
 def pii_names(spark, d):
     people = health_table(spark, d).filter("ID IS NOT NULL")
-    found = privacy.scan_names(profile.frequencies(people, ["LAST_NAME"]))
+    found = privacy.scan_names(profile.cells(people, ["LAST_NAME"]))
     return rounded(found.select("column_name", "first_name_matches", "last_name_matches", "first_name_rate", "last_name_rate", "confidence"))
 
 
@@ -325,9 +327,9 @@ scores AS (SELECT c.column_name, count(family) AS n_families, least(coalesce(sum
 
 
 def _people_scores(spark, d):
-    freq = profile.frequencies(health_table(spark, d), _PEOPLE)
-    found = privacy.detect(freq)
-    return privacy.column_scores(found, freq.select("column_name").distinct()), found
+    people = health_table(spark, d)
+    found = privacy.detect(profile.cells(people, _PEOPLE))
+    return privacy.column_scores(found, privacy.names_of(people, _PEOPLE)), found
 
 
 @query(_SQL_SCORES + "SELECT column_name, n_families, round(overall_risk_score, 6) AS overall_risk_score FROM scores")
@@ -658,7 +660,7 @@ def schema_relationships(spark, d):
   regexp_matches(lower(column_name), 'date|time|created|updated') AS likely_temporal FROM long GROUP BY column_name"""
 )
 def special_patterns(spark, d):
-    return schema.special_patterns(profile.frequencies(health_table(spark, d), ["DIAGNOSIS_CODE", "PROCEDURE_CODE", "CLAIM_ID"]))
+    return schema.special_patterns(profile.cells(health_table(spark, d), ["DIAGNOSIS_CODE", "PROCEDURE_CODE", "CLAIM_ID"]))
 
 
 @query(
@@ -686,7 +688,7 @@ SELECT column_name, count(*) FILTER (WHERE v IN ('true', '1', 'yes', 'y')) AS tr
 FROM (SELECT column_name, lower(value) AS v FROM long) GROUP BY column_name"""
 )
 def boolean_columns(spark, d):
-    return schema.boolean_columns(profile.frequencies(spark.sql(_FLAGGED, lines=table(spark, d, "lineitem"))))
+    return schema.boolean_columns(profile.cells(spark.sql(_FLAGGED, lines=table(spark, d, "lineitem"))))
 
 
 _SCALED = """SELECT o_orderpriority, o_orderstatus, CASE o_orderkey % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'medium' ELSE 'odd' END AS level, CASE o_orderkey % 3 WHEN 0 THEN '1st' WHEN 1 THEN '2nd' ELSE '3rd place' END AS place FROM {orders}"""
@@ -753,12 +755,12 @@ def field_type_histogram(spark, d):
 SELECT column_name, coalesce({", ".join(f"CASE WHEN count(*) FILTER (WHERE regexp_matches(value, '{p}')) / nullif(count(value), 0) > 0.8 THEN '{p}' END" for p in P.PIPELINE_IDS)}) AS pattern FROM long GROUP BY column_name"""
 )
 def identifier_patterns(spark, d):
-    return schema.identifier_patterns(profile.frequencies(health_table(spark, d), ["CLAIM_ID", "ID", "DIAGNOSIS_CODE"]))
+    return schema.identifier_patterns(profile.cells(health_table(spark, d), ["CLAIM_ID", "ID", "DIAGNOSIS_CODE"]))
 
 
 @query(f"SELECT column_name, coalesce(max(length(split_part(value, '.', 2))), 0) AS decimal_places FROM ({_sql_long({'lineitem': ['l_discount', 'l_quantity']}, ('l_discount', 'l_quantity'))}) GROUP BY column_name")
 def decimal_places(spark, d):
-    return schema.decimal_places(profile.frequencies(table(spark, d, "lineitem"), ["l_discount", "l_quantity"]))
+    return schema.decimal_places(profile.cells(table(spark, d, "lineitem"), ["l_discount", "l_quantity"]))
 
 
 #: A derived table with a field of every type, all of them text but one.
