@@ -21,9 +21,11 @@ from . import common as c
 UNDETERMINED = "und"
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 15
-#: Bounds of the labelled sample that the classifiers are fitted on: texts in all, and bytes of one text.
+#: Bounds of the labelled sample that the classifiers are fitted on: texts in all, bytes of one text, and languages, of
+#: which the most frequent ones are learned.
 SAMPLE_TEXTS = 2400
 SAMPLE_BYTES = 1 << 16
+MAX_LANGUAGES = 500
 AMBIGUOUS = 0.2
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -50,7 +52,8 @@ def gram_buckets(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """n rows of +-1.  Up to five languages: the exhaustive code; beyond: the best of some random codes."""
+    """n rows of +-1.  Up to five languages: the exhaustive code; beyond: the best of some random codes, whose columns
+    all tell other sets of languages apart: none repeats, mirrors another or has one side only."""
     if n <= 1:
         return np.ones((n, 1), dtype=np.int8)
     if n <= 5:
@@ -58,11 +61,14 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         return np.array(columns, dtype=np.int8).T
     width, rng, best = int(np.ceil(10 * np.log2(n))), np.random.default_rng(seed), None
     for _ in range(64):
-        code = rng.choice(np.array([-1, 1], dtype=np.int8), (n, width))
-        code[0] |= 1
+        drawn = rng.choice(np.array([-1, 1], dtype=np.int8), (n, 8 * width))
+        drawn = np.unique(drawn * drawn[0], axis=1)  # the first language is always on the same side
+        drawn = drawn[:, np.abs(drawn.sum(axis=0)) < n]
+        code = drawn[:, rng.permutation(drawn.shape[1])[:width]]
+        width = code.shape[1]
         inner = code.astype(np.int32) @ code.T
         far = (width - inner[~np.eye(n, dtype=bool)].max()) // 2
-        if (np.abs(code.sum(axis=0)) < n).all() and (best is None or far > best[0]):
+        if best is None or far > best[0]:
             best = (far, code)
     return best[1]
 
@@ -137,15 +143,13 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model | None:
     chosen by a hash of doc_id among documents that are not held out.  None if there are none."""
     known = docs.select("doc_id", "text", "lang").filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.filter(F.octet_length("text") <= SAMPLE_BYTES)
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return None
     quota = max(1, sample_texts // len(sizes))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for lang, size in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.1 * quota / size))).otherwise(share)
-    rows = known.withColumn("draw", draw).filter(F.col("draw") < share).toArrow()
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 1.1 * quota / size)) for lang, size in sizes.items()], "lang string, share double")
+    rows = known.withColumn("draw", draw).join(F.broadcast(shares), "lang").filter("draw < share").select("lang", "draw", "text").toArrow()  # shares: a row for each language
     rows = sorted(zip(rows.column("lang").to_pylist(), rows.column("draw").to_pylist(), rows.column("text").cast(pa.binary()).to_pylist()))
     kept, seen = [], dict.fromkeys(sizes, 0)
     for lang, _, text in rows:
@@ -177,7 +181,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """The columns of ``docs`` and lang_pred, score (0 to 1) and ambiguous, which replace columns of those names.
 
     Only ``text`` is looked at.  A null text and one without a letter are ``und`` with score 0, and so is every text
-    if nothing could be learned.
+    if nothing could be learned.  Null ids, repeated rows and an empty table give a row for each row; texts of any
+    length are scored whole, one at a time beyond a megabyte.
     """
     docs = docs.drop("lang_pred", "score", "ambiguous")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -15,6 +15,9 @@ def test_codewords():
         code = L.codewords(n)
         far = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
         assert far >= (2 ** (n - 2) if n <= 5 else code.shape[1] // 4)
+    for n in (6, 7, 12, 30):
+        code = L.codewords(n) * L.codewords(n)[0]
+        assert len(np.unique(code, axis=1).T) == code.shape[1] >= min(2 ** (n - 1) - 1, int(10 * np.log2(n))) and (np.abs(code.sum(axis=0)) < n).all()
 
 
 def test_learned_languages_on_held_out(spark):
