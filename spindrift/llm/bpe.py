@@ -14,6 +14,7 @@ pieces in lockstep; there is no other way to its tokens.
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
@@ -26,8 +27,8 @@ from pyspark.sql import DataFrame
 from . import common as c
 
 #: Bounds of the worker's memory: transitions (some 200 bytes each, with their states) and whole pieces (some 160 bytes each).
-MAX_TRANSITIONS = 400_000
-MAX_PIECES = 250_000
+MAX_TRANSITIONS = 1_000_000
+MAX_PIECES = 200_000
 #: Pieces beyond this many characters are not kept; texts are taken in parts of about this many.
 KEPT_CHARS, PART_CHARS = 64, 1 << 20
 #: Longer pieces run one after another, with this many transitions at hand.
@@ -53,42 +54,44 @@ class Moves:
     def __init__(self, most: int):
         bits = max(4, int(most).bit_length() + 1)
         self.shift, self.mask = 64 - bits, (1 << bits) - 1
-        self.keys, self.to, self.out = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32), np.zeros(1 << bits, dtype=np.int32)
+        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)  # a value is state << 32 | output
         self.n = 0
 
-    def _slots(self, keys: np.ndarray) -> np.ndarray:
+    def _first(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(_HASH) >> np.uint64(self.shift)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """State -1 where there is no transition yet."""
-        to, out = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
-        todo, slots = np.arange(len(keys)), self._slots(keys)
+        value = np.full(len(keys), -1, dtype=np.int64)
+        todo, at = np.arange(len(keys)), self._first(keys)
         while len(todo):
-            held = self.keys[slots]
+            held = self.keys[at]
             same = held == keys[todo]
-            to[todo[same]], out[todo[same]] = self.to[slots[same]], self.out[slots[same]]
+            value[todo[same]] = self.values[at[same]]
             go = ~same & (held >= 0)
-            todo, slots = todo[go], slots[go] + 1 & self.mask
-        return to, out
+            todo, at = todo[go], at[go] + 1 & self.mask
+        return value >> 32, value & 0xFFFFFFFF
 
     def one(self, key: int) -> tuple[int, int]:
-        slot = (key * _HASH & (1 << 64) - 1) >> self.shift
-        while (held := self.keys.item(slot)) >= 0:
+        at = (key * _HASH & (1 << 64) - 1) >> self.shift
+        while (held := self.keys.item(at)) >= 0:
             if held == key:
-                return self.to.item(slot), self.out.item(slot)
-            slot = slot + 1 & self.mask
+                value = self.values.item(at)
+                return value >> 32, value & 0xFFFFFFFF
+            at = at + 1 & self.mask
         return -1, 0
 
     def add(self, keys: np.ndarray, to: np.ndarray, out: np.ndarray) -> None:
         """Distinct keys that are not there yet."""
         self.n += len(keys)
-        todo, slots = np.arange(len(keys)), self._slots(keys)
+        value = to << 32 | out
+        todo, at = np.arange(len(keys)), self._first(keys)
         while len(todo):
-            free = self.keys[slots] < 0
-            self.keys[slots[free]] = keys[todo[free]]
-            won = free & (self.keys[slots] == keys[todo])
-            self.to[slots[won]], self.out[slots[won]] = to[todo[won]], out[todo[won]]
-            todo, slots = todo[~won], slots[~won] + 1 & self.mask
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[todo[free]]
+            won = free & (self.keys[at] == keys[todo])
+            self.values[at[won]] = value[todo[won]]
+            todo, at = todo[~won], at[~won] + 1 & self.mask
 
 
 class Transducer:
@@ -112,24 +115,20 @@ class Transducer:
         self._moves = Moves(self.max_transitions)
         self._near: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._numbers: dict[bytes, int] = {}
-        self._keys: list[bytes] = []
-        self._lasts: list[tuple[int, ...]] = []
-        self._alive: list[bytes | list[int]] = []
+        self._states: list[tuple[bytes, tuple[int, ...], tuple[int, ...]]] = []
         self._finals = array("q")
         self._outputs: dict[tuple[int, ...], int] = {}
         self._flat, self._ends = array("I"), array("q")
         self._output(())
-        self.start = self._state((0).to_bytes(4, "little"), (), [])
+        self.start = self._state((0).to_bytes(4, "little"), (), ())
 
-    def _state(self, key: bytes, lasts: tuple[int, ...], alive: list[int]) -> int:
+    def _state(self, key: bytes, lasts: tuple[int, ...], alive: tuple[int, ...]) -> int:
         """``key``: the bytes read since the last emitted token, and that token plus one.  ``lasts``: for each of
         these bytes the token that ends there if the text does.  ``alive``: the alive positions before the end."""
         n = self._numbers.get(key)
         if n is None:
-            n = self._numbers[key] = len(self._keys)
-            self._keys.append(key)
-            self._lasts.append(lasts)
-            self._alive.append(bytes(alive) if len(lasts) < 256 else alive)
+            n = self._numbers[key] = len(self._states)
+            self._states.append((key, lasts, alive))
             self._finals.append(-1)
         return n
 
@@ -182,12 +181,13 @@ class Transducer:
         if left < 0:
             return True
         a, next_a, next_b = self.tokens[left], left, right
-        bound = _NO_RANK
+        bound, split = _NO_RANK, self._split
         while True:
             over = ranks.get(a + b)
             if over is not None and over < bound:
                 return False
-            halves_a, halves_b = self._halves(a), self._halves(b)
+            halves_a = split[a] if a in split else self._halves(a)
+            halves_b = split[b] if b in split else self._halves(b)
             if halves_a is None and halves_b is None:
                 return True
             # the later of the two merges is undone; of equal ranks the right one came later
@@ -212,43 +212,62 @@ class Transducer:
     def _final(self, state: int) -> int:
         """The output at a piece's end: the tokens of the bytes still held."""
         if self._finals[state] < 0:
-            lasts = self._lasts[state]
+            lasts = self._states[state][1]
             self._finals[state] = self._output(tuple([lasts[q - 1] for q in self._chain(lasts, len(lasts))[-2::-1]]))
         return self._finals[state]
 
-    def _move(self, state: int, byte: int) -> tuple[int, int]:
-        key, lasts = self._keys[state], self._lasts[state]
-        pending = key[:-4] + _BYTES[byte]
-        table, n, token, alive = self.table, len(pending), -1, []
-        for q in (*self._alive[state], n - 1):  # the longest token first
-            known = table.get(pending[q:])
-            if known is None:
-                continue
-            own, longer = known
-            if token < 0 and own >= 0 and self.fits(lasts[q - 1] if q else int.from_bytes(key[-4:], "little") - 1, own):
-                token = own
-            if longer:
-                alive.append(q)
-        if token < 0:
-            raise ValueError("a byte has no token of its own")
-        lasts = (*lasts, token)
-        if alive and not alive[0]:
-            return self._state(pending + key[-4:], lasts, alive), 0
-        ends = self._chain(lasts, n)
-        cut = n
-        for q in alive:
-            while q not in ends:
-                q -= self.sizes[lasts[q - 1]]
-            cut = min(cut, q)
-        if not cut:
-            return self._state(pending + key[-4:], lasts, alive), 0
-        out = tuple([lasts[q - 1] for q in ends[-2::-1] if q <= cut])
-        return self._state(pending[cut:] + (out[-1] + 1).to_bytes(4, "little"), lasts[cut:], [q - cut for q in alive]), self._output(out)
+    def _make(self, missing: list[int]) -> tuple[list[int], list[int]]:
+        """The states and outputs that transitions (state << 8 | byte) lead to."""
+        states, numbers, finals, table, pairs, sizes, outputs = self._states, self._numbers, self._finals, self.table, self._pairs, self.sizes, self._outputs
+        to, spoken = [], []
+        for move in missing:
+            key, lasts, known_alive = states[move >> 8]
+            before = key[-4:]
+            pending = key[:-4] + _BYTES[move & 255]
+            token, alive = -1, []
+            for q in (*known_alive, len(lasts)):  # the longest token first
+                known = table.get(pending[q:])
+                if known is None:
+                    continue
+                own, longer = known
+                if token < 0 <= own:
+                    left = lasts[q - 1] if q else int.from_bytes(before, "little") - 1
+                    fit = pairs.get(left << 20 | own)
+                    if fit if fit is not None else self.fits(left, own):
+                        token = own
+                if longer:
+                    alive.append(q)
+            if token < 0:
+                raise ValueError("a byte has no token of its own")
+            lasts = (*lasts, token)
+            output = 0
+            if not alive or alive[0]:  # what all ways share is certain
+                ends = self._chain(lasts, len(lasts))
+                cut = len(lasts)
+                for q in alive:
+                    while q not in ends:
+                        q -= sizes[lasts[q - 1]]
+                    cut = min(cut, q)
+                if cut:
+                    out = tuple([lasts[q - 1] for q in ends[-2::-1] if q <= cut])
+                    output = outputs.get(out) or self._output(out)
+                    pending, lasts, before = pending[cut:], lasts[cut:], (out[-1] + 1).to_bytes(4, "little")
+                    alive = [q - cut for q in alive]
+            key = pending + before
+            state = numbers.get(key)
+            if state is None:
+                state = numbers[key] = len(states)
+                states.append((key, lasts, (*alive,)))
+                finals.append(-1)
+            to.append(state)
+            spoken.append(output)
+        self.made += len(missing)
+        return to, spoken
 
     def _again(self, states: np.ndarray) -> np.ndarray:
         """Drops all transitions and states but these, which get new numbers."""
         used, place = np.unique(states, return_inverse=True)
-        held = [(self._keys[s], self._lasts[s], list(self._alive[s])) for s in used.tolist()]
+        held = [self._states[s] for s in used.tolist()]
         self._reset()
         return np.array([self._state(*h) for h in held], dtype=np.int64)[place]
 
@@ -293,9 +312,7 @@ class Transducer:
                     spell()
                     states[:n] = self._again(states[:n])
                     continue
-                made = [self._move(k >> 8, k & 255) for k in missing.tolist()]
-                self.made += len(made)
-                self._moves.add(missing, *np.array(made, dtype=np.int64).T)
+                self._moves.add(missing, *(np.array(x, dtype=np.int64) for x in self._make(missing.tolist())))
                 to, out = self._moves.find(keys)
             self.steps += n
             spoke = np.flatnonzero(out)
@@ -318,8 +335,7 @@ class Transducer:
                     if self._moves.n >= self.max_transitions:
                         state = int(self._again(np.array([state]))[0])
                         key = state << 8 | byte
-                    to, spoken = self._move(state, byte)
-                    self.made += 1
+                    (to,), (spoken,) = self._make([key])
                     self._moves.add(np.array([key]), np.array([to]), np.array([spoken]))
                 if len(self._near) >= NEAR:
                     self._near.clear()
@@ -420,11 +436,31 @@ def _latin(text: str) -> bool:
     return True
 
 
+def latin_pattern(pattern: str) -> str | None:
+    """The same pattern for texts without characters beyond U+00FF, with its Unicode classes spelled out, which the
+    standard library's faster ``re`` takes; None where it holds more than these."""
+    every = "".join(map(chr, range(256)))
+    inside = {kind: "".join(f"\\x{ord(x):02x}" for x in regex.findall(kind, every)) for kind in (r"\p{L}", r"\p{N}", r"\s")}
+    out, within = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.S):
+        if part in inside:
+            out.append(inside[part] if within else f"[{inside[part]}]")
+        elif part == r"\S" and not within:
+            out.append(f"[^{inside[r'\s']}]")
+        elif part.startswith("\\") and part[1:2].isalpha() and part not in (r"\r", r"\n", r"\t"):
+            return None
+        else:
+            within = part == "[" or (within and part != "]")
+            out.append(part)
+    return "".join(out)
+
+
 class Splitter:
     """The matches of a pattern; in texts with ``disputed`` characters these are no letters and no numbers."""
 
     def __init__(self, pattern: str, disputed: str = ""):
         self.plain = regex.compile(pattern)
+        self.latin = re.compile(own) if (own := latin_pattern(pattern)) else self.plain
         self.disputed = regex.compile(f"[{disputed}]") if disputed else None
         if disputed:
             for kind in (r"\p{L}", r"\p{N}"):
@@ -433,9 +469,10 @@ class Splitter:
 
     def parts(self, text: str) -> Iterator[list[str]]:
         """The matches in order, a bounded number at a time."""
-        chosen = self.plain
-        if self.disputed is not None and not _latin(text) and self.disputed.search(text):
-            chosen = self.careful
+        if _latin(text):
+            chosen = self.latin
+        else:
+            chosen = self.careful if self.disputed is not None and self.disputed.search(text) else self.plain
         if len(text) <= PART_CHARS:
             yield chosen.findall(text)
             return
@@ -474,16 +511,16 @@ class Codec:
         return out + self._together(waiting)
 
     def _together(self, found: list[list[str]]) -> list[bytes]:
-        distinct = set().union(*found)
-        fresh = [p for p in distinct if p not in self.pieces]
-        if len(self.pieces) + len(fresh) > MAX_PIECES:
-            self.pieces.clear()
-            fresh = list(distinct)
-        self.pieces.update(zip(fresh, self.transducer.encode_many([p.encode("utf-8") for p in fresh])))
-        out = [b"".join(map(self.pieces.__getitem__, own)) for own in found]
+        pieces = self.pieces
+        fresh = list({p for own in found for p in own if p not in pieces})
+        if len(pieces) + len(fresh) > MAX_PIECES:
+            pieces.clear()
+            fresh = list(set().union(*found))
+        pieces.update(zip(fresh, self.transducer.encode_many([p.encode("utf-8") for p in fresh])))
+        out = [b"".join(map(pieces.__getitem__, own)) for own in found]
         for piece in fresh:
             if len(piece) > KEPT_CHARS:
-                del self.pieces[piece]
+                del pieces[piece]
         return out
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:

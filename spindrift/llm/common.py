@@ -144,9 +144,11 @@ resident: dict[str, Callable[[], None]] = {}
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20, keep: str = "") -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about ``limit`` bytes of ``column``, one row at least.  Lets go of what other
-    operators than ``keep`` left in this worker."""
+    operators than ``keep`` left in this worker, and after the last batch of memory that is free."""
     for name in [n for n in resident if n != keep]:
         resident.pop(name)()
+        gc.collect()
+        trim()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -159,6 +161,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, limit: int = 4 << 20,
         cuts = np.flatnonzero(np.diff(part)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
             yield batch.slice(int(lo), int(hi - lo))
+    trim()
 
 
 def sha256_hex(data: bytes) -> str:

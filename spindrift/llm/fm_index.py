@@ -9,8 +9,9 @@ positions located by walking to sampled suffix positions.  Hits are merged into
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from . import common as c
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: A block of benchmark texts that is broadcast at once; larger benchmarks take several.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
 SAMPLE = 16
 
 
@@ -32,24 +33,52 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Phrases:
-    """The distinct windows of some items, coded by their own vocabulary."""
+    """The distinct windows of some items, coded by their own vocabulary.
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    The items' codes lie in one sequence; a phrase is a place in it and a length, some 15 bytes a word with its items.
+    """
+
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int):
+        self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        self.names = sorted({name for name, _ in items})
-        number = {name: i for i, name in enumerate(self.names)}
+        coded, after, owners = array("i"), array("q"), []
         for name, words in items:
-            codes = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            for k in range(max(1, len(codes) - window + 1)):
-                found.setdefault(tuple(codes[k : k + window]), set()).add(number[name])
-        self.lengths = np.array([len(p) for p in found], dtype=np.int64)
-        self.codes = np.zeros((len(found), window), dtype=np.int64)
-        for row, phrase in enumerate(found):
-            self.codes[row, : len(phrase)] = phrase
-        self.shortest = int(self.lengths.min()) if len(found) else 0
-        self.first_item = np.cumsum([0, *map(len, found.values())])
-        self.items = np.array([i for some in found.values() for i in sorted(some)], dtype=np.int64)
+            coded.extend([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
+            after.append(len(coded))
+            owners.append(name)
+        self.sequence, ends = np.array(coded, dtype=np.int32), np.array(after, dtype=np.int64)
+        size = np.diff(ends, prepend=0)
+        windows = np.maximum(size - self.window + 1, 1)
+        starts = np.repeat(ends - size - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+        lengths = np.repeat(np.minimum(size, self.window), windows)
+        self.names = sorted(set(owners))
+        number = {name: i for i, name in enumerate(self.names)}
+        item = np.repeat(np.array([number[name] for name in owners], dtype=np.int64), windows)
+        padded = np.append(self.sequence, np.zeros(self.window, dtype=np.int32))
+        columns = [np.where(lengths > k, padded[starts + k], 0) for k in range(self.window)]
+        order = np.lexsort((item, *columns))
+        new = np.zeros(len(order), dtype=bool)  # codes are positive, so shorter windows differ from longer ones
+        new[:1] = True
+        for x in columns:
+            new[1:] |= x[order[1:]] != x[order[:-1]]
+        first = order[new]
+        self.starts, self.lengths = starts[first].astype(np.int32), lengths[first]
+        group, owner = np.cumsum(new) - 1, item[order]
+        once = np.append(True, (group[1:] != group[:-1]) | (owner[1:] != owner[:-1]))[: len(order)]
+        self.items = owner[once]
+        self.first_item = np.append(0, np.cumsum(np.bincount(group[once], minlength=len(first))))
+        self.shortest = int(self.lengths.min()) if len(first) else 0
+
+    def symbols(self, rows: np.ndarray, back: int) -> np.ndarray:
+        """The code that lies ``back`` places before the end of each phrase."""
+        return self.sequence[self.starts[rows] + self.lengths[rows] - back].astype(np.int64)
+
+    @property
+    def codes(self) -> np.ndarray:
+        """A row for each phrase, filled up with zeros."""
+        padded = np.append(self.sequence, np.zeros(self.window, dtype=np.int32))
+        at = np.arange(self.window)
+        return np.where(at < self.lengths[:, None], padded[self.starts[:, None] + at], 0)
 
 
 class WaveletMatrix:
@@ -115,12 +144,12 @@ class FmIndex:
 
     def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffix array that begin with each phrase, as [low, high)."""
-        n = len(phrases.codes)
+        n = len(phrases.starts)
         low, high = np.zeros(n, dtype=np.int64), np.full(n, len(self.last), dtype=np.int64)
         live = np.arange(n)
-        for back in range(1, phrases.codes.shape[1] + 1):
+        for back in range(1, phrases.window + 1):
             live = live[phrases.lengths[live] >= back]
-            symbol = phrases.codes[live, phrases.lengths[live] - back]
+            symbol = phrases.symbols(live, back)
             base = self.first[symbol]
             low[live] = base + self.tree.rank(symbol, low[live])
             high[live] = base + self.tree.rank(symbol, high[live])
@@ -148,7 +177,7 @@ def occurrences(codes: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.nda
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     long = end - start >= phrases.shortest
     start, size = start[long], (end - start)[long] + 1  # with the zero that ends the run
-    if not len(start) or not len(phrases.codes):
+    if not len(start) or not len(phrases.starts):
         return none, none
     place = np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
     index = FmIndex(np.append(codes, 0)[place].astype(np.int64), len(phrases.vocabulary))
@@ -194,19 +223,25 @@ def _marked(shared, cut: bool = False):
     return run
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
-        words = words_of((row.text or "").encode("utf-8"))
-        if row.item_id is None or not words:
-            continue
-        block.append((row.item_id, words))
-        size += len(row.text)
+def _blocks(benchmark: DataFrame, window: int, block_chars: int) -> Iterator[Phrases]:
+    """One at least.  Words are coded as they come, so that a block's texts are never held together."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator()
+    items = ((r.item_id, words, len(r.text)) for r in rows if r.item_id is not None and (words := words_of((r.text or "").encode("utf-8"))))
+    none = True
+    for first in items:
+        yield Phrases(_some(first, items, block_chars), window)
+        none = False
+    if none:
+        yield Phrases((), window)
+
+
+def _some(first: tuple[str, list[bytes], int], items: Iterator[tuple[str, list[bytes], int]], block_chars: int) -> Iterator[tuple[str, list[bytes]]]:
+    size = 0
+    for name, words, chars in chain([first], items):
+        yield name, words
+        size += chars
         if size >= block_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+            return
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = BLOCK_CHARS, remove: bool = False) -> DataFrame:
@@ -225,12 +260,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     found = docs.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.expr("cast(array() as array<struct<lo: bigint, hi: bigint>>)"), "items": F.expr("cast(array() as array<string>)")})
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    last: list[tuple[str, list[bytes]]] = []
-    for k, block in enumerate(_blocks(benchmark, block_chars)):
-        if k:
-            found = found.mapInArrow(_marked(spark.sparkContext.broadcast(Phrases(last, window))), schema)
-        last = block
-    return found.mapInArrow(_marked(spark.sparkContext.broadcast(Phrases(last, window)), remove), plain if remove else schema)
+    blocks = [spark.sparkContext.broadcast(phrases) for phrases in _blocks(benchmark, window, block_chars)]
+    for block in blocks[:-1]:
+        found = found.mapInArrow(_marked(block), schema)
+    return found.mapInArrow(_marked(blocks[-1], remove), plain if remove else schema)
 
 
 def merged_hits(hits: list[dict]) -> tuple[np.ndarray, np.ndarray]:

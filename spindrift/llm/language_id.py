@@ -26,6 +26,8 @@ BUCKETS = 1 << 15
 SAMPLE_TEXTS = 2400
 SAMPLE_BYTES = 1 << 16
 MAX_LANGUAGES = 500
+#: Texts are scored together up to BATCH_BYTES; longer texts than LONG_BYTES are scored by counts.
+BATCH_BYTES, LONG_BYTES = 1 << 18, 1 << 17
 AMBIGUOUS = 0.2
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -83,17 +85,24 @@ class Model:
 
     def margins(self, texts: list[bytes]) -> np.ndarray:
         """Average log-odds of each text's n-grams for each code bit."""
-        gap = b"\n" * (max(GRAMS) - 1)  # no gram that starts in a text reaches the next one
-        joined = gap.join([b"", *(t.lower() for t in texts), b"\n"])
-        data = np.frombuffer(joined, dtype=np.uint8)
-        lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-        starts = len(gap) - 1 + np.cumsum(lengths - 1 + len(gap)) - (lengths - 1 + len(gap))  # each text with one break before it
-        bounds = np.stack([starts, starts + lengths], axis=1).ravel()
         total = np.zeros((len(texts), self.weights.shape[1]), dtype=np.float64)
-        for n in GRAMS:
-            total += np.add.reduceat(self.weights[gram_buckets(data, n)], bounds, axis=0)[::2]
+        lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)  # each text with one break before it
+        short = [k for k, n in enumerate(lengths) if n <= LONG_BYTES]
+        if short:
+            total[short] = self._together([texts[k] for k in short], lengths[short])
+        for k in np.flatnonzero(lengths > LONG_BYTES).tolist():  # by counts of buckets, in memory of a few bytes a gram
+            data = np.frombuffer(b"\n" + texts[k].lower() + b"\n" * (max(GRAMS) - 1), dtype=np.uint8)
+            for n in GRAMS:
+                total[k] += np.bincount(gram_buckets(data, n)[: lengths[k]], minlength=BUCKETS) @ self.weights
         return total / (len(GRAMS) * lengths[:, None])
 
+    def _together(self, texts: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        gap = b"\n" * (max(GRAMS) - 1)  # no gram that starts in a text reaches the next one
+        data = np.frombuffer(gap.join([b"", *(t.lower() for t in texts), b"\n"]), dtype=np.uint8)
+        starts = len(gap) - 1 + np.cumsum(lengths - 1 + len(gap)) - (lengths - 1 + len(gap))
+        bounds = np.stack([starts, starts + lengths], axis=1).ravel()
+        return sum(np.add.reduceat(self.weights[gram_buckets(data, n)], bounds, axis=0)[::2].astype(np.float64) for n in GRAMS)
+
     def decode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: the language number, its share of the codewords' likelihood, and whether it is ambiguous."""
         z = self.margins(texts) * self.slope + self.intercept
@@ -162,7 +171,7 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model | None:
 def _predicted(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in c.chunks(batches, "text", 1 << 20):
+        for batch in c.chunks(batches, "text", BATCH_BYTES):
             texts = c.text_bytes(batch.column("text"))
             lang, score, close = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
             some = [k for k, t in enumerate(texts) if has_letter(t)]
@@ -182,7 +191,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Only ``text`` is looked at.  A null text and one without a letter are ``und`` with score 0, and so is every text
     if nothing could be learned.  Null ids, repeated rows and an empty table give a row for each row; texts of any
-    length are scored whole, one at a time beyond a megabyte.
+    length are scored whole, long ones by counts of their n-grams.
     """
     docs = docs.drop("lang_pred", "score", "ambiguous")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

@@ -70,7 +70,7 @@ def test_bound_holds_inside_a_piece(tik):
     codec.transducer = bpe.Transducer(codec.transducer.ranks, 1000)
     text = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
     assert ids(codec, text) == tik.encode_ordinary(text)
-    assert codec.transducer.made > 20_000 and codec.transducer._moves.n <= 1000 and len(codec.transducer._keys) <= 1002
+    assert codec.transducer.made > 20_000 and codec.transducer._moves.n <= 1000 and len(codec.transducer._states) <= 1002
 
 
 def test_unicode_classes_as_the_library(tik):
@@ -80,6 +80,20 @@ def test_unicode_classes_as_the_library(tik):
         assert ids(codec, text) == tik.encode_ordinary(text)
 
 
+def test_latin_pattern(spark):
+    import re
+
+    import regex
+
+    plain, latin = regex.compile(P.PATTERN), re.compile(bpe.latin_pattern(P.PATTERN))
+    rng = random.Random(8)
+    every = [chr(k) for k in range(256)] + list(" '\n\tst") * 20
+    for _ in range(3000):
+        text = "".join(rng.choices(every, k=rng.randrange(30)))
+        assert plain.findall(text) == latin.findall(text)
+    assert bpe.latin_pattern(r"\p{Lu}+") is None and bpe.latin_pattern(r"\w+") is None and bpe.latin_pattern(r"[^\s\p{L}]+|\p{N}{1,3}")
+
+
 def test_parts_of_long_texts(tik, monkeypatch):
     monkeypatch.setattr(bpe, "PART_CHARS", 64)
     monkeypatch.setattr(bpe, "MAX_PIECES", 20)
