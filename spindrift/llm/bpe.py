@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame
 
 from . import common as c
 
-#: Bounds of the worker's memory: transitions (some 200 bytes each, with their states) and whole pieces (some 160 bytes each).
+#: Bounds of the worker's memory: transitions (some 100 bytes each, with their states), whole pieces (some 160 bytes each)
+#: and pairs of tokens (some 100 bytes each).
 MAX_TRANSITIONS = 1_000_000
-MAX_PIECES = 200_000
+MAX_PIECES = 150_000
+MAX_PAIRS = 300_000
 #: Pieces beyond this many characters are not kept; texts are taken in parts of about this many.
 KEPT_CHARS, PART_CHARS = 64, 1 << 20
 #: Longer pieces run one after another, with this many transitions at hand.
@@ -113,25 +115,39 @@ class Transducer:
 
     def _reset(self) -> None:
         self._moves = Moves(self.max_transitions)
-        self._near: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self._numbers: dict[bytes, int] = {}
-        self._states: list[tuple[bytes, tuple[int, ...], tuple[int, ...]]] = []
-        self._finals = array("q")
+        self._near: dict[int, tuple[int, array]] = {}
+        # states in flat arrays, which go back to the system at once: their keys one after another, for each byte of a
+        # key but its last four the token that ends there, and the alive positions before the end
+        self._keys, self._lasts, self._alive = bytearray(), array("I"), array("H")
+        self._key_ends, self._alive_ends, self._finals = array("I", [0]), array("I", [0]), array("i")
+        self._numbers = array("i", [-1]) * (self._moves.mask + 1)
         self._outputs: dict[tuple[int, ...], int] = {}
         self._flat, self._ends = array("I"), array("q")
         self._output(())
-        self.start = self._state((0).to_bytes(4, "little"), (), ())
+        self.start = self._state((0).to_bytes(4, "little"), array("I"), [])
 
-    def _state(self, key: bytes, lasts: tuple[int, ...], alive: tuple[int, ...]) -> int:
+    def _state(self, key: bytes, lasts: array, alive: list[int]) -> int:
         """``key``: the bytes read since the last emitted token, and that token plus one.  ``lasts``: for each of
         these bytes the token that ends there if the text does.  ``alive``: the alive positions before the end."""
-        n = self._numbers.get(key)
-        if n is None:
-            n = self._numbers[key] = len(self._states)
-            self._states.append((key, lasts, alive))
-            self._finals.append(-1)
+        numbers, ends, keys, mask = self._numbers, self._key_ends, self._keys, self._moves.mask
+        slot = hash(key) & mask
+        while (n := numbers[slot]) >= 0:
+            if keys[ends[n] : ends[n + 1]] == key:
+                return n
+            slot = slot + 1 & mask
+        n = numbers[slot] = len(self._finals)
+        keys += key
+        ends.append(len(keys))
+        self._lasts += lasts
+        self._alive.extend(alive)
+        self._alive_ends.append(len(self._alive))
+        self._finals.append(-1)
         return n
 
+    def _parts(self, state: int) -> tuple[bytes, array, array]:
+        begin, end = self._key_ends[state], self._key_ends[state + 1]
+        return bytes(self._keys[begin:end]), self._lasts[begin - 4 * state : end - 4 * state - 4], self._alive[self._alive_ends[state] : self._alive_ends[state + 1]]
+
     def _output(self, tokens: tuple[int, ...]) -> int:
         n = self._outputs.get(tokens)
         if n is None:
@@ -168,7 +184,7 @@ class Transducer:
         key = left << 20 | right
         known = self._pairs.get(key)
         if known is None:
-            if len(self._pairs) >= 2 * self.max_transitions:
+            if len(self._pairs) >= MAX_PAIRS:
                 self._pairs.clear()
             known = self._pairs[key] = self._stable(left, right)
         return known
@@ -201,7 +217,7 @@ class Transducer:
     def _tokens_of(self, output: int) -> array:
         return self._flat[self._ends[output - 1] if output else 0 : self._ends[output]]
 
-    def _chain(self, lasts: tuple[int, ...], end: int) -> list[int]:
+    def _chain(self, lasts: array, end: int) -> list[int]:
         """Where tokens begin or end on the way from ``end`` back to 0."""
         out = [end]
         while end:
@@ -212,20 +228,21 @@ class Transducer:
     def _final(self, state: int) -> int:
         """The output at a piece's end: the tokens of the bytes still held."""
         if self._finals[state] < 0:
-            lasts = self._states[state][1]
+            lasts = self._parts(state)[1]
             self._finals[state] = self._output(tuple([lasts[q - 1] for q in self._chain(lasts, len(lasts))[-2::-1]]))
         return self._finals[state]
 
     def _make(self, missing: list[int]) -> tuple[list[int], list[int]]:
         """The states and outputs that transitions (state << 8 | byte) lead to."""
-        states, numbers, finals, table, pairs, sizes, outputs = self._states, self._numbers, self._finals, self.table, self._pairs, self.sizes, self._outputs
+        table, pairs, sizes, outputs = self.table, self._pairs, self.sizes, self._outputs
         to, spoken = [], []
         for move in missing:
-            key, lasts, known_alive = states[move >> 8]
-            before = key[-4:]
+            key, lasts, known_alive = self._parts(move >> 8)
+            before, end = key[-4:], len(lasts)
             pending = key[:-4] + _BYTES[move & 255]
             token, alive = -1, []
-            for q in (*known_alive, len(lasts)):  # the longest token first
+            known_alive.append(end)
+            for q in known_alive:  # the longest token first
                 known = table.get(pending[q:])
                 if known is None:
                     continue
@@ -239,11 +256,12 @@ class Transducer:
                     alive.append(q)
             if token < 0:
                 raise ValueError("a byte has no token of its own")
-            lasts = (*lasts, token)
+            lasts.append(token)
+            end += 1
             output = 0
             if not alive or alive[0]:  # what all ways share is certain
-                ends = self._chain(lasts, len(lasts))
-                cut = len(lasts)
+                ends = self._chain(lasts, end)
+                cut = end
                 for q in alive:
                     while q not in ends:
                         q -= sizes[lasts[q - 1]]
@@ -253,13 +271,7 @@ class Transducer:
                     output = outputs.get(out) or self._output(out)
                     pending, lasts, before = pending[cut:], lasts[cut:], (out[-1] + 1).to_bytes(4, "little")
                     alive = [q - cut for q in alive]
-            key = pending + before
-            state = numbers.get(key)
-            if state is None:
-                state = numbers[key] = len(states)
-                states.append((key, lasts, (*alive,)))
-                finals.append(-1)
-            to.append(state)
+            to.append(self._state(pending + before, lasts, alive))
             spoken.append(output)
         self.made += len(missing)
         return to, spoken
@@ -267,7 +279,7 @@ class Transducer:
     def _again(self, states: np.ndarray) -> np.ndarray:
         """Drops all transitions and states but these, which get new numbers."""
         used, place = np.unique(states, return_inverse=True)
-        held = [self._states[s] for s in used.tolist()]
+        held = [self._parts(s) for s in used.tolist()]
         self._reset()
         return np.array([self._state(*h) for h in held], dtype=np.int64)[place]
 
