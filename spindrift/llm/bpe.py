@@ -28,11 +28,11 @@ from . import common as c
 
 #: Bounds of the worker's memory: transitions (some 100 bytes each, with their states), whole pieces (some 160 bytes each)
 #: and pairs of tokens (some 100 bytes each).
-MAX_TRANSITIONS = 1_000_000
-MAX_PIECES = 150_000
-MAX_PAIRS = 300_000
+MAX_TRANSITIONS = 500_000
+MAX_PIECES = 100_000
+MAX_PAIRS = 200_000
 #: Pieces beyond this many characters are not kept; texts are taken in parts of about this many.
-KEPT_CHARS, PART_CHARS = 64, 1 << 20
+KEPT_CHARS, PART_CHARS = 64, 1 << 19
 #: Longer pieces run one after another, with this many transitions at hand.
 LOCKSTEP_BYTES, NEAR = 256, 50_000
 _NO_RANK = 1 << 60
@@ -562,7 +562,7 @@ def worker_codec(data, pattern: str, disputed: str = "") -> Codec:
 def _encoded(data, pattern: str, disputed: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(data, pattern, disputed)
-        for batch in c.chunks(batches, "text", 4 << 20, keep="bpe"):
+        for batch in c.chunks(batches, "text", 1 << 20, keep="bpe"):
             ids = [np.frombuffer(x, dtype="<u4") for x in codec.encode_texts([text or "" for text in batch.column("text").to_pylist()])]
             flat = np.concatenate(ids).astype(np.int32)
             offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)

@@ -94,7 +94,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
 def _digest_tokens(data, pattern, disputed):
     def run(batches):
         codec = bpe.worker_codec(data, pattern, disputed)
-        for batch in c.chunks(batches, "text", 4 << 20, keep="bpe"):
+        for batch in c.chunks(batches, "text", 1 << 20, keep="bpe"):
             n, encoded, decoded = [], [], []
             for ids in codec.encode_texts([text or "" for text in batch.column("text").to_pylist()]):
                 n.append(len(ids) // 4)
