@@ -14,14 +14,15 @@ from spindrift.llm import common, fm_index, language_id, line_dedup, queries, si
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and lang, with all of a row's columns as one struct, so that no column meets an operator's own."""
-    return docs.select("doc_id", "text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    """doc_id, text and lang, with all of a row's columns but the text as one struct, so that no column meets an
+    operator's own and texts move once."""
+    return docs.select("doc_id", "text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
 
 
 def _unpacked(packed: DataFrame, docs: DataFrame, changed: bool = False) -> DataFrame:
     """The columns of ``docs`` again; ``changed``: with the new text and its length."""
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")} if changed else {}
-    return packed.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    new = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if changed else {})
+    return packed.select(*((new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
