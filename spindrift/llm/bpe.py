@@ -28,8 +28,8 @@ from . import common as c
 
 #: Bounds of the worker's memory: transitions (some 100 bytes each, with their states), whole pieces (some 160 bytes each)
 #: and pairs of tokens (some 100 bytes each).
-MAX_TRANSITIONS = 500_000
-MAX_PIECES = 100_000
+MAX_TRANSITIONS = 700_000
+MAX_PIECES = 150_000
 MAX_PAIRS = 200_000
 #: Pieces beyond this many characters are not kept; texts are taken in parts of about this many.
 KEPT_CHARS, PART_CHARS = 64, 1 << 19
@@ -54,7 +54,7 @@ class Moves:
     """Transitions in open-addressed arrays: (state, byte) -> (state, output)."""
 
     def __init__(self, most: int):
-        bits = max(4, int(most).bit_length() + 1)
+        bits = max(4, (7 * int(most) // 5).bit_length())
         self.shift, self.mask = 64 - bits, (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)  # a value is state << 32 | output
         self.n = 0
