@@ -148,3 +148,23 @@ def test_field_schema_hints(spark):
     assert got["AGE"].type == "integer" and got["AGE"].max == 120.0 and got["language"].type == "string"
     assert got["CLAIM_ID"].pattern.startswith("^(IQV")
     assert schema.dataset_quality(schema.field_schema(df)).first().quality_score == 1.0
+
+
+def test_quartiles_equal_sorted_lists(spark):
+    import random
+
+    rng = random.Random(5)
+    for size in (0, 1, 2, 3, 4, 7, 100, 3000):
+        a = [rng.choice([None, rng.random() * 100, 1.0, -5.0]) for _ in range(size)]
+        b = [float(k % 3) for k in range(size)]
+        df = spark.createDataFrame(list(zip(a, b)), "a double, b double").repartition(3)
+        got = {r.column_name: [r.q25, r.median, r.q75] for r in profile.quartiles(df, {"a": F.col("a"), "b": F.col("b")}).collect()}
+        for name, values in (("a", a), ("b", b)):
+            x = sorted(v for v in values if v is not None)
+
+            def at(q, x=x):
+                place = q * (len(x) - 1)
+                low = int(place)
+                return x[low] + (x[min(low + 1, len(x) - 1)] - x[low]) * (place - low)
+
+            assert got[name] == ([pytest.approx(at(q)) for q in (0.25, 0.5, 0.75)] if x else [None] * 3)
