@@ -16,15 +16,17 @@ hashes of string and page over the whole host, and each shard is told which of i
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import json
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -243,16 +245,18 @@ class Streams:
 
     def __init__(self, table: pa.Table) -> None:
         self.rows = [row for data, size in zip(table.column("pages").to_pylist(), table.column("size").to_pylist()) for row in _unpack(data, size)]
-        vocabulary: dict[str, int] = {}
-        codes: list[int] = []
-        page: list[int] = []
-        known: dict[tuple[int, ...], int] = {}
+        vocabulary: defaultdict[str, int] = defaultdict()
+        vocabulary.default_factory = vocabulary.__len__
+        codes, numbers, sizes = array("q"), [], []
+        known: dict[str, int] = {}
         for _, _, own in self.rows:
-            stream = [vocabulary.setdefault(w, len(vocabulary)) for text, _ in own for w in text.split()]
-            number = known.setdefault(tuple(stream), len(known))  # copies of a page are one page
-            codes += [*stream, -1]
-            page += [number] * (len(stream) + 1)
-        self.codes, self.page = np.array(codes, dtype=np.int64), np.array(page, dtype=np.int64)
+            joined = " ".join([text for text, _ in own])
+            stream = [*map(vocabulary.__getitem__, joined.split())]
+            numbers.append(known.setdefault(joined, len(known)))  # copies of a page are one page
+            sizes.append(len(stream) + 1)
+            codes.extend(stream)
+            codes.append(-1)
+        self.codes, self.page = np.array(codes, dtype=np.int64), np.repeat(np.array(numbers, dtype=np.int64), sizes)
         self.words, self.known = list(vocabulary), list(known)
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,11 +273,11 @@ class Streams:
 
     def page_hashes(self) -> np.ndarray:
         """By page number."""
-        return np.array([_hash(" ".join([self.words[k] for k in stream])) for stream in self.known], dtype=np.uint64)
+        return np.array([_hash(text) for text in self.known], dtype=np.uint64)
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
 def _rolled(value: np.ndarray, length: int) -> np.ndarray:
@@ -421,14 +425,15 @@ def _judged(table: pa.Table, told: pa.Table) -> pa.Table:
         n = sum(text.count(" ") + 1 for text, _ in own)
         repeated, kept, place = covered[at : at + n], [], 0
         keep = _kept(own, repeated) if own else repeated
+        flags = keep.tolist()
         for text, _ in own:
-            words = text.split(" ")
-            these = keep[place : place + len(words)]
-            place += len(words)
-            if these.all():
+            size = text.count(" ") + 1
+            these = flags[place : place + size]
+            place += size
+            if all(these):
                 kept.append(text)
-            elif these.any():
-                kept.append(" ".join(compress(words, these.tolist())))
+            elif any(these):
+                kept.append(" ".join(compress(text.split(" "), these)))
         at += n + 1
         texts.append("\n".join(kept))
         boiler.append(int((repeated & ~keep).sum()))
